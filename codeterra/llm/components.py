@@ -1,0 +1,44 @@
+"""Connected components of a link table by alternating large-star and small-star steps.
+
+Each step is a minimum by node (combined before the shuffle) and a join; the number of rounds grows with the logarithm
+of the longest path. Rows never outnumber the links by more than the two directions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codeterra.llm.lineage import cut
+
+
+def _minimum(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("key"), F.least("u", "low").alias("low"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.join(_minimum(both), both.u == F.col("key")).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    low = _minimum(down)
+    rest = down.join(low, down.u == low.key).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return rest.union(low.select(F.col("key").alias("u"), F.col("low").alias("v")))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links(u, v) of longs, in either direction, repeats and self-links allowed -> (node, low): each linked node with the smallest node it reaches.
+
+    Nodes without links are not returned; links with a null end are ignored; no links give no rows.
+    """
+    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == state or now["n"] == 0:
+            break
+        state = now
+        edges = cut(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct())
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("low")).distinct())
