@@ -112,31 +112,35 @@ def signatures(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndar
     return np.concatenate(out)
 
 
-def _pack(sigs: np.ndarray, at: np.ndarray, nodes: np.ndarray) -> bytes:
+def _pack(sigs: np.ndarray, at: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> bytes:
     used, again = np.unique(at, return_inverse=True)
-    return np.array([len(sigs), len(used)], dtype=np.int64).tobytes() + sigs.tobytes() + nodes[used].tobytes() + again.astype(np.uint32).tobytes()
+    head = np.array([len(sigs), len(used)], dtype=np.int64)
+    return b"".join(x.tobytes() for x in (head, sigs, nodes[used], sizes[used], again.astype(np.uint32)))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures with the node and set size of each."""
     n, m = np.frombuffer(blob, dtype=np.int64, count=2).tolist()
     sigs = np.frombuffer(blob, dtype=np.uint64, count=n, offset=16)
     nodes = np.frombuffer(blob, dtype=np.int64, count=m, offset=16 + 8 * n)
-    return sigs, nodes[np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 + 8 * n + 8 * m)]
+    sizes = np.frombuffer(blob, dtype=np.uint32, count=m, offset=16 + 8 * n + 8 * m)
+    at = np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 + 8 * n + 12 * m)
+    return sigs, nodes[at], sizes[at]
 
 
 def _sign(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, nodes, held, known = [], [], [], 0, set()
+        sigs, owners, nodes, sizes, held, known = [], [], [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            s, o, names = np.concatenate(sigs), np.concatenate(owners), np.array(nodes, dtype=np.int64)
+            s, o, names, many = np.concatenate(sigs), np.concatenate(owners), np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.uint32)
             order = np.argsort(s, kind="stable")
             s, o = s[order], o[order]
             which = ((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, _pack(s[x:y], o[x:y], names)) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+            rows = [(b, _pack(s[x:y], o[x:y], names, many)) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
             for k in range(0, len(rows), 256):
                 part = rows[k : k + 256]
                 yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["bucket", "run"])
@@ -151,61 +155,71 @@ def _sign(buckets: int):
                     sigs.append(sig)
                     owners.append(np.full(len(sig), len(nodes), dtype=np.uint32))
                     nodes.append(node)
+                    sizes.append(len(s))
                     held += len(sig)
                 if held >= RUN:
                     yield from flush()
-                    sigs, owners, nodes, held, known = [], [], [], 0, set()
+                    sigs, owners, nodes, sizes, held, known = [], [], [], [], 0, set()
         yield from flush()
 
     return run
 
 
-def candidate_pairs(sigs: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """From one bucket's signatures: pairs (low, high) of nodes, all of a small group, leaders and ring of a large one; the large groups."""
+def candidate_pairs(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
+    """From one bucket's signatures: columns low, high, signatures shared here and signatures that similar sets of these sizes share; the large groups.
+
+    Small groups give all pairs, large ones their leaders' and a ring's. Pairs that sizes rule out are left out.
+    """
     order = np.lexsort((nodes, sigs))
-    sigs, nodes = sigs[order], nodes[order]
+    sigs, nodes, sizes = sigs[order], nodes[order], sizes[order].astype(np.int64)
     keep = np.ones(len(sigs), dtype=bool)
     keep[1:] = (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])
-    sigs, nodes = sigs[keep], nodes[keep]
+    sigs, nodes, sizes = sigs[keep], nodes[keep], sizes[keep]
     first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
-    sizes = np.diff(np.append(first, len(sigs)))
-    own = np.repeat(np.arange(len(first)), sizes)
-    rank, size = np.arange(len(sigs)) - first[own], sizes[own]
+    many = np.diff(np.append(first, len(sigs)))
+    own = np.repeat(np.arange(len(first)), many)
+    rank, size = np.arange(len(sigs)) - first[own], many[own]
     lows, highs = [], []
     for back in range(1, SMALL_GROUP):
         at = np.flatnonzero((rank >= back) & ((size <= SMALL_GROUP) | (back == 1)))
-        lows.append(nodes[at - back])
-        highs.append(nodes[at])
+        lows.append(at - back)
+        highs.append(at)
     for lead in range(LEADERS):
         at = np.flatnonzero((size > SMALL_GROUP) & (rank > lead + 1))
-        lows.append(nodes[first[own[at]] + lead])
-        highs.append(nodes[at])
-    pairs = np.unique(np.stack((np.concatenate(lows), np.concatenate(highs)), axis=1), axis=0)
-    large = [(int(sigs[f] >> np.uint64(1)), nodes[f : f + n]) for f, n in zip(first[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist())]
-    return pairs, large
+        lows.append(first[own[at]] + lead)
+        highs.append(at)
+    low, high = np.concatenate(lows), np.concatenate(highs)
+    few = np.minimum(sizes[low], sizes[high])
+    fits = few * threshold[1] >= np.maximum(sizes[low], sizes[high]) * threshold[0]
+    low, high, few = nodes[low[fits]], nodes[high[fits]], few[fits]
+    order = np.lexsort((high, low))
+    low, high, few = low[order], high[order], few[order]
+    new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else order
+    shared = np.diff(np.append(new, len(low)))
+    large = [(int(sigs[f] >> np.uint64(1)), nodes[f : f + n]) for f, n in zip(first[many > SMALL_GROUP].tolist(), many[many > SMALL_GROUP].tolist())]
+    return [low[new], high[new], shared, few[new] // 12 + 2], large
 
 
-_MATCHED = "low long, high long, sig long, members array<long>"
+_MATCHED = "low long, high long, shared long, need long, sig long, members array<long>"
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bucket, runs = None, []
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    names = ["low", "high", "sig", "members"]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+    names = ["low", "high", "shared", "need", "sig", "members"]
 
     def done() -> Iterator[pa.RecordBatch]:
         if not runs:
             return
         got = [_unpack(r) for r in runs]
-        pairs, large = candidate_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-        for k in range(0, len(pairs), 1 << 16):
-            part = pairs[k : k + (1 << 16)]
-            none = len(part)
-            yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(none, kinds[2]), pa.nulls(none, kinds[3])], names=names)
+        pairs, large = candidate_pairs(*(np.concatenate([g[k] for g in got]) for k in range(3)))
+        for k in range(0, len(pairs[0]), 1 << 16):
+            part = [pa.array(x[k : k + (1 << 16)], pa.int64()) for x in pairs]
+            yield pa.record_batch([*part, pa.nulls(len(part[0]), kinds[4]), pa.nulls(len(part[0]), kinds[5])], names=names)
         chunks = [(sig, members[k : k + CHUNK]) for sig, members in large for k in range(0, len(members), CHUNK)]
         for k in range(0, len(chunks), 64):
             part = chunks[k : k + 64]
-            yield pa.record_batch([pa.nulls(len(part), kinds[0]), pa.nulls(len(part), kinds[1]), pa.array([c[0] for c in part], kinds[2]), pa.array([c[1] for c in part], kinds[3])], names=names)
+            yield pa.record_batch([*(pa.nulls(len(part), kinds[c]) for c in range(4)), pa.array([c[0] for c in part], kinds[4]), pa.array([c[1] for c in part], kinds[5])], names=names)
 
     for batch in batches:
         for b, run in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -307,8 +321,8 @@ def _settle(large: DataFrame, facts: DataFrame, groups: DataFrame, sets_of, thre
     nodes = cut(named.select("node", "low").distinct().join(family, "node"))
     # blocks of about BLOCK by hash, so that no family is numbered in one task
     count = nodes.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    nodes = nodes.join(count, "family").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    nodes = sets_of(nodes).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    nodes = cut(nodes.join(count, "family").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    nodes = nodes.join(sets_of(nodes.select("node")), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     nodes = nodes.select("family", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "node", "low", "shingles")
     return nodes.groupBy("family", "i", "j").applyInPandas(_block_links(threshold), "u long, v long")
 
@@ -329,18 +343,24 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     buckets = 2 * width
     runs = docs.select("text").mapInArrow(_sign(buckets), "bucket int, run binary")
     matched = stored(runs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _MATCHED))
-    pairs = cut(matched.where("low is not null").select("low", "high").distinct())
-    wanted = cut(pairs.select(F.explode(F.array("low", "high")).alias("node")).distinct().join(classes, "node"))
-    chosen = wanted if wanted.count() > BROADCAST_NODES else F.broadcast(wanted)
-    texts = docs.join(chosen, docs.doc_id == chosen.rep).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
-    texts = stored(texts.dropDuplicates(["node"]))
+    # similar sets share `need` signatures; a true pair counted too low in large groups is found when these are settled
+    pairs = matched.where("low is not null").groupBy("low", "high").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    pairs = cut(pairs.where("shared >= need").select("low", "high"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = cut(nodes.distinct().join(classes, "node"))
+        chosen = wanted if wanted.count() > BROADCAST_NODES else F.broadcast(wanted)
+        texts = docs.join(chosen, docs.doc_id == chosen.rep).select("node", "text")
+        return texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+
+    texts = stored(sets_of(pairs.select(F.explode(F.array("low", "high")).alias("node"))))
     left = texts.select(F.col("node").alias("low"), F.col("shingles").alias("a"))
     right = texts.select(F.col("node").alias("high"), F.col("shingles").alias("b"))
     both = pairs.join(right, "high").join(left, "low").select("low", "high", "a", "b")
     links = cut(both.mapInArrow(_verify(threshold), "u long, v long"))
     groups = cut(components(links))
     large = matched.where("sig is not null").select("sig", F.explode("members").alias("node"))
-    more = _settle(large, facts.where("node is not null"), groups, lambda nodes: nodes.join(texts, "node"), threshold)
+    more = _settle(large, facts.where("node is not null"), groups, sets_of, threshold)
     if more is not None:
         groups = cut(components(links.union(cut(more))))
     low = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("low", "node").alias("low"))
