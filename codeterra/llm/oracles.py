@@ -16,3 +16,33 @@ reach(doc_id, r) AS (SELECT u, v FROM links UNION SELECT reach.doc_id, links.v F
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(reach.r), s.doc_id)) AS component_id
 FROM s LEFT JOIN reach ON reach.doc_id = s.doc_id GROUP BY s.doc_id, len(s.g)
 """
+
+_PLAIN_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+WINNOWING = rf"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS a FROM documents),
+b AS (SELECT item_id, {_PLAIN_WORDS} AS a FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, k, array_to_string(a[i:i + k - 1], ' ') AS run
+  FROM (SELECT item_id, a, least(len(a), 10) AS k, unnest(range(1, len(a) - least(len(a), 10) + 2)) AS i FROM b WHERE len(a) > 0)),
+p AS (
+  SELECT doc_id, k, i, array_to_string(a[i:i + k - 1], ' ') AS run
+  FROM (SELECT doc_id, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM w) WHERE len(a) >= k)),
+hit AS (SELECT doc_id, p.k, i, item_id FROM p JOIN w ON p.k = w.k AND p.run = w.run),
+n_hit AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(len(coalesce(ids, [])) AS BIGINT) AS n_items,
+  sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(a[i:i + 49], ' ')) AS run FROM (SELECT doc_id, a, unnest(range(1, len(a) - 48)) AS i FROM d WHERE len(a) >= 50)),
+low AS (SELECT run, min(doc_id) AS low FROM w GROUP BY run),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS x FROM w JOIN low USING (run) WHERE low < doc_id),
+gone_of AS (SELECT doc_id, list(x) AS xs, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN a ELSE list_filter(a, lambda word, x: NOT list_contains(xs, x)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone_of USING (doc_id)
+"""
