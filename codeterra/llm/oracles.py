@@ -46,3 +46,41 @@ SELECT d.doc_id, CAST(len(a) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(array_to_string(CASE WHEN n IS NULL THEN a ELSE list_filter(a, lambda word, x: NOT list_contains(xs, x)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone_of USING (doc_id)
 """
+
+SECRETS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT * FROM (VALUES
+    ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    ('access', 1, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 2, '[0-9a-f]+', 0, 24)) v(kind, rank, p, g, least)),
+m AS (
+  SELECT doc_id, kind, rank, t, CASE rank WHEN 0 THEN regexp_extract_all(t, (SELECT p FROM k WHERE rank = 0)) WHEN 1 THEN regexp_extract_all(t, (SELECT p FROM k WHERE rank = 1)) ELSE regexp_extract_all(t, (SELECT p FROM k WHERE rank = 2)) END AS a, g, least, p
+  FROM d CROSS JOIN k WHERE regexp_matches(t, CASE rank WHEN 0 THEN (SELECT p FROM k WHERE rank = 0) WHEN 1 THEN 'AKIA[A-Z0-9]' ELSE '[0-9a-f]{24}' END)),
+s AS (
+  WITH RECURSIVE r(doc_id, kind, rank, i, rest, past, a, w, start) AS (
+    SELECT doc_id, kind, rank, CAST(0 AS BIGINT), t, CAST(0 AS BIGINT), a, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM m
+    UNION ALL
+    SELECT doc_id, kind, rank, i + 1, substr(rest, here + length(x)), past + here - 1 + length(x), a, x, past + here - 1
+    FROM (SELECT *, a[i + 1] AS x, instr(rest, a[i + 1]) AS here FROM r WHERE i < len(a)))
+  SELECT doc_id, kind, rank, w, start, start + length(w) AS stop FROM r WHERE w IS NOT NULL),
+ok AS (
+  SELECT doc_id, kind, rank, start, stop FROM s
+  WHERE CASE rank WHEN 0 THEN length(regexp_extract(w, (SELECT p FROM k WHERE rank = 0), 2)) >= 6 WHEN 1 THEN length(w) >= 20 ELSE length(w) >= 24 END),
+g AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM ok GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+URL_FILTER = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) v(verdict, h, q)),
+best AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeterra.llm import decontaminate, jaccard_join, oracles, packing, substring_dedup, toxicity
+from codeterra.llm import decontaminate, jaccard_join, merkle, oracles, packing, secret_scan, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.findings(docs, secret_scan.scan(docs))
+    counts = [secret_scan.count_of(F.col("spans"), rule.kind).alias(f"n_{rule.kind}") for rule in secret_scan.RULES]
+    spans = secret_scan.listed(F.col("spans"))
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -34,6 +46,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
@@ -45,14 +62,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_merkle": op2_merkle,
+    "op3_secret_scan": op3_secret_scan,
     "op4_winnowing": op4_winnowing,
+    "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": oracles.SECRETS,
     "op4_winnowing": oracles.WINNOWING,
+    "op5_url_filter": oracles.URL_FILTER,
     "op7_jaccard_join": oracles.JACCARD_JOIN,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
 }
