@@ -24,7 +24,7 @@ SPAN = 10
 KGRAM = 5
 BLOCK_WORDS = 4_000_000
 
-_SCANNED = "doc_id long, text string, n_words long, spans array<struct<start:long,end:long>>, item_ids array<string>"
+_SCANNED = ["__id", "__text", "n_words", "spans", "item_ids"]
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def _scan(index):
                     both = np.array(old + [(a, a + n) for a, n in new.tolist()])
                     spans[d] = [{"start": a, "end": b} for a, b in _runs(both[:, 0], both[:, 1] - both[:, 0])]
                     items[d] = sorted({*items[d], *block.names[np.unique(found[mine])].tolist()})
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(words.counts, pa.int64()), pa.array(spans, struct), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "item_ids"])
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(words.counts, pa.int64()), pa.array(spans, struct), pa.array(items, pa.list_(pa.string())), *part.columns[5:]], names=[*_SCANNED, *part.schema.names[5:]])
 
     return run
 
@@ -150,23 +150,31 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(at, end - at), pa.array(words.counts, pa.int64()), pa.array(runs, pa.binary())], names=["name", "n", "words"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, n_words, n_hit, spans, item_ids), a row for each row of docs.
+def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs(doc_id, text) and benchmark(item_id, text) -> all columns of docs and n_words, n_hit, spans, item_ids, a row for each row of docs.
 
     spans are disjoint runs [start, end) of hit words, n_hit their total length, item_ids the sorted distinct ids (as
     text) of items with an occurring window. Null texts have no words; an item without words never occurs; an item_id
-    of null is named "null"; repeated items count once. An empty benchmark gives no hits, an empty docs no rows. Other
-    columns of either table are ignored.
+    of null is named "null"; repeated items count once. An empty benchmark gives no hits, an empty docs no rows. Columns
+    of docs with the names of new ones are replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
     items = items.mapInArrow(_item_words, "name string, n long, words binary").where("n > 0").distinct()
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("item_ids"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_hit", "spans", "item_ids")]
+    carried = [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(rest)]
+    out = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("item_ids"), *carried)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("name", "words"), F.lit(blocks)) == k).collect()  # at most about BLOCK_WORDS words
         index = Index([r["name"] for r in rows], [np.frombuffer(r["words"], dtype=np.uint64) for r in rows])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(index)), _SCANNED)
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(index)), out.schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), "spans", "item_ids")
+    back = {"doc_id": "__id", "text": "__text"} | {c: f"__{k}" for k, c in enumerate(rest)}
+    return out.select(*[F.col(back[c]).alias(c) for c in docs.columns if c in back], "n_words", hit.alias("n_hit"), "spans", "item_ids")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, spans, item_ids) of flagged()."""
+    return flagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).drop("text")

@@ -76,14 +76,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return blobs.select("blob", F.col("unseen").alias("rules"), F.array_sort(F.concat(*found)).alias("spans"))
 
 
-def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """All columns of versions with one more, spans: what the ledger has on each row's text, for every row.
+def findings(versions: DataFrame, ledger: DataFrame, into: str = "spans") -> DataFrame:
+    """All columns of versions with one more, into: what the ledger has on each row's text, for every row.
 
-    Only blobs with findings are joined; a column spans in versions is replaced.
+    Only blobs with findings are joined; a column of that name in versions is replaced.
     """
-    held = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    rows = versions.drop("spans").withColumn("__blob", blob_of(F.col("text")))
-    return rows.join(held, rows["__blob"] == held["blob"], "left").drop("__blob", "blob").withColumn("spans", F.coalesce("spans", F.expr(_NONE)))
+    held = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__found"))
+    rows = versions.drop(into).withColumn("__blob", blob_of(F.col("text")))
+    return rows.join(held, "__blob", "left").withColumn(into, F.coalesce("__found", F.expr(_NONE))).drop("__blob", "__found")
 
 
 def listed(found: Column) -> Column:

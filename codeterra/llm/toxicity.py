@@ -144,21 +144,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([x for x, k in zip(pairs, got["kind"]) if k == 1], [x for x, k in zip(pairs, got["kind"]) if k == 0], prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score (0 to 1, higher: likelier toxic) added for every row; a null or empty text gets what no word gives.
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """docs with a column into (0 to 1, higher: likelier toxic) added for every row; a null or empty text gets what no word gives.
 
     A column of that name in docs is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(into)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [shared.value.scores(words) for _, _, words in textnum.word_slices(batch.column(place), textnum.PLAIN_WORDS, lower=True)]
-            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*batch.schema.names, "score"])
+            yield pa.record_batch([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(into)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
