@@ -3,16 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from codeterra.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
+from codeterra.llm.lineage import stored
+
+_MADE = "__made"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go; the classifier learns from those of the labelled rows that are here."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, _MADE).where(F.col(_MADE) < 0.5).drop(_MADE)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest doc_id stays, once; of rows without a doc_id one of each text."""
+    found = jaccard_join.near_duplicates(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with an item of the benchmark go."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias(_MADE))
+    found = decontaminate.flagged(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0")
+    return found.select(*[f"{_MADE}.{c}" if c in rest else c for c in docs.columns])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are replaced by a mark, n_chars follows."""
+    found = secret_scan.findings(docs, secret_scan.scan(docs), _MADE)
+    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col(_MADE)))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size(_MADE) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences in which every source has its part of all tokens."""
+    return packing.pack(docs, packing.tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("winnowing", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_sequences),
+]
 
 #: SQL cannot express the first stage (a trained classifier) or the last (packing).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result stored and read again."""
+    """All stages over documents, each one's result stored as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
