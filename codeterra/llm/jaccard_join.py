@@ -13,7 +13,7 @@ Signatures travel as sorted binary runs by signature bucket, not as single rows,
 start. Groups of one signature give all pairs where small; a large group gives only links to a few leaders and along
 a ring, which keeps pairs in proportion to signatures. Every candidate pair is verified on the whole sets. Large
 groups that are still in several components after that are taken up again: nodes with more such signatures than their
-SLACK are compared in blocks (see _settle), so no link between components is lost.
+SLACK meet at rare elements, or are compared in blocks (see _settle), so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ SMALL_GROUP = 6
 LEADERS = 2
 #: Members of a large signature group in one row.
 CHUNK = 4096
-#: Sets compared with one another at a time when large groups are taken up again.
+#: Sets compared with one another at a time when large groups are taken up again, and the open sets that a rare element may be in.
 BLOCK = 256
+FEW = 8
 #: Signatures held in a task before they are sorted and handed on.
 RUN = 3_000_000
 #: Node ids that a task may hold to pick the candidates' texts; beyond, a shuffle join does.
@@ -298,33 +299,78 @@ def _block_links(threshold: tuple[int, int]):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, low, shingles) -> a row for each element."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sets = [np.frombuffer(x.as_py(), dtype=np.int64) for x in part.column(2)]
+            many = [len(x) for x in sets]
+            node, low = (np.repeat(part.column(k).to_numpy(), many) for k in (0, 1))
+            yield pa.record_batch([pa.array(node), pa.array(low), pa.array(np.repeat(many, many).astype(np.int64)), pa.array(np.concatenate(sets))], names=["node", "low", "n", "h"])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (low, high) whose sets are similar, as links (u, v)."""
+    left = sets.select(F.col("node").alias("low"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("high"), F.col("shingles").alias("b"))
+    both = pairs.join(right, "high").join(left, "low").select("low", "high", "a", "b")
+    return both.mapInArrow(_verify(threshold), "u long, v long")
+
+
 def _settle(large: DataFrame, facts: DataFrame, groups: DataFrame, sets_of, threshold: tuple[int, int]) -> DataFrame | None:
     """Links that large signature groups still hide, given large(sig, node) and groups(node, low) found so far.
 
     A group inside one component hides none. Similar sets share 1 + SLACK signatures or more, so a node with no more
     than SLACK (of the smallest partner it can have) of its groups unsettled has met each of its partners in a settled
-    group. Only the others go on, as long as their groups span components; the nodes that such groups connect are cut
-    into blocks, and blocks are compared pair by pair.
+    group. The others are open; they take up the search by single elements, those in more than FEW open sets last. Of two
+    similar sets each has at most n * (1 - t) elements that the other lacks, so the first shared element, in one order
+    for all, is among the first n * (1 - t) + 1 of both: sets meet at elements that few have. Only a set with less such
+    elements than that, most of which is therefore common text, can be similar to another without meeting it, and then
+    the other is such a set, too. These are compared in blocks, with those of their size and their unsettled groups.
     """
+    num, den = threshold
     named = large.join(groups, "node", "left").select("sig", "node", F.coalesce("low", "node").alias("low"))
     split = named.groupBy("sig").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("sig")
     named = named.join(split, "sig")
-    least = F.floor(F.floor(F.col("n_shingles") * threshold[0] / threshold[1]) / 12) + 1
+    least = F.floor(F.floor(F.col("n_shingles") * num / den) / 12) + 1
     sizes = facts.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"))
     open_ = named.groupBy("node").agg(F.count("*").alias("n")).join(sizes, "node").where(F.col("n") > least).select("node")
-    named = named.join(open_, "node")
-    split = named.groupBy("sig").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.min("node").alias("lead")).where("a <> b")
-    named = cut(named.join(split.select("sig", "lead"), "sig").select("node", "low", "lead").distinct())
+    named = cut(named.join(open_, "node"))
     if named.isEmpty():
         return None
-    family = components(named.select(F.col("node").alias("u"), F.col("lead").alias("v"))).withColumnRenamed("low", "family")
-    nodes = cut(named.select("node", "low").distinct().join(family, "node"))
-    # blocks of about BLOCK by hash, so that no family is numbered in one task
-    count = nodes.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    nodes = cut(nodes.join(count, "family").withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    nodes = nodes.join(sets_of(nodes.select("node")), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    nodes = nodes.select("family", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "node", "low", "shingles")
-    return nodes.groupBy("family", "i", "j").applyInPandas(_block_links(threshold), "u long, v long")
+    nodes = named.select("node", "low").distinct()
+    sets = stored(nodes.join(sets_of(nodes.select("node")), "node").select("node", "low", "shingles"))
+    elements = stored(sets.mapInArrow(_elements, "node long, low long, n long, h long"))
+    common = elements.groupBy("h").count().where(F.col("count") > FEW).select("h")
+    first = F.floor(F.col("n") * (den - num) / den).cast("int") + 1
+    rare = elements.join(common, "h", "left_anti").groupBy("node", "low", "n").agg(F.sort_array(F.collect_list("h")).alias("rare"))
+    rare = stored(rare.select("node", "low", "n", F.size("rare").alias("held"), F.slice("rare", F.lit(1), first).alias("first")))
+    meet = rare.select(F.struct("node", "low", "n").alias("x"), F.explode("first").alias("h")).groupBy("h").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
+    meet = meet.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b")).where("a.node < b.node and a.low <> b.low")  # at most FEW of one element
+    fits = F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num
+    pairs = meet.where(fits).select(F.col("a.node").alias("low"), F.col("b.node").alias("high")).distinct()
+    found = cut(_links(pairs, sets, threshold))
+    spent = sets.select("node").join(rare.where(F.col("held") >= first).select("node"), "node", "left_anti")
+    named = named.join(spent, "node", "left_semi")
+    split = named.groupBy("sig").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.min("node").alias("lead")).where("a <> b")
+    named = cut(named.join(split.select("sig", "lead"), "sig").select("node", "low", "lead").distinct())
+    if not named.isEmpty():
+        family = components(named.select(F.col("node").alias("u"), F.col("lead").alias("v"))).withColumnRenamed("low", "family")
+        tied = named.select("node", "low").distinct().join(family, "node").join(sets.select("node", "shingles"), "node")
+        # similar sets are of one size class or of two neighbours; the smaller one is compared in both
+        size = F.floor(F.log(F.octet_length("shingles") / 8.0) / math.log(den / num) + 1e-9).cast("int")
+        tied = cut(tied.withColumn("size", F.explode(F.array(size, size + 1))))
+        # blocks of about BLOCK by hash, so that no family is numbered in one task
+        count = tied.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        tied = tied.join(count, ["family", "size"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        tied = tied.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        tied = tied.select("family", "size", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "node", "low", "shingles")
+        found = found.union(tied.groupBy("family", "size", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"))
+    found = cut(found)
+    for x in (sets, elements, rare):
+        drop_stored(x)
+    return found
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -354,15 +400,12 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
         return texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
 
     texts = stored(sets_of(pairs.select(F.explode(F.array("low", "high")).alias("node"))))
-    left = texts.select(F.col("node").alias("low"), F.col("shingles").alias("a"))
-    right = texts.select(F.col("node").alias("high"), F.col("shingles").alias("b"))
-    both = pairs.join(right, "high").join(left, "low").select("low", "high", "a", "b")
-    links = cut(both.mapInArrow(_verify(threshold), "u long, v long"))
+    links = cut(_links(pairs, texts, threshold))
     groups = cut(components(links))
     large = matched.where("sig is not null").select("sig", F.explode("members").alias("node"))
     more = _settle(large, facts.where("node is not null"), groups, sets_of, threshold)
     if more is not None:
-        groups = cut(components(links.union(cut(more))))
+        groups = cut(components(links.union(more)))
     low = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("low", "node").alias("low"))
     smallest = low.groupBy("low").agg(F.min("rep").alias("component_id"))
     named = low.join(smallest, "low").select("node", "component_id")
