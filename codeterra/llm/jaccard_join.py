@@ -275,7 +275,7 @@ def _verify(threshold: tuple[int, int]):
 
 
 def _block_links(threshold: tuple[int, int]):
-    """Links between components among the sets of two blocks, one for each pair of components that they join."""
+    """Links between components among the sets of two blocks: as many as join what they connect, one less than that has components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
@@ -290,11 +290,21 @@ def _block_links(threshold: tuple[int, int]):
             grid[owner[here], column[here] - at] = 1
             same += grid @ grid.T
         total = sizes[:, None] + sizes[None, :]
-        group = pdf["low"].to_numpy()
-        ok = (same * sum(threshold) >= threshold[0] * total) & (group[:, None] < group[None, :])
-        a, b = np.nonzero(ok)
-        found = pd.DataFrame({"u": pdf["node"].to_numpy()[a], "v": pdf["node"].to_numpy()[b], "x": group[a], "y": group[b]})
-        return found.drop_duplicates(["x", "y"])[["u", "v"]].astype("int64")
+        group, node = pdf["low"].to_numpy(), pdf["node"].to_numpy()
+        similar = same * sum(threshold) >= threshold[0] * total
+        # a walk through similar sets and through components; its steps between components are the links
+        unseen, links = np.ones(len(sets), dtype=bool), []
+        for start in range(len(sets)):
+            front = [start] if unseen[start] else []
+            unseen[start] = False
+            while front:
+                at = front.pop()
+                own = group == group[at]
+                new = unseen & (similar[at] | own)
+                front += np.flatnonzero(new).tolist()
+                links += [(node[at], node[k]) for k in np.flatnonzero(new & ~own).tolist()]
+                unseen &= ~new
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
 
     return run
 
