@@ -51,7 +51,7 @@ def spans(text):
     found = []
     kinds = ((r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), (r"AKIA[A-Z0-9]+", 0, 20), (r"[0-9a-f]+", 0, 24))
     for rank, (pattern, group, least) in enumerate(kinds):
-        found += [(m.start(), rank, ("assign", "access", "hex")[rank], m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+        found += [(m.start(), rank, ("assign", "access", "hex")[rank], m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
     return sorted(found)
 
 
