@@ -127,7 +127,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     rows = docs.mapInArrow(_place(window), "anchor long, passage long, doc_id long, begin int, size short")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    rows = stored(rows.join(shared, "anchor"))
+    # an anchor may be in a third of all documents: what meets rows is stored first, so both sides are plain shuffles that can be split
+    rows = stored(rows.join(cut(shared), "anchor"))
     passages = rows.groupBy("anchor", "passage").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("begin", "size"), "doc_id").alias("at"))
     passages = stored(passages)
     several = passages.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -140,12 +141,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # the passage of the smallest doc_id has what its shard found, all its later copies are covered whole
     first = passages.select("anchor", "passage", F.col("doc_id").alias("first"))
     own = found.groupBy("anchor", "passage").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    rows = rows.join(first, ["anchor", "passage"]).join(own, ["anchor", "passage"], "left")
+    known = stored(first.join(own, ["anchor", "passage"], "left"))
+    rows = rows.join(known, ["anchor", "passage"])
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end")))
     runs = F.when(F.col("doc_id") > F.col("first"), F.when(F.col("size") >= window, whole)).otherwise(F.col("runs"))
     runs = F.transform(runs, lambda r: F.struct((F.col("begin") + r["start"]).alias("start"), (F.col("begin") + r["end"]).alias("end")))
     spans = cut(rows.select("doc_id", runs.alias("runs")).where("runs is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans")))
-    for x in (rows, passages, texts):
+    for x in (rows, passages, texts, known):
         drop_stored(x)
     return spans
 
