@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from codeterra.llm.lineage import cut
 
+#: Edges in a partition between steps, about; fewer edges than partitions would only make small files.
+EDGES = 200_000
+
 
 def _minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("key"), F.least("u", "low").alias("low"))
@@ -40,5 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or now["n"] == 0:
             break
         state = now
-        edges = cut(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct())
+        parts = -(-now["n"] // EDGES)
+        large = _large_star(edges.coalesce(parts)).where("u <> v").distinct().coalesce(parts)
+        edges = cut(_small_star(large).where("u <> v").distinct().coalesce(parts))
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("low")).distinct())
