@@ -12,8 +12,9 @@ band also sign for the next one, so a pair meets in the band of its larger set.
 Signatures travel as sorted binary runs by signature bucket, not as single rows, and equal sets are one node from the
 start. Groups of one signature give all pairs where small; a large group gives only links to a few leaders and along
 a ring, which keeps pairs in proportion to signatures. Every candidate pair is verified on the whole sets. Large
-groups that are still in several components after that are taken up again: nodes with more such signatures than their
-SLACK meet at rare elements, or are compared in blocks (see _settle), so no link between components is lost.
+groups that are still in several components after that are taken up again: pairs of small groups that such signatures
+may make up for are verified, too, and nodes with more of them than their SLACK meet at rare elements, or are compared
+in blocks (see _settle), so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -328,12 +329,14 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> Dat
     return both.mapInArrow(_verify(threshold), "u long, v long")
 
 
-def _settle(large: DataFrame, facts: DataFrame, groups: DataFrame, sets_of, threshold: tuple[int, int]) -> DataFrame | None:
-    """Links that large signature groups still hide, given large(sig, node) and groups(node, low) found so far.
+def _settle(large: DataFrame, pairs: DataFrame, facts: DataFrame, groups: DataFrame, sets_of, threshold: tuple[int, int]) -> DataFrame | None:
+    """Links that large signature groups still hide, given large(sig, node), pairs(low, high, shared, need) by bucket and groups(node, low) found so far.
 
-    A group inside one component hides none. Similar sets share 1 + SLACK signatures or more, so a node with no more
-    than SLACK (of the smallest partner it can have) of its groups unsettled has met each of its partners in a settled
-    group. The others are open; they take up the search by single elements, those in more than FEW open sets last. Of two
+    A group inside one component hides none. Similar sets share 1 + SLACK signatures or more. If they share one of a
+    small group, they are among the pairs; counted too low there, the rest of their signatures is in groups unsettled
+    for both, so such pairs are verified. If they share none of a small group, a node with no more than SLACK (of the
+    smallest partner it can have) of its groups unsettled has met each of these partners in a settled group. The others
+    are open; they take up the search by single elements, those in more than FEW open sets last. Of two
     similar sets each has at most n * (1 - t) elements that the other lacks, so the first shared element, in one order
     for all, is among the first n * (1 - t) + 1 of both: sets meet at elements that few have. Only a set with less such
     elements than that, most of which is therefore common text, can be similar to another without meeting it, and then
@@ -343,12 +346,22 @@ def _settle(large: DataFrame, facts: DataFrame, groups: DataFrame, sets_of, thre
     named = large.join(groups, "node", "left").select("sig", "node", F.coalesce("low", "node").alias("low"))
     split = named.groupBy("sig").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a <> b").select("sig")
     named = named.join(split, "sig")
+    unsettled = cut(named.groupBy("node", "low").agg(F.count("*").alias("n")))
+    if unsettled.isEmpty():
+        return None
+    left, right = (unsettled.select(F.col("node").alias(x), F.col("low").alias(f"{x}_group"), F.col("n").alias(f"{x}_n")) for x in ("low", "high"))
+    doubtful = pairs.join(left, "low").join(right, "high").where("low_group <> high_group")
+    doubtful = doubtful.groupBy("low", "high").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"), F.min(F.least("low_n", "high_n")).alias("more"))
+    doubtful = cut(doubtful.where("shared < need and shared + more >= need").select("low", "high"))
+    met = None
+    if not doubtful.isEmpty():
+        met = cut(_links(doubtful, sets_of(doubtful.select(F.explode(F.array("low", "high")).alias("node"))), threshold))
     least = F.floor(F.floor(F.col("n_shingles") * num / den) / 12) + 1
     sizes = facts.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"))
-    open_ = named.groupBy("node").agg(F.count("*").alias("n")).join(sizes, "node").where(F.col("n") > least).select("node")
+    open_ = unsettled.join(sizes, "node").where(F.col("n") > least).select("node")
     named = cut(named.join(open_, "node"))
     if named.isEmpty():
-        return None
+        return met
     nodes = named.select("node", "low").distinct()
     sets = stored(nodes.join(sets_of(nodes.select("node")), "node").select("node", "low", "shingles"))
     elements = stored(sets.mapInArrow(_elements, "node long, low long, n long, h long"))
@@ -377,7 +390,7 @@ def _settle(large: DataFrame, facts: DataFrame, groups: DataFrame, sets_of, thre
         tied = tied.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         tied = tied.select("family", "size", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "node", "low", "shingles")
         found = found.union(tied.groupBy("family", "size", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"))
-    found = cut(found)
+    found = cut(found if met is None else found.union(met))
     for x in (sets, elements, rare):
         drop_stored(x)
     return found
@@ -400,7 +413,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     runs = docs.select("text").mapInArrow(_sign(buckets), "bucket int, run binary")
     matched = stored(runs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _MATCHED))
     # similar sets share `need` signatures; a true pair counted too low in large groups is found when these are settled
-    pairs = matched.where("low is not null").groupBy("low", "high").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    counted = matched.where("low is not null").select("low", "high", "shared", "need")
+    pairs = counted.groupBy("low", "high").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
     pairs = cut(pairs.where("shared >= need").select("low", "high"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -413,7 +427,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     links = cut(_links(pairs, texts, threshold))
     groups = cut(components(links))
     large = matched.where("sig is not null").select("sig", F.explode("members").alias("node"))
-    more = _settle(large, facts.where("node is not null"), groups, sets_of, threshold)
+    more = _settle(large, counted, facts.where("node is not null"), groups, sets_of, threshold)
     if more is not None:
         groups = cut(components(links.union(more)))
     low = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("low", "node").alias("low"))

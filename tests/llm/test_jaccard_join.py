@@ -63,5 +63,18 @@ def test_a_common_passage_hides_no_links(spark):
     check(spark, rows)
 
 
+def test_a_hot_shingle_beside_a_small_group(spark):
+    """Near copies of 7 to 10 words that share one signature with 20 other texts and the rest with each other only."""
+    rows = []
+    for family in range(12):
+        opening = [f"o{family}_{k}" for k in range(5)]
+        for k in range(20):
+            rows.append((len(rows), " ".join([*opening, *(f"x{family}_{k}_{i}" for i in range(6))])))
+        for k, n in enumerate((7, 8, 9, 10)):
+            base = [*opening, *(f"b{family}_{k}_{i}" for i in range(n - 5))]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, f"end{family}_{k}"]))]
+    check(spark, rows)
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_duplicates(frame(spark, [], "doc_id long, text string")).count() == 0
