@@ -8,7 +8,9 @@ rounds is cut every LENGTH tokens; only the last sequence is not full.
 
 As the number of tokens that any queue has been served after r rounds is known, no round is simulated: a document's
 place follows from its place in its queue, which is a sum over the blocks (tasks) before it. Deficits therefore carry
-over rounds, sequences and partitions alike, and a hot source is as many blocks as its rows need.
+over rounds, sequences and partitions alike, and a hot source is as many blocks as its rows need. Totals by queue are kept
+by each task where there are few queues; where there are many, the turns of all queues are sorted by round and queue, and
+a turn's place is the sum over those before it. Both give the same places.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeterra.llm.lineage import drop_stored, stored
+from codeterra.llm.lineage import drop_stored, shuffle_width, stored
 
 LENGTH = 1024
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Sources beyond so many share queues by hash: totals by queue are kept by each task.
+#: Totals by queue are kept by each task for so many sources at most; beyond, turns are sorted.
 MAX_QUEUES = 4096
 #: Fraction bits of a quantum.
 FRACTION = 16
@@ -168,47 +170,103 @@ class Rounds:
         stop = np.minimum(done, (first + n)[row])
         some = stop > start
         row, start, stop, position = row[some], start[some], stop[some], position[some]
-        position = position + start
-        # runs of one document without a gap in the stream are one piece; sequences cut it again
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (position[1:] != position[:-1] + (stop - start)[:-1])
-        head = np.flatnonzero(new)
-        size = np.add.reduceat(stop - start, head) if len(head) else head
-        row, start, position = row[head], start[head] - first[row[head]], position[head]
-        cuts = (position + size - 1) // self.length - position // self.length + 1
-        again = np.repeat(np.arange(len(row)), cuts)
-        k = np.arange(len(again)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        left = np.maximum(position[again], (position[again] // self.length + k) * self.length)
-        right = np.minimum((position + size)[again], (position[again] // self.length + k + 1) * self.length)
-        return row[again], start[again] + left - position[again], right - left, left
+        return merged(row, start - first[row], stop - start, position + start, self.length)
+
+
+def merged(row: np.ndarray, start: np.ndarray, size: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of one document without a gap in the stream as one piece; sequences cut it again."""
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (position[1:] != position[:-1] + size[:-1])
+    head = np.flatnonzero(new)
+    size = np.add.reduceat(size, head) if len(head) else head
+    row, start, position = row[head], start[head], position[head]
+    cuts = (position + size - 1) // length - position // length + 1
+    again = np.repeat(np.arange(len(row)), cuts)
+    k = np.arange(len(again)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    left = np.maximum(position[again], (position[again] // length + k) * length)
+    right = np.minimum((position + size)[again], (position[again] // length + k + 1) * length)
+    return row[again], start[again] + left - position[again], right - left, left
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (queue, first, n, quantum) -> the document's tokens by the rounds that serve them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            first, n, quantum = (part.column(k).to_numpy() for k in (1, 2, 3))
+            row = np.repeat(np.arange(len(n)), n)
+            token = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            rounds = -((-(token + 1) << FRACTION) // quantum[row])
+            head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (rounds[1:] != rounds[:-1]))))
+            size = np.diff(np.append(head, len(row)))
+            yield pa.record_batch([part.column(0).take(pa.array(row[head])), pa.array(first[row[head]]), pa.array(token[head]), pa.array(size), pa.array(rounds[head])], names=["queue", "first", "token", "size", "round"])
+
+
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns -> (queue, first, token, size, part, place), place being the sum of sizes before it in this task."""
+    from pyspark import TaskContext
+
+    task, done = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        size = batch.column(3).to_numpy()
+        place = done + np.cumsum(size) - size
+        done += int(size.sum())
+        yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array([task] * len(size), pa.int32()), pa.array(place, pa.int64())], names=["queue", "first", "token", "size", "part", "place"])
+
+
+def _sorted_turns(placed: DataFrame, totals: DataFrame, length: int, shares: dict[str, float] | None) -> DataFrame:
+    """placed with the turns array<struct<token, size, position>> of each document, by a sort of all turns."""
+    spark = placed.sparkSession
+    want = totals.select("queue", F.col("sum").cast("double").alias("want"))
+    if shares:
+        named = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], "queue string, share double")
+        want = totals.join(named, "queue", "left").select("queue", F.coalesce("share", F.lit(0.0)).alias("want"))
+    whole = want.agg(F.sum("want")).first()[0] or 0.0
+    quanta = want.select("queue", F.greatest(F.lit(1), F.rint(F.col("want") / max(whole, 1e-9) * (length << FRACTION)).cast("long")).alias("quantum"))
+    turns = placed.select("queue", "first", "n").join(quanta, "queue").select("queue", "first", "n", "quantum")
+    turns = turns.mapInArrow(_turns, "queue string, first long, token long, size long, round long")
+    order = ["round", "queue", "token"]
+    turns = turns.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    turns = stored(turns.mapInArrow(_before, "queue string, first long, token long, size long, part int, place long"))
+    sums = turns.groupBy("part").agg(F.sum("size").alias("sum"))  # a row for each partition
+    earlier = F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.join(F.broadcast(sums.select("part", earlier.alias("ahead"))), "part")
+    own = turns.groupBy("queue", "first").agg(F.array_sort(F.collect_list(F.struct("token", "size", (F.col("ahead") + F.col("place")).alias("position")))).alias("turns"))
+    return placed.join(own, ["queue", "first"])
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
-def _place(shared, width: str, with_ids: bool):
+def _place(shared, length: int, width: str, with_ids: bool):
+    """Pieces by the shared Rounds, or by each row's own turns where shared is None."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rounds: Rounds = shared.value
+        rounds: Rounds | None = shared and shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                names = part.column(1).to_pylist()
-                queue = np.array([rounds.at[x] for x in names], dtype=np.int64)
-                first = part.column(2).to_numpy() + part.column(3).to_numpy()
-                n = part.column(4).to_numpy()
-                row, start, length, position = rounds.pieces(queue, first, n)
-                ids = [memoryview(np.frombuffer(x.as_py(), dtype=width).astype("<u4").tobytes()) for x in part.column(5)]
-                cut = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist())]
+                first, n = part.column(2).to_numpy(), part.column(3).to_numpy()
+                if rounds:
+                    queue = np.array([rounds.at[x] for x in part.column(1).to_pylist()], dtype=np.int64)
+                    row, start, size, position = rounds.pieces(queue, first, n)
+                else:
+                    turns = part.column(5)
+                    row = np.repeat(np.arange(len(n)), turns.value_lengths().to_numpy())
+                    token, size, position = (x.to_numpy() for x in turns.flatten().flatten())
+                    row, start, size, position = merged(row, token - first[row], size, position, length)
+                ids = [memoryview(np.frombuffer(x.as_py(), dtype=width).astype("<u4").tobytes()) for x in part.column(4)]
+                cut = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), size.tolist())]
                 rows = pa.array(row)
                 yield pa.record_batch(
                     [
                         part.column(0).take(rows),
                         pa.array(start),
-                        pa.array(length),
+                        pa.array(size),
                         pa.array([zlib.crc32(x) for x in cut], pa.int64()),
                         pa.array(n[row]),
-                        pa.array(position // rounds.length),
-                        pa.array(position % rounds.length),
+                        pa.array(position // length),
+                        pa.array(position % length),
                         part.column(1).take(rows),
                         pa.array([x.tobytes() for x in cut] if with_ids else [None] * len(cut), pa.binary()),
                     ],
@@ -231,16 +289,19 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, shares: dict[
     width = _width(tokenizer)
     queue = F.coalesce("source", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue"))
-    if not shares and docs.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        docs = docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
     tokens = stored(docs.mapInArrow(_tokenize(tokenizer, width), "doc_id long, queue string, block int, before long, n long, ids binary"))
     blocks = tokens.groupBy("queue", "block").agg(F.sum("n").alias("sum"))
-    totals = {r["queue"]: r["sum"] for r in blocks.groupBy("queue").agg(F.sum("sum").alias("sum")).collect()}  # at most MAX_QUEUES rows
+    totals = blocks.groupBy("queue").agg(F.sum("sum").alias("sum"))
+    few = totals.limit(MAX_QUEUES + 1).collect()  # at most MAX_QUEUES + 1 rows
     earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = blocks.select("queue", "block", earlier.alias("base"))
-    placed = tokens.join(base, ["queue", "block"]).select("doc_id", "queue", "base", "before", "n", "ids")
-    shared = spark.sparkContext.broadcast(Rounds(totals, length, shares))
-    out = placed.mapInArrow(_place(shared, width, with_ids), _PIECES)
+    placed = tokens.join(base, ["queue", "block"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
+    shared = None
+    if len(few) <= MAX_QUEUES:
+        shared = spark.sparkContext.broadcast(Rounds({r["queue"]: r["sum"] for r in few}, length, shares))
+    else:
+        placed = _sorted_turns(placed, totals, length, shares).select("doc_id", "queue", "first", "n", "ids", "turns")
+    out = placed.mapInArrow(_place(shared, length, width, with_ids), _PIECES)
     if with_ids:
         return out
     out = stored(out.drop("ids"))

@@ -120,6 +120,20 @@ def test_packing_is_a_round_trip(spark):
     assert (sizes.iloc[:-1] == packing.LENGTH).all()
 
 
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark, monkeypatch):
+    data = [(k, text, source if k % 5 else f"own{k}") for k, text, source in rows()]
+    docs, path = frame(spark, data, SCHEMA), packing.tokenizer_path()
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+    sources = sorted({source or "" for _, _, source in data})
+    for shares in (None, {source: 1.0 + k for k, source in enumerate(sources)}):
+        monkeypatch.setattr(packing, "MAX_QUEUES", 4096)
+        few = packing.pack(docs, path, length=64, shares=shares).select(columns).collect()
+        monkeypatch.setattr(packing, "MAX_QUEUES", 2)
+        many = packing.pack(docs, path, length=64, shares=shares).select(columns).collect()
+        assert sorted({r["source"] for r in many}) == sources
+        assert sorted(map(tuple, many)) == sorted(map(tuple, few))
+
+
 def test_repeated_windows_are_removed(spark):
     data = rows()
     words = {d: (t or "").split() for d, t, _ in data}
