@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from codeterra.functions import paths
 
-# Extensions tried by language, in order, and confidences: exact, with extension, index and package files, module files.
+# Extensions tried by language, in order, and confidences: exact, with extension, index and package files, module files, Go packages, includes.
 TRIED = {
     "typescript": ".ts .tsx .d.ts .js .mjs .cjs .json", "tsx": ".tsx .ts .js .jsx .json", "javascript": ".js .mjs .cjs .jsx .ts .tsx .json",
     "python": ".py .pyi", "go": ".go", "rust": ".rs", "ruby": ".rb", "php": ".php", "vue": ".vue .ts .js", "svelte": ".svelte .ts .js",
 }
 EXACT, EXTENSION, INDEX, PACKAGE, MODULE = 1.0, 0.9, 0.85, 0.85, 0.8
+GO_PACKAGE, INCLUDE = 0.9, 0.5
 ALIASES = (("", 0.3), ("src/", 0.3), ("app/", 0.35))
 
 
@@ -47,9 +48,16 @@ def bases(path: Column, specifier: Column, language: Column) -> Column:
     )
 
 
-def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
+def _last(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
     """imports(path, language, specifier, line, kind), files(path) -> imports' columns, target, confidence, outcome.
 
+    An import that starts with go_module and `/` is a row for each .go file of that folder. One of kind `include` that no
+    other rule takes is the only file of its base name.
+
     outcome is resolved, unresolved (starts with `.` or `/`), or external; a resolved import of the file itself is `self`.
     Each import meets only its own candidates, by an equi-join on the path.
     """
@@ -59,7 +67,21 @@ def resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
     tried = asked.select(*keys, F.posexplode(every).alias("ordinal", "x")).select(*keys, "ordinal", "x.target", "x.confidence")
     hits = tried.join(files.select(F.col("path").alias("target")).distinct(), "target")
     best = hits.groupBy(*keys).agg(F.min_by(F.struct("target", "confidence"), "ordinal").alias("hit"))
+    known = files.select(F.col("path").alias("target")).distinct()
+    other = (F.col("specifier") != "") & (F.coalesce("language", F.lit("")) != "python") & ~F.col("specifier").rlike(r"^(\.\.?|[@~])/")
+    if go_module:
+        in_module = other & F.col("specifier").startswith(f"{go_module}/")
+        packages = asked.where(in_module).withColumn("folder", paths.normalize(F.substring("specifier", len(go_module) + 2, 1 << 30)))
+        sources = known.where(F.col("target").endswith(".go")).withColumn("folder", paths.directory_of(F.col("target")))
+        best = best.union(packages.join(sources, "folder").select(*keys, F.struct("target", F.lit(GO_PACKAGE).alias("confidence")).alias("hit")))
+        other &= ~in_module
     joined = imports.join(best, keys, "left")
+    if "kind" in imports.columns:
+        # only base names that a single file has
+        single = known.groupBy(_last(F.col("target")).alias("base")).agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1")
+        single = single.select("base", F.struct("target", F.lit(INCLUDE).alias("confidence")).alias("included"))
+        base = F.when(other & (F.col("kind") == "include"), _last(F.col("specifier")))
+        joined = joined.withColumn("base", base).join(single, "base", "left").withColumn("hit", F.coalesce("hit", "included"))
     outcome = F.when(F.col("hit.target") == F.col("path"), "self").when(F.col("hit").isNotNull(), "resolved").when(F.col("specifier").rlike("^[./]"), "unresolved").otherwise("external")
     return joined.select(*imports.columns, F.col("hit.target").alias("target"), F.round("hit.confidence", 2).alias("confidence"), outcome.alias("outcome"))
 

@@ -75,6 +75,18 @@ def test_resolution(spark):
     }
 
 
+def test_resolution_of_go_packages_and_includes(spark):
+    files = frame(spark, [(p,) for p in ("main.go", "pkg/a.go", "pkg/b.go", "pkg/c.txt", "pkg/sub/d.go", "inc/x.h", "inc/twice.h", "src/twice.h", "src/m.c")], "path string")
+    rows = [("main.go", "go", "ex.org/m/pkg", "import"), ("main.go", "go", "ex.org/m/none", "import"), ("main.go", "go", "fmt", "import")]
+    rows += [("src/m.c", "c", "lib/x.h", "include"), ("src/m.c", "c", "twice.h", "include"), ("src/m.c", "c", "stdio.h", "include"), ("src/m.c", "c", "./x.h", "include"), ("src/m.c", "c", "x.h", "import")]
+    imports = frame(spark, [(*r[:3], 1, r[3]) for r in rows], "path string, language string, specifier string, line int, kind string")
+    got = sorted((r["specifier"], r["kind"], r["target"] or "", r["confidence"], r["outcome"]) for r in resolve.resolve(imports, files, "ex.org/m").collect())
+    assert got == sorted([
+        ("ex.org/m/pkg", "import", "pkg/a.go", 0.9, "resolved"), ("ex.org/m/pkg", "import", "pkg/b.go", 0.9, "resolved"), ("ex.org/m/none", "import", "", None, "external"), ("fmt", "import", "", None, "external"),
+        ("lib/x.h", "include", "inc/x.h", 0.5, "resolved"), ("twice.h", "include", "", None, "external"), ("stdio.h", "include", "", None, "external"), ("./x.h", "include", "", None, "unresolved"), ("x.h", "import", "", None, "external"),
+    ])
+
+
 def test_graph_corners(spark):
     edges = frame(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (5, 1), (6, 7), (7, 6)], "src long, dst long")
     assert {tuple(r) for r in graph.cycles(edges).collect()} == {(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)}
