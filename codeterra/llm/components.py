@@ -1,20 +1,58 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
+"""Connected components of a link table by local contraction and alternating large-star and small-star steps.
 
-Each step is a minimum by node (combined before the shuffle) and a join; the number of rounds grows with the logarithm
-of the longest path. Rows never outnumber the links by more than the two directions.
+Each round first contracts the links that a task holds to stars, in bounded memory, and then, as long as one task does not
+hold them all, exchanges minima: a minimum by node (combined before the shuffle) and a join. The number of rounds grows
+with the logarithm of the longest path. Rows never outnumber the links by more than the two directions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.llm.lineage import cut
 
-#: Edges in a partition between steps, about; fewer edges than partitions would only make small files.
+#: Links that a task contracts at a time; a table of no more is done after one contraction.
 EDGES = 200_000
 
 
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the links that is not the smallest of its component, with the smallest."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    above = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for a, b in zip(ends[: len(u)].tolist(), ends[len(u) :].tolist()):
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    low = np.array([top(x) for x in range(len(nodes))], dtype=np.int64)
+    other = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[other], nodes[low[other]]
+
+
+def _contract(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(u) for u, _ in held) >= most:
+                yield pa.record_batch([pa.array(x) for x in _stars(*map(np.concatenate, zip(*held)))], names=["u", "v"])
+                held = []
+        if held:
+            yield pa.record_batch([pa.array(x) for x in _stars(*map(np.concatenate, zip(*held)))], names=["u", "v"])
+
+    return run
+
+
 def _minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("key"), F.least("u", "low").alias("low"))
 
@@ -31,7 +69,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(low.select(F.col("key").alias("u"), F.col("low").alias("v")))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int = EDGES) -> DataFrame:
     """links(u, v) of longs, in either direction, repeats and self-links allowed -> (node, low): each linked node with the smallest node it reaches.
 
     Nodes without links are not returned; links with a null end are ignored; no links give no rows.
@@ -43,7 +81,9 @@ def components(links: DataFrame) -> DataFrame:
         if now == state or now["n"] == 0:
             break
         state = now
-        parts = -(-now["n"] // EDGES)
-        large = _large_star(edges.coalesce(parts)).where("u <> v").distinct().coalesce(parts)
-        edges = cut(_small_star(large).where("u <> v").distinct().coalesce(parts))
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("low")).distinct())
+        parts = -(-now["n"] // most)
+        edges = edges.coalesce(parts).mapInArrow(_contract(2 * most), "u long, v long")
+        if parts == 1:
+            break
+        edges = cut(_small_star(_large_star(edges).where("u <> v").distinct().coalesce(parts)).where("u <> v").distinct())
+    return cut(edges.union(edges.select("v", "v").distinct()).toDF("node", "low").distinct())

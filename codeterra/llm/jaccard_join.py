@@ -425,11 +425,11 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
 
     texts = stored(sets_of(pairs.select(F.explode(F.array("low", "high")).alias("node"))))
     links = cut(_links(pairs, texts, threshold))
-    groups = cut(components(links))
+    groups = components(links)
     large = matched.where("sig is not null").select("sig", F.explode("members").alias("node"))
     more = _settle(large, counted, facts.where("node is not null"), groups, sets_of, threshold)
     if more is not None:
-        groups = cut(components(links.union(more)))
+        groups = components(links.union(more))
     low = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("low", "node").alias("low"))
     smallest = low.groupBy("low").agg(F.min("rep").alias("component_id"))
     named = low.join(smallest, "low").select("node", "component_id")

@@ -3,7 +3,8 @@
 The classifier is linear over hashed word rates. It is trained with numpy on the driver from bounded samples: confirmed
 toxic examples (P) and texts of any kind (U), none of which counts as clean. With class prior p and logistic loss l the
 risk is p * E_P[l(+)] + max(0, E_U[l(-)] - p * E_P[l(-)]); when the second part falls below zero, its gradient is turned
-round, as the corrected estimator asks for. Scores are the model's probabilities; texts are scored where they are.
+round, as the corrected estimator asks for. The samples are bounded by texts (POSITIVES, UNLABELLED) and by features of a
+text (LEARNED), so what the driver holds is bounded in bytes. Scores are the model's probabilities; texts are scored where they are.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,13 @@ from codeterra.llm import textnum
 BITS = 17
 #: Words added to a text's length, so that one word in a short text weighs less.
 SMOOTH = 30
+#: Confirmed toxic texts and texts of any kind that are learned from, about.
 POSITIVES = 4000
 UNLABELLED = 12000
+#: Features of highest rate that are learned from in a text; scoring takes all.
+LEARNED = 2048
+#: Features that are worked on at a time.
+BLOCK = 1 << 18
 #: Texts of the samples that a feature must be in.
 LEAST_TEXTS = 8
 #: Class prior where no labels tell.
@@ -54,9 +61,9 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end, words in textnum.word_slices(batch.column(1), textnum.PLAIN_WORDS, lower=True):
             of, index, rate = features(words)
             cuts = np.searchsorted(of, np.arange(words.n_docs + 1))
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
             index, rate = index.astype(np.int32), rate.astype(np.float32)
-            yield pa.record_batch([batch.column(0).slice(at, end - at), pa.array([index[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([rate[a:b].tobytes() for a, b in spans], pa.binary())], names=["kind", "features", "rates"])
+            spans = [slice(a, b) if b - a <= LEARNED else a + np.sort(np.argsort(-rate[a:b], kind="stable")[:LEARNED]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.record_batch([batch.column(0).slice(at, end - at), pa.array([index[x].tobytes() for x in spans], pa.binary()), pa.array([rate[x].tobytes() for x in spans], pa.binary())], names=["kind", "features", "rates"])
 
 
 @dataclass
@@ -71,49 +78,97 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def _rows(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    of = np.repeat(np.arange(len(pairs)), [len(i) for i, _ in pairs])
-    none = [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.float32)]
-    return of, np.concatenate([i for i, _ in pairs] or none[0]), np.concatenate([r for _, r in pairs] or none[1]).astype(np.float64)
+class Sample:
+    """Features of some texts as flat arrays: index and rate of each feature, ends the features up to each text's end."""
+
+    def __init__(self, table: pa.Table):
+        index, rate, counts = [], [], []
+        for batch in table.to_batches():
+            for column, kind, into in ((0, np.int32, index), (1, np.float32, rate)):
+                offsets = np.frombuffer(batch.column(column).buffers()[1], dtype=np.int32)[batch.column(column).offset :][: batch.num_rows + 1]
+                data = batch.column(column).buffers()[2]
+                into.append(np.frombuffer(data, dtype=kind)[offsets[0] // 4 : offsets[-1] // 4] if data is not None else np.empty(0, dtype=kind))
+            counts.append(np.diff(offsets) // 4)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
+        self.index, self.rate = join(index, np.int32), join(rate, np.float32)
+        self.ends = np.cumsum(join(counts, np.int32), dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def keep(self, place: np.ndarray) -> None:
+        """Leaves the features with place >= 0, under that number."""
+        at = place[self.index]
+        ok = at >= 0
+        self.ends = np.concatenate(([0], np.cumsum(ok)))[self.ends]
+        self.index, self.rate = at[ok], self.rate[ok]
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, text of each feature counted from the first, index, rate) of about BLOCK features at a time."""
+        begin = 0
+        while begin < len(self.ends):
+            first = self.ends[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(self.ends, first + BLOCK, side="right")), begin + 1)
+            at = slice(first, self.ends[end - 1])
+            of = np.repeat(np.arange(end - begin), np.diff(np.concatenate(([first], self.ends[begin:end]))))
+            yield slice(begin, end), of, self.index[at], self.rate[at]
+            begin = end
+
+    def margins(self, w: np.ndarray, b: float) -> np.ndarray:
+        out = np.full(len(self), b)
+        for texts, of, index, rate in self.blocks():
+            out[texts] += np.bincount(of, weights=w[index] * rate, minlength=texts.stop - texts.start)
+        return out
+
+    def pulled(self, pull: np.ndarray, k: int) -> np.ndarray:
+        """The sum of rate times the text's pull, by feature."""
+        out = np.zeros(k)
+        for texts, of, index, rate in self.blocks():
+            out += np.bincount(index, weights=pull[texts][of] * rate, minlength=k)
+        return out
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def risk(positives: Sample, unlabelled: Sample, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray]:
+    """The positives' part of the risk, the other part before it is held at zero, and the gradient (bias last) that a step follows.
+
+    Where the other part is negative the step ascends it, and leaves the positives' part alone.
+    """
+    n_p, n_u = len(positives), len(unlabelled)
+    mp, mu = positives.margins(w, b), unlabelled.margins(w, b)
+    positive = prior * np.logaddexp(0, -mp).mean()
+    negative = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
+    if negative >= 0:
+        gp, gu = -prior * _sigmoid(-mp) / n_p - prior * _sigmoid(mp) / n_p, _sigmoid(mu) / n_u
+    else:
+        gp, gu = prior * _sigmoid(mp) / n_p, -_sigmoid(mu) / n_u
+    return positive, negative, np.append(positives.pulled(gp, len(w)) + unlabelled.pulled(gu, len(w)), gp.sum() + gu.sum())
+
 
+def fit(positives: Sample, unlabelled: Sample, prior: float) -> Model:
+    """nnPU by full-batch Adam with an L1 proximal step; without positives or unlabelled texts, the prior everywhere.
 
-def fit(positives: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float) -> Model:
-    """nnPU by full-batch Adam with an L1 proximal step; without positives or unlabelled texts, the prior everywhere."""
+    The samples lose the features that too few texts have.
+    """
     start = math.log(prior / (1 - prior))
     weights = np.zeros(1 << BITS)
-    if not positives or not unlabelled:
+    if not len(positives) or not len(unlabelled):
         return Model(weights, start, prior)
-    (p_of, p_at, p_rate), (u_of, u_at, u_rate) = _rows(positives), _rows(unlabelled)
-    texts = np.bincount(np.concatenate((p_at, u_at)), minlength=1 << BITS)
+    texts = np.bincount(positives.index, minlength=1 << BITS) + np.bincount(unlabelled.index, minlength=1 << BITS)
     used = np.flatnonzero(texts >= min(LEAST_TEXTS, 1 + len(positives) // 8))
-    small = np.full(1 << BITS, -1)
-    small[used] = np.arange(len(used))
-
-    def keep(of, at, rate):
-        at = small[at]
-        return of[at >= 0], at[at >= 0], rate[at >= 0]
-
-    (p_of, p_at, p_rate), (u_of, u_at, u_rate) = keep(p_of, p_at, p_rate), keep(u_of, u_at, u_rate)
-    n_p, n_u, k = len(positives), len(unlabelled), len(used)
-    penalty = PENALTY / math.sqrt(n_p)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    positives.keep(place)
+    unlabelled.keep(place)
+    k = len(used)
+    penalty = PENALTY / math.sqrt(len(positives))
     w, b = np.zeros(k), start
     first, second = np.zeros(k + 1), np.zeros(k + 1)
-
-    def sigmoid(x):
-        return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-
     for step in range(1, STEPS + 1):
-        mp = np.bincount(p_of, weights=w[p_at] * p_rate, minlength=n_p) + b
-        mu = np.bincount(u_of, weights=w[u_at] * u_rate, minlength=n_u) + b
-        negative = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
-        # derivatives of the loss by each margin
-        gp, gu = -prior * sigmoid(-mp) / n_p, np.zeros(n_u)
-        turn = 1.0 if negative >= 0 else -1.0
-        if turn < 0:
-            gp = np.zeros(n_p)
-        gu = turn * sigmoid(mu) / n_u
-        gp = gp - turn * prior * sigmoid(mp) / n_p
-        g = np.append(np.bincount(p_at, weights=gp[p_of] * p_rate, minlength=k) + np.bincount(u_at, weights=gu[u_of] * u_rate, minlength=k), gp.sum() + gu.sum())
+        _, _, g = risk(positives, unlabelled, prior, w, b)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         pace = RATE / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         move = pace * first / (1 - 0.9**step)
@@ -124,24 +179,27 @@ def fit(positives: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[n
     return Model(weights, float(b), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """From docs(doc_id, text) and labels(doc_id, toxic); labels of held-out rows, and null ones, are not read.
 
-    Samples are chosen by hash of the id, at most about POSITIVES confirmed toxic texts and UNLABELLED texts; the prior
-    is the toxic part of all labels that may be read.
+    Samples are those whose id's hash is below a threshold that lets about `positives` confirmed toxic ids and
+    `unlabelled` texts pass; the prior is the toxic part of all labels that may be read. An id with several labels is toxic
+    if one of them is.
     """
     ids = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = ids.agg(F.count("*"), F.sum("toxic")).first()
     prior = min(max((toxic or 0) / n, 0.001), 0.999) if n else PRIOR
-    chosen = ids.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).select("doc_id")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, UNLABELLED / max(rows, 1)) * (1 << 30))
-    positive = docs.join(F.broadcast(chosen), "doc_id").select(F.lit(1).alias("kind"), "text")  # at most POSITIVES ids
-    either = positive.union(docs.where(part & ~held_out(F.col("doc_id"))).select(F.lit(0).alias("kind"), "text"))
-    got = either.mapInArrow(_featurize, "kind int, features binary, rates binary").toPandas()
-    pairs = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(r, dtype=np.float32)) for i, r in zip(got["features"], got["rates"])]
-    return fit([x for x, k in zip(pairs, got["kind"]) if k == 1], [x for x, k in zip(pairs, got["kind"]) if k == 0], prior)
+    among = lambda seed, part: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, part) * (1 << 30))
+    # about `positives` ids, so they may be broadcast
+    chosen = F.broadcast(ids.where((F.col("toxic") == 1) & among(0, positives / max(toxic or 0, 1))).select("doc_id"))
+    some = docs.join(chosen, "doc_id").select(F.lit(1).alias("kind"), "text")
+    some = some.union(docs.where(among(1, unlabelled / max(rows, 1)) & ~held_out(F.col("doc_id"))).select(F.lit(0).alias("kind"), "text"))
+    got = some.mapInArrow(_featurize, "kind int, features binary, rates binary").toArrow()
+    p, u = (Sample(got.filter(pc.equal(got["kind"], kind)).select(["features", "rates"])) for kind in (1, 0))
+    del got
+    return fit(p, u, prior)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
