@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeterra.functions.regexes import portable
+
 
 def normalize(path: Column) -> Column:
     """Drops empty and `.` segments; `..` takes the one before it away, or nothing at the root."""
@@ -38,27 +40,37 @@ def extension_of(path: Column) -> Column:
 
 # Paths that count as entry points, and paths that are not production code.
 ENTRY_POINTS = (
-    r"(?i)(^|/)(index|main|app|server|worker|cli|setup|conftest)\.[^/]*$",
+    r"(?i)(^|/)(index|main|app|server|worker|cli|setup|conftest)\.[\w.]+$",
     r"(^|/)__init__\.py$",
-    r"(^|/)(page|layout|route|middleware)\.[jt]sx?$",
-    r"(?i)\.(test|spec)\.[^/]*$",
+    r"(^|/)page\.[jt]sx?$",
+    r"(^|/)layout\.[jt]sx?$",
+    r"(^|/)route\.[jt]sx?$",
+    r"(^|/)middleware\.[jt]sx?$",
+    r"(?i)\.(test|spec)\.[\w.]+$",
     r"(?i)(^|/)(tests?|spec|__tests__|fixtures?|examples?|docs?|scripts?|migrations?)/",
-    r"(?i)\.config\.[^/]*$",
-    r"(?i)(^|/)(readme|changelog|license)[^/]*$",
+    r"(?i)(^|/)[^/]*\.config\.[\w.]+$",
+    r"(?i)(^|/)(README|CHANGELOG|LICENSE)",
 )
-NOT_PRODUCTION = (r"(^|/)(tests?|spec|__tests__|__mocks__|fixtures?|examples?|samples?|docs?|e2e)/", r"\.(test|spec)\.[^/]*$", r"\.md$")
+NOT_PRODUCTION = r"(?i)(^|/)(tests?|spec|__tests__|__mocks__|fixtures?|examples?|samples?|docs?|e2e)/|\.(test|spec)\.[\w.]+$|\.md$"
 
 
-def matches_any(path: Column, patterns: tuple[str, ...]) -> Column:
+def is_entry_point(path: Column) -> Column:
     found = F.lit(False)
-    for pattern in patterns:
-        found = found | path.rlike(pattern)
+    for pattern in ENTRY_POINTS:
+        found = found | path.rlike(portable(pattern))
     return found
 
 
-def is_entry_point(path: Column) -> Column:
-    return matches_any(path, ENTRY_POINTS)
+def is_production(path: Column) -> Column:
+    return ~path.rlike(portable(NOT_PRODUCTION))
 
 
-def is_production(path: Column) -> Column:
-    return ~matches_any(path, NOT_PRODUCTION)
+def contains_keyword(path: Column, keyword: str) -> Column:
+    """The trimmed keyword somewhere in the path, in any case; a blank one is in all paths."""
+    word = keyword.strip().lower()
+    return F.lower(path).contains(word) if word else F.lit(True)
+
+
+def top_folder(path: Column) -> Column:
+    """The first segment, or `.` for a file at the root."""
+    return F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise(".")

@@ -18,6 +18,11 @@ def content_hash(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def is_binary(content: Column) -> Column:
     """A NUL among the first 4096 bytes."""
     return F.instr(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), "\0") > 0
@@ -30,12 +35,28 @@ def headline(text: Column, fallback: Column) -> Column:
     return F.when(F.coalesce(flat, F.lit("")) == "", fallback).otherwise(cut)
 
 
-def number_lines(text: Column, most: int) -> Column:
-    """The first lines, each with its number; a last line says how many more there are."""
+def number_lines(text: Column, most: int = 600, characters: int = 24_000) -> Column:
+    """The first `most` lines, each after its number and a tab, cut at so many characters; notes say what was cut."""
     lines = F.split(text, "\n", -1)
-    shown = F.transform(F.slice(lines, 1, most), lambda line, k: F.concat((k + 1).cast("string"), F.lit(": "), line))
-    more = F.size(lines) - most
-    return F.concat(F.array_join(shown, "\n"), F.when(more > 0, F.concat(F.lit("\n… "), more.cast("string"), F.lit(" more lines"))).otherwise(""))
+    shown = F.array_join(F.transform(F.slice(lines, 1, most), lambda line, k: F.concat((k + 1).cast("string"), F.lit("\t"), line)), "\n")
+    shown = F.when(F.length(shown) > characters, F.concat(F.substring(shown, 1, characters), F.lit("\n… (cut, too long)"))).otherwise(shown)
+    note = F.concat(F.lit("\n… ("), F.size(lines).cast("string"), F.lit(f" lines, the first {most} are shown)"))
+    return F.concat(shown, F.when(F.size(lines) > most, note).otherwise(""))
+
+
+def same_word(a: Column, b: Column) -> Column:
+    """Equality in any case."""
+    return F.lower(a) == F.lower(b)
+
+
+def unquote(text: Column) -> Column:
+    """Without one quote at either end."""
+    return F.regexp_replace(text, "^['\"`]|['\"`]\\z", "")
+
+
+def file_slug(prefix: str, owner: Column, name: Column, sha: Column) -> Column:
+    """A file name of safe characters."""
+    return F.regexp_replace(F.concat_ws("-", F.lit(prefix), owner, name, F.coalesce(F.substring(sha, 1, 7), F.lit("latest"))), "[^a-zA-Z0-9._-]", "-")
 
 
 def trigrams(text: Column) -> Column:

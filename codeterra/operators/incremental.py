@@ -22,8 +22,15 @@ def merged_edges(fresh: DataFrame, kept: DataFrame) -> DataFrame:
     return both.withColumn("rank", rank).where("rank = 1").drop("rank")
 
 
-def merged_counts(fresh: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    return fresh.unionByName(kept).groupBy(key).agg(F.sum("count").alias("count"))
+def live_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges whose two ends are still files."""
+    known = files.select("path").distinct()
+    kept = edges.join(known.withColumnRenamed("path", "src"), "src", "left_semi")
+    return kept.join(known.withColumnRenamed("path", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def merged_counts(fresh: DataFrame, kept: DataFrame, *key: str) -> DataFrame:
+    return fresh.unionByName(kept).groupBy(*key).agg(F.sum("count").alias("count"))
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:

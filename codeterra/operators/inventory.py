@@ -9,24 +9,87 @@ from codeterra.functions import paths, texts
 
 MAX_BYTES = 2 << 20
 
-# Extensions by language, names by language, and languages that are counted but not analysed.
+# The language of each extension.
 EXTENSIONS = {
-    "typescript": "ts mts cts", "tsx": "tsx", "javascript": "js mjs cjs jsx", "python": "py pyi", "go": "go", "rust": "rs", "java": "java",
-    "kotlin": "kt kts", "swift": "swift", "ruby": "rb", "php": "php", "c": "c h", "cpp": "cpp cc cxx hpp", "csharp": "cs", "scala": "scala",
-    "elixir": "ex exs", "lua": "lua", "dart": "dart", "bash": "sh bash zsh", "vue": "vue", "svelte": "svelte", "sql": "sql", "markdown": "md mdx",
-    "json": "json", "yaml": "yaml yml", "toml": "toml", "css": "css scss", "html": "html",
-}
+    ".ts": "typescript",
+    ".mts": "typescript",
+    ".cts": "typescript",
+    ".tsx": "tsx",
+    ".js": "javascript",
+    ".mjs": "javascript",
+    ".cjs": "javascript",
+    ".jsx": "javascript",
+    ".py": "python",
+    ".pyi": "python",
+    ".go": "go",
+    ".rs": "rust",
+    ".java": "java",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".swift": "swift",
+    ".rb": "ruby",
+    ".php": "php",
+    ".c": "c",
+    ".h": "c",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".cs": "csharp",
+    ".scala": "scala",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".lua": "lua",
+    ".dart": "dart",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".zsh": "bash",
+    ".vue": "vue",
+    ".svelte": "svelte",
+    ".sql": "sql",
+    ".md": "markdown",
+    ".mdx": "markdown",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".toml": "toml",
+    ".css": "css",
+    ".scss": "css",
+    ".html": "html",
+}
+# The language of whole names, languages that are counted and not analysed, folders and files that are left out.
 NAMES = {"Dockerfile": "dockerfile", "Makefile": "make", "Caddyfile": "caddy"}
 COUNTED_ONLY = ("sql", "markdown", "json", "yaml", "toml", "css", "html", "dockerfile", "make", "caddy")
-SKIPPED_FOLDERS = (".git node_modules vendor dist build out .next .nuxt .turbo .cache coverage __pycache__ .venv venv target Pods .gradle .idea .vscode playwright-report test-results").split()
+SKIPPED_FOLDERS = (
+    ".git",
+    "node_modules",
+    "vendor",
+    "dist",
+    "build",
+    "out",
+    ".next",
+    ".nuxt",
+    ".turbo",
+    ".cache",
+    "coverage",
+    "__pycache__",
+    ".venv",
+    "venv",
+    "target",
+    "Pods",
+    ".gradle",
+    ".idea",
+    ".vscode",
+    "playwright-report",
+    "test-results",
+)
 SKIPPED_FILES = r"(^|/)(pnpm-lock\.yaml|package-lock\.json|yarn\.lock|poetry\.lock|Cargo\.lock|go\.sum|[^/]*\.min\.(js|css)|[^/]*\.map)$"
 
 
 def language_of(path: Column) -> Column:
     """By whole base name first, then by extension; null if neither is known."""
-    pairs = [x for name, exts in EXTENSIONS.items() for ext in exts.split() for x in (F.lit(f".{ext}"), F.lit(name))]
-    named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    return F.coalesce(F.element_at(named, paths.base_name(path)), F.element_at(F.create_map(*pairs), paths.extension_of(path)))
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.coalesce(F.try_element_at(table(NAMES), paths.base_name(path)), F.try_element_at(table(EXTENSIONS), paths.extension_of(path)))
 
 
 def is_analyzable(language: Column) -> Column:
@@ -40,16 +103,25 @@ def is_listed(path: Column) -> Column:
 
 
 def inventory(raw: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """raw(path, content binary) -> path, language, bytes, loc, hash, parsed, skip_reason. Oversize files have hash '' and no lines."""
-    raw = raw.where(is_listed(F.col("path"))).withColumn("language", language_of(F.col("path"))).withColumn("bytes", F.octet_length("content").cast("long"))
+    """raw(path, content binary) -> path, language, bytes, loc, hash, parsed, skip_reason. Oversize files have hash '' and no lines.
+
+    Where raw has a column bytes, it is the file's size, and the content of an oversize file may be missing.
+    """
+    size = F.col("bytes") if "bytes" in raw.columns else F.octet_length("content")
+    raw = raw.where(is_listed(F.col("path"))).withColumn("language", language_of(F.col("path"))).withColumn("bytes", size.cast("long"))
     large, binary = F.col("bytes") > max_bytes, texts.is_binary(F.col("content"))
     reason = F.when(large, "too large").when(binary, "binary").when(~is_analyzable(F.col("language")), "unsupported language")
-    loc = F.when(large | binary, F.lit(0)).otherwise(texts.line_count(F.decode("content", "UTF-8"))).cast("long")
+    loc = F.when(large | binary, F.lit(0)).otherwise(texts.line_count(texts.utf8(F.col("content")))).cast("long")
     return raw.select("path", "language", "bytes", loc.alias("loc"), F.when(large, "").otherwise(texts.content_hash(F.col("content"))).alias("hash"), reason.isNull().alias("parsed"), reason.alias("skip_reason"))
 
 
+def is_readable(hash_: Column, loc: Column) -> Column:
+    """Whether lines are read at all."""
+    return (hash_ != "") & (loc > 0)
+
+
 def totals(files: DataFrame) -> DataFrame:
-    return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("loc").alias("loc"))
+    return files.agg(F.count("*").alias("files"), F.count(F.when(F.col("parsed"), 1)).alias("parsed"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("loc"), F.lit(0)).alias("loc"))
 
 
 def language_totals(files: DataFrame) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.functions import paths
+from codeterra.functions.regexes import portable
+from codeterra.operators import graph, incremental
 
-# Extensions tried by language, in order, and confidences: exact, with extension, index and package files, module files, Go packages, includes.
+# Extensions tried by language, in order.
 TRIED = {
-    "typescript": ".ts .tsx .d.ts .js .mjs .cjs .json", "tsx": ".tsx .ts .js .jsx .json", "javascript": ".js .mjs .cjs .jsx .ts .tsx .json",
-    "python": ".py .pyi", "go": ".go", "rust": ".rs", "ruby": ".rb", "php": ".php", "vue": ".vue .ts .js", "svelte": ".svelte .ts .js",
-}
+    "typescript": (".ts", ".tsx", ".d.ts", ".js", ".mjs", ".cjs", ".json",),
+    "tsx": (".tsx", ".ts", ".js", ".jsx", ".json",),
+    "javascript": (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".json",),
+    "python": (".py", ".pyi",),
+    "go": (".go",),
+    "rust": (".rs",),
+    "ruby": (".rb",),
+    "php": (".php",),
+    "vue": (".vue", ".ts", ".js",),
+    "svelte": (".svelte", ".ts", ".js",),
+}
+# Confidences of an exact path, with extension, index, package and module files, Go packages, includes; alias roots with what they take off.
 EXACT, EXTENSION, INDEX, PACKAGE, MODULE = 1.0, 0.9, 0.85, 0.85, 0.8
 GO_PACKAGE, INCLUDE = 0.9, 0.5
 ALIASES = (("", 0.3), ("src/", 0.3), ("app/", 0.35))
@@ -21,8 +34,8 @@ def _tries(language: Column) -> Column:
     """array<struct<suffix, confidence>> for a language."""
     rows = None
     for name, exts in TRIED.items():
-        tries = [("", EXACT), *((e, EXTENSION) for e in exts.split())]
-        for e in exts.split():
+        tries = [("", EXACT), *((e, EXTENSION) for e in exts)]
+        for e in exts:
             tries += [("/index" + e, INDEX), ("/__init__" + e, PACKAGE), ("/mod" + e, MODULE)]
         column = F.array(*[F.struct(F.lit(s).alias("suffix"), F.lit(c).alias("confidence")) for s, c in tries])
         rows = F.when(language == name, column) if rows is None else rows.when(language == name, column)
@@ -58,10 +71,12 @@ def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None)
     An import that starts with go_module and `/` is a row for each .go file of that folder. One of kind `include` that no
     other rule takes is the only file of its base name.
 
-    outcome is resolved, unresolved (starts with `.` or `/`), or external; a resolved import of the file itself is `self`.
+    Specifiers are trimmed; blank ones are skipped. outcome is resolved, unresolved (starts with `.` or `/`), or external; a resolved import of the file itself is `self`.
     Each import meets only its own candidates, by an equi-join on the path.
     """
     keys = ["path", "specifier", "language"]
+    blanks = portable(r"^\s+|\s+$")
+    imports = imports.withColumn("specifier", F.regexp_replace("specifier", blanks, "")).where("specifier <> ''")
     asked = imports.select(*keys).distinct()
     every = F.flatten(F.transform(bases(F.col("path"), F.col("specifier"), F.col("language")), lambda b: F.transform(_tries(F.col("language")), lambda t: F.struct(F.concat(b["base"], t["suffix"]).alias("target"), (t["confidence"] - b["less"]).alias("confidence")))))
     tried = asked.select(*keys, F.posexplode(every).alias("ordinal", "x")).select(*keys, "ordinal", "x.target", "x.confidence")
@@ -86,5 +101,34 @@ def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None)
     return joined.select(*imports.columns, F.col("hit.target").alias("target"), F.round("hit.confidence", 2).alias("confidence"), outcome.alias("outcome"))
 
 
+@dataclass
+class Graph:
+    edges: DataFrame  # src, dst, kind, line, confidence
+    external: DataFrame  # specifier, count
+    external_by_file: DataFrame  # path, specifier, count
+    unresolved: DataFrame  # one row, unresolved
+
+
+def build_graph(imports: DataFrame, files: DataFrame, go_module: str | None = None, reused_edges: DataFrame | None = None, reused_externals: DataFrame | None = None) -> Graph:
+    """The dependency graph of imports(path, language, specifier, line, kind) among files(path), with what unchanged files still tell.
+
+    Edges have no self loops, and of those with one (src, dst, kind) the first. Reused edges and externals(path, specifier,
+    count) stay as far as their files exist, after all fresh ones.
+    """
+    resolved = resolve(imports, files, go_module)
+    fresh = graph.first_edges(resolved.where("outcome = 'resolved'").select(F.col("path").alias("src"), F.col("target").alias("dst"), "kind", "line", "confidence"))
+    counts = external_by_file(resolved)
+    if reused_edges is not None:
+        fresh = incremental.merged_edges(fresh, incremental.live_edges(reused_edges, files)).drop("old")
+    if reused_externals is not None:
+        counts = incremental.merged_counts(counts, reused_externals.join(files.select("path").distinct(), "path", "left_semi"), "path", "specifier")
+    external = counts.groupBy("specifier").agg(F.sum("count").alias("count"))
+    return Graph(fresh, external, counts, resolved.agg(F.count(F.when(F.col("outcome") == "unresolved", 1)).alias("unresolved")))
+
+
+def external_by_file(resolved: DataFrame) -> DataFrame:
+    return resolved.where("outcome = 'external'").groupBy("path", "specifier").agg(F.count("*").alias("count"))
+
+
 def external_counts(resolved: DataFrame) -> DataFrame:
     return resolved.where("outcome = 'external'").groupBy("specifier").agg(F.count("*").alias("count"))

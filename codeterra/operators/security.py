@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.functions import paths
+from codeterra.functions.regexes import portable
 
 LONGEST_LINE = 500
 WEIGHTS = {"high": 8, "medium": 3, "low": 1}
@@ -17,46 +18,60 @@ WEIGHTS = {"high": 8, "medium": 3, "low": 1}
 class Rule:
     name: str
     severity: str
-    production_only: bool
+    message: str
     pattern: str
+    production_only: bool = False
     languages: tuple[str, ...] = ()
 
 
-# The rules. Word boundaries are ASCII ones.
-_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+# The rules' names, severities, patterns and languages.
 RULES = (
-    Rule("hardcoded-secret", "high", True, rf"""(?i){_B}(api[_-]?key|secret|password|passwd|token|credential){_E}\s*[:=]\s*["'][A-Za-z0-9_\-./+=]{{16,}}["']"""),
-    Rule("private-key", "high", False, r"-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY"),
-    Rule("aws-access-key", "high", False, rf"{_B}AKIA[0-9A-Z]{{16}}{_E}"),
-    Rule("sql-injection", "high", True, rf"""(?i){_B}(select|insert|update|delete){_E}[^;"'`]*["'`]\s*(\+|\$\{{|%\s*\(|\.format\()"""),
-    Rule("dangerous-eval", "medium", True, rf"{_B}eval\s*\(|new Function\s*\(", ("javascript", "typescript", "tsx", "python", "php", "ruby")),
-    Rule("shell-injection", "medium", True, rf"""{_B}(exec|execSync|spawnSync|system|popen|os\.system)\s*\([^)]*(\+|\$\{{|%s|f["'])"""),
-    Rule("insecure-random", "low", False, rf"(?i)Math\.random\(\).*{_B}(token|secret|password|key|salt|nonce){_E}"),
-    Rule("debug-leftover", "low", True, rf"{_B}(debugger|console\.debug|pdb\.set_trace|binding\.pry){_E}"),
-    Rule("disabled-tls", "high", False, r"rejectUnauthorized\s*:\s*false|verify\s*=\s*False|InsecureSkipVerify\s*:\s*true"),
+    Rule("hardcoded-secret", "high", "a key or password seems to be written into the code", r"""(?i)\b(?:api[_-]?key|secret|password|passwd|token|credential)\b\s*[:=]\s*['"][A-Za-z0-9_\-./+=]{16,}['"]""", True),
+    Rule("private-key", "high", "a private key is in the file", r"-----BEGIN (?:RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----"),
+    Rule("aws-access-key", "high", "a text with the form of an AWS access key", r"\bAKIA[0-9A-Z]{16}\b"),
+    Rule("sql-injection", "high", "SQL is joined with a variable; parameters are safer", r"""(?i)\b(?:select|insert|update|delete)\b[^;'"`\n]*['"`]\s*(?:\+|\$\{|%\s*\(|\.format\()""", True),
+    Rule("dangerous-eval", "medium", "code is made from text", r"\beval\s*\(|new\s+Function\s*\(", True, ("javascript", "typescript", "tsx", "python", "php", "ruby")),
+    Rule("shell-injection", "medium", "a shell command is put together from variables", r"""(?:exec|execSync|spawnSync|system|popen|os\.system)\s*\([^)]*(?:\+|\$\{|%s|f['"])""", True),
+    Rule("insecure-random", "low", "a common random number where a secret one is wanted", r"(?i)Math\.random\(\)[^\n]*\b(?:token|secret|password|key|salt|nonce)\b"),
+    Rule("debug-leftover", "low", "a debugging command is left in the code", r"\b(?:debugger|console\.debug|pdb\.set_trace|binding\.pry)\b", True),
+    Rule("disabled-tls", "high", "certificates are not checked", r"rejectUnauthorized\s*:\s*false|verify\s*=\s*False|InsecureSkipVerify\s*:\s*true"),
 )
+# A word or sign of each rule, without which no rule fits.
+SIGNS = r"(?i)key|secret|passw|token|credential|AKIA|select|insert|update|delete|eval|Function|exec|spawnSync|system|popen|random|debug|pdb|binding|rejectUnauthorized|verify"
 
 
-def findings(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """lines(path, language, line, text) -> path, line, rule, severity, snippet. Each line is tested once, by all rules together."""
+def findings(lines: DataFrame, rules: tuple[Rule, ...] = RULES, signs: str = SIGNS) -> DataFrame:
+    """lines(path, language, line, text) -> path, line, rule, severity, message, snippet: one row for each file and rule.
+
+    Lines without any of the rules' signs are passed over by one pattern; the others are tested once, by all rules together.
+    """
     hits = []
-    for rule in rules:
-        fits = F.col("text").rlike(rule.pattern)
+    for k, rule in enumerate(rules):
+        fits = F.col("text").rlike(portable(rule.pattern))
         if rule.production_only:
-            fits = fits & paths.is_production(F.col("path"))
+            fits = fits & F.col("production")
         if rule.languages:
-            fits = fits & F.col("language").isin(*rule.languages)
-        hits.append(F.when(fits, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"))))
-    some = lines.where(F.length("text") <= LONGEST_LINE).withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    first = some.groupBy("path", "hit.rule", "hit.severity").agg(F.min_by(F.struct("line", "text"), "line").alias("at"))
-    return first.select("path", F.col("at.line").alias("line"), "rule", "severity", redact(F.col("at.text")).alias("snippet"))
+            fits = fits & F.coalesce(F.col("language").isin(*rule.languages), F.lit(False))
+        hits.append(F.when(fits, F.lit(k)))
+    some = lines.where((F.length("text") <= LONGEST_LINE) & F.col("text").rlike(signs)).withColumn("production", paths.is_production(F.col("path")))
+    some = some.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
+    first = some.groupBy("path", "hit").agg(F.min_by(F.struct("line", "text"), "line").alias("at"))
+    of = lambda field: F.element_at(F.array(*[F.lit(getattr(rule, field)) for rule in rules]), F.col("hit") + 1).alias(field if field != "name" else "rule")
+    return first.select("path", F.col("at.line").alias("line"), of("name"), of("severity"), of("message"), redact(F.col("at.text")).alias("snippet"))
 
 
 def redact(text: Column) -> Column:
     """Quoted runs of 16 or more secret-like characters masked, PEM headers too; trimmed, at most 200 characters."""
-    masked = F.regexp_replace(text, r"""(["'])[A-Za-z0-9_\-./+=]{16,}\1""", "$1[redacted]$1")
-    masked = F.regexp_replace(masked, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "[redacted key]")
-    return F.substring(F.trim(masked), 1, 200)
+    masked = F.regexp_replace(text, r"""(['"])([A-Za-z0-9_\-./+=]{16,})\1""", "$1[redacted]$1")
+    masked = F.regexp_replace(masked, "-----BEGIN[^-]*-----", "-----BEGIN [redacted]-----")
+    blanks = portable(r"\s")
+    return F.substring(F.regexp_replace(masked, f"^{blanks}+|{blanks}+\\z", ""), 1, 200)
+
+
+def by_severity(found: DataFrame, most: int = 200) -> DataFrame:
+    """The `most` (at most 500) gravest findings, then by path, rule and line."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    return found.orderBy(rank, "path", "rule", "line").limit(min(most, 500))
 
 
 def summary(found: DataFrame) -> DataFrame:
