@@ -1,15 +1,24 @@
 """Dependency graph operators on edges(src, dst): degrees, selections, cycles, reach, and reading order.
 
-The iterative ones are joins until nothing changes, with a reliable checkpoint in each round; no graph is gathered into one task.
+The iterative ones deal connected components of at most KERNEL edges to tasks, each solved there at any depth. A larger
+component is solved by joins until nothing changes, with a reliable checkpoint in each round, and is never gathered.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeterra.operators.components import components
 from codeterra.session import checkpointed
 
+#: Edges of the largest component that one task solves.
+KERNEL = 100_000
+#: Nodes whose reach is counted at a time.
+BITS = 1 << 13
+
 
 def first_edges(edges: DataFrame) -> DataFrame:
     """edges(src, dst, kind, line, ...) without self loops; of those with one (src, dst, kind) the one of the lowest line."""
@@ -50,6 +59,120 @@ def dead(all_nodes: DataFrame, edges: DataFrame, is_entry: Column) -> DataFrame:
     return all_nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").where(~is_entry)
 
 
+def _short(edges: DataFrame) -> DataFrame:
+    return edges.where("src <> dst").select("src", "dst").distinct()
+
+
+def _by_component(edges: DataFrame, kernel, schema: str, beyond, most: int) -> DataFrame:
+    """kernel over connected components of at most `most` edges, several to a task; beyond(edges) for the larger ones, by joins."""
+    edges = checkpointed(_short(edges).select("*", F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v")))
+    low = components(edges.select("u", "v"))
+    edges = edges.join(low.withColumnRenamed("node", "u"), "u", "left").select("src", "dst", F.coalesce("low", "u").alias("low"))
+    sizes = edges.groupBy("low").agg(F.count("*").alias("n"))
+    edges = checkpointed(edges.join(sizes, "low"))
+    small, large = edges.where(F.col("n") <= most), edges.where(F.col("n") > most)
+    groups = max(1, -(-small.count() // most))
+    out = small.select(F.pmod(F.xxhash64("low"), F.lit(groups)).alias("group"), "src", "dst").groupBy("group").applyInPandas(kernel, schema)
+    return out if large.isEmpty() else out.union(beyond(large.select("src", "dst")))
+
+
+def _numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+    """Nodes in order, and for each the places of those it points to and of those that point to it."""
+    nodes, ends = np.unique(np.concatenate((pdf["src"].to_numpy(), pdf["dst"].to_numpy())), return_inverse=True)
+    out: list[list[int]] = [[] for _ in nodes]
+    into: list[list[int]] = [[] for _ in nodes]
+    for a, b in zip(ends[: len(pdf)].tolist(), ends[len(pdf) :].tolist()):
+        out[a].append(b)
+        into[b].append(a)
+    return nodes, out, into
+
+
+def strong_components(out: list[list[int]]) -> list[list[int]]:
+    """By one depth-first walk on an explicit stack; a component comes after all that it can reach."""
+    order, low, stack, found, n = [-1] * len(out), [0] * len(out), [], [], 0
+    held = [False] * len(out)
+    for root in range(len(out)):
+        if order[root] >= 0:
+            continue
+        path = [(root, iter(out[root]))]
+        order[root] = low[root] = n
+        n += 1
+        stack.append(root)
+        held[root] = True
+        while path:
+            node, rest = path[-1]
+            for other in rest:
+                if order[other] < 0:
+                    order[other] = low[other] = n
+                    n += 1
+                    stack.append(other)
+                    held[other] = True
+                    path.append((other, iter(out[other])))
+                    break
+                if held[other]:
+                    low[node] = min(low[node], order[other])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == order[node]:
+                    at = stack.index(node) if stack[-1] != node else len(stack) - 1
+                    found.append(stack[at:])
+                    for x in stack[at:]:
+                        held[x] = False
+                    del stack[at:]
+    return found
+
+
+def _cycle_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes, out, _ = _numbered(pdf)
+    rows = [(nodes[x], nodes[min(c)]) for c in strong_components(out) if len(c) > 1 for x in c]
+    return pd.DataFrame({"node": [r[0] for r in rows], "cycle": [r[1] for r in rows]}).astype(pdf["src"].dtype)
+
+
+def _blast_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Reach by rows of bits over the condensed graph, so many nodes at a time."""
+    nodes, out, into = _numbered(pdf)
+    comps = strong_components(into)  # a component comes after all components of its dependents
+    comp_of = np.empty(len(nodes), dtype=np.int64)
+    for k, c in enumerate(comps):
+        comp_of[c] = k
+    below = [sorted({int(comp_of[y]) for x in c for y in into[x]} - {k}) for k, c in enumerate(comps)]
+    blast = np.zeros(len(comps), dtype=np.int64)
+    for at in range(0, len(nodes), BITS):
+        bits = np.zeros((len(comps), BITS // 8), dtype=np.uint8)
+        here = np.arange(at, min(at + BITS, len(nodes)))
+        np.bitwise_or.at(bits, (comp_of[here], (here - at) >> 3), (1 << ((here - at) & 7)).astype(np.uint8))
+        for k, under in enumerate(below):
+            for b in under:
+                bits[k] |= bits[b]
+        blast += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    n = blast[comp_of] - 1  # without the node itself
+    some = np.flatnonzero(n > 0)
+    return pd.DataFrame({"node": nodes[some], "blast": n[some]})
+
+
+def _level_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels of nodes that are in no cycle and above none; the others' are missing."""
+    nodes, out, into = _numbered(pdf)
+    left, level = [len(x) for x in out], [-1] * len(nodes)
+    front, depth = [k for k, n in enumerate(left) if not n], 0
+    while front:
+        after = []
+        for k in front:
+            level[k] = depth
+            for other in into[k]:
+                left[other] -= 1
+                if not left[other]:
+                    after.append(other)
+        front, depth = after, depth + 1
+    return pd.DataFrame({"node": nodes, "level": pd.array([None if x < 0 else x for x in level], dtype="Int64")})
+
+
+def _kind(edges: DataFrame) -> str:
+    return edges.schema["src"].dataType.simpleString()
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(root, node): node reaches root by one edge or more; semi-naive, each round joins what the last one found."""
     known = fresh = checkpointed(edges.select(F.col("dst").alias("root"), F.col("src").alias("node")).distinct())
@@ -61,13 +184,31 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
-def blast_radius(edges: DataFrame) -> DataFrame:
+def blast_radius(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, blast) of nodes with dependents: how many others depend on it, directly or not."""
-    return closure(edges).where("root <> node").groupBy(F.col("root").alias("node")).agg(F.count("*").alias("blast"))
+    beyond = lambda rest: closure(rest).where("root <> node").groupBy(F.col("root").alias("node")).agg(F.count("*").alias("blast"))
+    return _by_component(edges, _blast_rows, f"node {_kind(edges)}, blast long", beyond, most)
+
+
+def capped(blast: Column, most: int = 2000) -> Column:
+    """The number that readers who count no further are shown."""
+    return F.least(blast, F.lit(most))
+
+
+def cycles(edges: DataFrame, most: int = KERNEL) -> DataFrame:
+    """(node, cycle) of strongly connected components of two nodes or more; cycle is the smallest node."""
+    kind = _kind(edges)
+    return _by_component(edges, _cycle_rows, f"node {kind}, cycle {kind}", _large_cycles, most)
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(node, cycle) of strongly connected components of two nodes or more; cycle is the smallest node.
+def cycle_list(found: DataFrame, most: int = 50) -> DataFrame:
+    """cycles() as (cycle, size, nodes), the `most` largest, ties by name; nodes sorted."""
+    sizes = found.groupBy("cycle").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cycle").limit(most)
+    return found.join(F.broadcast(sizes), "cycle").groupBy("cycle", "size").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # `most` rows
+
+
+def _large_cycles(edges: DataFrame) -> DataFrame:
+    """cycles() by joins.
 
     Nodes without an edge in and one out within what is left are trimmed. Each remaining node takes the smallest node that
     reaches it as its colour; a colour's own node and all of that colour that reach it back are one component, and the
@@ -108,8 +249,15 @@ def cycles(edges: DataFrame) -> DataFrame:
     return found.join(large, "cycle", "left_semi").select("node", "cycle")
 
 
-def reading_levels(edges: DataFrame) -> DataFrame:
+def reading_levels(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, level): dependencies first, a node's level is one above its highest dependency's; nodes in or above cycles get the level after the last."""
+    levels = checkpointed(_by_component(edges, _level_rows, f"node {_kind(edges)}, level long", _large_levels, most))
+    last = levels.agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).alias("last"))
+    return levels.join(F.broadcast(last)).select("node", F.coalesce("level", "last").cast("int").alias("level"))  # one row
+
+
+def _large_levels(edges: DataFrame) -> DataFrame:
+    """Levels by joins, a layer a round; null for nodes in or above cycles."""
     left = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
     waiting = checkpointed(nodes(left))
     out, level = None, 0
@@ -122,8 +270,13 @@ def reading_levels(edges: DataFrame) -> DataFrame:
         waiting = checkpointed(waiting.join(ready, "node", "left_anti"))
         left = checkpointed(left.join(ready.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
         level += 1
-    rest = waiting.withColumn("level", F.lit(level))
-    return rest if out is None else out.union(rest)
+    rest = waiting.withColumn("level", F.lit(None).cast("long"))
+    return rest if out is None else out.select("node", F.col("level").cast("long").alias("level")).union(rest)
+
+
+def order_of(levels: DataFrame) -> DataFrame:
+    """levels with place: the node's place within its level."""
+    return levels.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("node")))
 
 
 def importance(facts: DataFrame) -> Column:
