@@ -18,6 +18,13 @@ def trigram_search(rows: DataFrame, text: str, question: str, n: int, kind: str)
     return found.where(F.col("score") > LEAST).orderBy(F.desc("score"), "key").limit(n)
 
 
+def scored(rows: DataFrame, by: str, question: str, n: int, kind: str) -> DataFrame:
+    """rows(path, line, text, ...) -> (kind, path, line, text, score): the n rows whose column `by` is most similar to the question, above LEAST."""
+    score = F.round(texts.similarity(texts.trigrams(F.col(by)), texts.trigrams(F.lit(question))), 6)
+    found = rows.where(F.lit(bool(question.strip()))).select(F.lit(kind).alias("kind"), "path", F.col("line").cast("long").alias("line"), "text", score.alias("score"))
+    return found.where(F.col("score") > LEAST).orderBy(F.desc("score"), "path", "line", "text").limit(n)
+
+
 def evidence(parts: list[DataFrame], n: int = 20) -> DataFrame:
     """The best n of several searches."""
     every = parts[0]

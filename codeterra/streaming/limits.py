@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Limits by action, as (requests, seconds).
+LIMITS = {"analyse": (10, 60), "comprehend": (5, 3600), "ask": (20, 3600), "reading_path": (5, 3600), "login": (10, 300)}
+
 
 def decide(log: list[int], now: int, limit: int, window: int) -> tuple[bool, list[int], int]:
     """Whether a request at now (microseconds) is allowed, the log after it, and the seconds to wait; denied requests are not recorded."""
@@ -19,7 +23,10 @@ def decide(log: list[int], now: int, limit: int, window: int) -> tuple[bool, lis
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """A stream of requests(key, id, ts) -> (key, id, ts, allowed, retry_after); state is at most limit times per key, dropped when the window has passed."""
+    """A stream of requests(key, id, ts) -> (key, id, ts, allowed, retry_after); state is at most limit times per key, dropped when the window has passed.
+
+    A key's rows of one trigger are decided in order of time, so they are held at once: the source's trigger limits bound them.
+    """
     window = seconds * 1_000_000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,13 +34,12 @@ def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFram
             state.remove()
             return
         log = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "id"])
-            out = []
-            for when in pdf["ts"].astype("datetime64[us]").astype("int64"):
-                allowed, log, wait = decide(log, when, limit, window)
-                out.append((allowed, wait))
-            yield pdf[["key", "id", "ts"]].assign(allowed=[a for a, _ in out], retry_after=[w for _, w in out])
+        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out = []
+        for when in pdf["ts"].astype("datetime64[us]").astype("int64"):
+            allowed, log, wait = decide(log, when, limit, window)
+            out.append((allowed, wait))
+        yield pdf[["key", "id", "ts"]].assign(allowed=[a for a, _ in out], retry_after=[w for _, w in out])
         state.update((log,))
         state.setTimeoutDuration(seconds * 1000)
 
@@ -45,23 +51,24 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """The same over a table, (key, id, ts, allowed, retry_after).
 
     Rows go by key, in order of time, through tasks that hold no more than one key's log of at most limit times, so a hot key's
-    rows are streamed and never gathered.
+    rows are streamed and never gathered. Rows without a key are one key's, those without a time are left out.
     """
     window = seconds * 1_000_000
     schema = requests.select("key", "id", "ts").schema.add("allowed", "boolean").add("retry_after", "long")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, log = None, []
-        for pdf in batches:
-            out = []
-            for key, when in zip(pdf["key"], pdf["ts"].astype("datetime64[us]").astype("int64")):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, log = object(), []
+        for batch in batches:
+            allowed, waits = [], []
+            for key, when in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()):
                 if key != last:
                     last, log = key, []
-                allowed, log, wait = decide(log, when, limit, window)
-                out.append((allowed, wait))
-            yield pdf.assign(allowed=[a for a, _ in out], retry_after=[w for _, w in out])
+                ok, log, wait = decide(log, when, limit, window)
+                allowed.append(ok)
+                waits.append(wait)
+            yield pa.record_batch([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(waits, pa.int64())], names=[*batch.schema.names, "allowed", "retry_after"])
 
-    return requests.select("key", "id", "ts").repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(fold, schema)
+    return requests.select("key", "id", "ts").where("ts is not null").repartition("key").sortWithinPartitions("key", "ts", "id").mapInArrow(fold, schema)
 
 
 def sessions(requests: DataFrame, gap_seconds: int) -> DataFrame:
@@ -71,3 +78,20 @@ def sessions(requests: DataFrame, gap_seconds: int) -> DataFrame:
     new = F.when(before.isNull() | (F.col("ts") >= before + F.expr(f"interval {gap_seconds} seconds")), 1).otherwise(0)
     runs = requests.withColumn("new", new).withColumn("run", F.sum("new").over(order))
     return runs.groupBy("key", "run").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n"))
+
+
+def latest_status(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last event of each key, whole."""
+    return events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), F.struct(*order)).alias("x")).select(key, "x.*")
+
+
+def still_alive(uses: DataFrame, key: str, ttl: str, now: DataFrame) -> DataFrame:
+    """(key, used): keys whose last use is less than ttl before now, a table of one row and column."""
+    used = uses.groupBy(key).agg(F.max("ts").alias("used"))
+    return used.join(F.broadcast(now.toDF("now"))).where(F.col("used") + F.expr(f"interval {ttl}") > F.col("now")).select(key, "used")  # one row
+
+
+def throttled(steps: DataFrame, key: str, *order: str, every: int = 5) -> DataFrame:
+    """(key, ..., done, total): of each key's steps in order every fifth and the last one."""
+    counted = steps.withColumn("done", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("total", F.count("*").over(Window.partitionBy(key)))
+    return counted.where((F.col("done") % every == 0) | (F.col("done") == F.col("total")))
