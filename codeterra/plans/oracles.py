@@ -1,38 +1,27 @@
 """The same queries in DuckDB's SQL, by plain definitions."""
 
-_FILES = r"""files AS (
+FILES = r"""files AS (
   SELECT doc_id, source || '/' || lang || '/d' || doc_id || '.txt' AS path, lang AS language, CAST(strlen(text) AS BIGINT) AS bytes,
     CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS loc, substr(sha256(text), 1, 16) AS hash FROM documents)"""
 _PREVIOUS = "previous AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 'x' || hash ELSE hash END AS hash) FROM files WHERE doc_id % 10 <> 0)"
-_LINES = r"""lines AS (
+LINES = r"""lines AS (
   SELECT doc_id, source || '/' || lang || '/d' || doc_id || '.txt' AS path, lang AS language, CAST(k AS BIGINT) AS line, a[k] AS text
   FROM (SELECT *, string_split(text, chr(10)) AS a FROM documents), unnest(range(1, len(a) + 1)) AS u(k))"""
-_EDGES = """edges AS (
+EDGES = """edges AS (
   SELECT DISTINCT src, dst FROM (
     SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-    FROM lineitem WHERE l_orderkey % 40 = 0) WHERE src <> dst),
+    FROM lineitem) WHERE src <> dst),
 nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"""
+LINKS = """links AS (
+  SELECT DISTINCT src, dst FROM (
+    SELECT p_partkey AS src, p_partkey - 1 AS dst FROM part WHERE p_partkey % 50 <> 0 AND p_partkey > 1
+    UNION ALL SELECT p_partkey, (p_partkey * 7 + 2) % (SELECT max(p_partkey) FROM part) + 1 FROM part WHERE p_partkey % 100 = 25
+    UNION ALL SELECT p_partkey, p_partkey + 6 FROM part WHERE p_partkey % 70 = 30 AND p_partkey + 6 <= (SELECT max(p_partkey) FROM part)) WHERE src <> dst),
+nodes AS (SELECT src AS node FROM links UNION SELECT dst FROM links)"""
 _COMMITS = """commits AS (
   SELECT l_partkey AS path, l_suppkey AS author, l_orderkey AS sha, l_shipdate AS ts,
     row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_suppkey) AS ordinal FROM lineitem)"""
-_REACH = f"{_EDGES}, reach(root, node) AS (SELECT dst, src FROM edges UNION SELECT root, src FROM reach JOIN edges ON node = dst)"
-_CYCLES = "cyc AS (SELECT r.root AS node, min(r.node) AS cycle FROM reach r JOIN reach b ON r.root = b.node AND r.node = b.root GROUP BY r.root HAVING count(*) > 1)"
-_SECURITY = rf"""{_LINES},
-rules AS (SELECT * FROM (VALUES
-  ('hardcoded-secret', 'high', true, '(?i)\b(api[_-]?key|secret|password|passwd|token|credential)\b\s*[:=]\s*["''][A-Za-z0-9_\-./+=]{{16,}}["'']'),
-  ('private-key', 'high', false, '-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY'),
-  ('aws-access-key', 'high', false, '\bAKIA[0-9A-Z]{{16}}\b'),
-  ('sql-injection', 'high', true, '(?i)\b(select|insert|update|delete)\b[^;"''`]*["''`]\s*(\+|\$\{{|%\s*\(|\.format\()'),
-  ('shell-injection', 'medium', true, '\b(exec|execSync|spawnSync|system|popen|os\.system)\s*\([^)]*(\+|\$\{{|%s|f["''])'),
-  ('insecure-random', 'low', false, '(?i)Math\.random\(\).*\b(token|secret|password|key|salt|nonce)\b'),
-  ('debug-leftover', 'low', true, '\b(debugger|console\.debug|pdb\.set_trace|binding\.pry)\b'),
-  ('disabled-tls', 'high', false, 'rejectUnauthorized\s*:\s*false|verify\s*=\s*False|InsecureSkipVerify\s*:\s*true')) v(rule, severity, production, p)),
-hits AS (
-  SELECT path, line, rule, severity, text FROM lines JOIN rules ON length(text) <= 500 AND regexp_matches(text, p)
-  AND NOT (production AND regexp_matches(path, '(^|/)(tests?|spec|__tests__|__mocks__|fixtures?|examples?|samples?|docs?|e2e)/|\.(test|spec)\.[^/]*$|\.md$'))),
-found AS (SELECT path, min(line) AS line, rule, severity, arg_min(text, line) AS text FROM hits GROUP BY path, rule, severity)"""
-_MASK = r"""substr(trim(regexp_replace(regexp_replace(regexp_replace({0}, '"[A-Za-z0-9_\-./+=]{{16,}}"', '"[redacted]"', 'g'), '''[A-Za-z0-9_\-./+=]{{16,}}''', '''[redacted]''', 'g'), '-----BEGIN [A-Z ]*PRIVATE KEY-----', '[redacted key]', 'g')), 1, 200)"""
-_SUMMARY = "sums AS (SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM found)"
+REACH = f"{LINKS}, reach(root, node) AS (SELECT dst, src FROM links UNION SELECT root, src FROM reach JOIN links ON node = dst)"
 _IMPORTS = r"""f AS (SELECT p_partkey AS k, 'src/m' || (p_partkey % 13) || '/f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.ts' END AS path, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'typescript' END AS language, (p_partkey * 7 + 2) % 1000 AS o FROM part),
 i AS (SELECT path, language, CASE k % 10 WHEN 0 THEN 'm' || (o % 13) || '.f' || o WHEN 2 THEN '..m' || (o % 13) || '.f' || o WHEN 4 THEN 'numpy' WHEN 1 THEN '../m' || (o % 13) || '/f' || o
     WHEN 3 THEN '@/m' || (o % 13) || '/f' || o WHEN 5 THEN './f' || o ELSE 'pkg' || (k % 5) END AS specifier,
@@ -55,76 +44,51 @@ def _search(kind: str, table: str, key: str, text: str, question: str, n: int) -
 
 
 ORACLE_SQL: dict[str, str] = {
-    "inventory_files": f"WITH {_FILES} SELECT * EXCLUDE (doc_id) FROM files",
-    "inventory_totals": f"WITH {_FILES} SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(loc) AS BIGINT) AS loc FROM files",
-    "language_totals": f"WITH {_FILES} SELECT coalesce(language, 'other') AS language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM files GROUP BY 1",
-    "files_by_path": f"WITH {_FILES} SELECT path, loc FROM files ORDER BY path LIMIT 500",
-    "module_rollup": rf"WITH {_FILES} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS module, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, min(path) AS first FROM files GROUP BY 1",
-    "folder_tree_counts": f"WITH {_FILES} SELECT folder, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT split_part(path, '/', 1) AS folder, loc FROM files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), loc FROM files) GROUP BY folder",
+    "inventory_files": f"WITH {FILES} SELECT * EXCLUDE (doc_id) FROM files",
+    "inventory_totals": f"WITH {FILES} SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(loc) AS BIGINT) AS loc, count(*) FILTER (doc_id % 5 > 0) AS parsed FROM files",
+    "language_totals": f"WITH {FILES} SELECT coalesce(language, 'other') AS language, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM files GROUP BY 1",
+    "files_by_path": f"WITH {FILES} SELECT path, loc FROM files ORDER BY path LIMIT 500",
+    "module_rollup": rf"WITH {FILES} SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS module, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc, min(path) AS first FROM files GROUP BY 1",
+    "folder_tree_counts": f"WITH {FILES} SELECT array_to_string(p[:i], '/') AS folder, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT *, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p, loc FROM files)) GROUP BY 1",
     "legend_topk": "SELECT source AS folder, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, folder LIMIT 8",
-    "degree_in": f"WITH {_EDGES} SELECT dst AS node, count(*) AS dependents FROM edges GROUP BY 1",
-    "degree_out": f"WITH {_EDGES} SELECT src AS node, count(*) AS dependencies FROM edges GROUP BY 1",
-    "coupling_avg": f"WITH {_EDGES}, n AS (SELECT count(*) AS nodes FROM nodes), e AS (SELECT count(*) AS edges FROM edges) SELECT nodes, edges, round(edges / greatest(nodes, 1), 2) AS average FROM n, e",
-    "high_fanout": f"WITH {_EDGES} SELECT src AS node, count(*) AS dependencies FROM edges GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 20",
-    "ranked_dependents": f"WITH {_EDGES} SELECT node, count(dst) AS dependents FROM nodes LEFT JOIN edges ON dst = node GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "graph_topn": f"WITH {_EDGES}, top AS (SELECT node, count(dst) AS n FROM nodes LEFT JOIN edges ON dst = node GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300) SELECT * FROM edges WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)",
-    "neighbours": f"WITH {_EDGES}, c AS (SELECT node AS c FROM nodes LEFT JOIN edges ON dst = node GROUP BY 1 ORDER BY count(dst) DESC, 1 LIMIT 1) SELECT 'out' AS side, dst AS node FROM edges, c WHERE src = c UNION SELECT 'in', src FROM edges, c WHERE dst = c",
-    "dead_nodes": f"WITH {_EDGES} SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM edges) AND node % 10 <> 0",
-    "entrypoint_flags": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, path, regexp_matches(path, '(?i)(^|/)(index|main|app|server|worker|cli|setup|conftest)\.[^/]*$|(?i:\.(test|spec)\.[^/]*$)|(?i:(^|/)(tests?|spec|__tests__|fixtures?|examples?|docs?|scripts?|migrations?)/)|(?i:\.config\.[^/]*$)|(?i:(^|/)(readme|changelog|license)[^/]*$)')
+    "degree_in": f"WITH {EDGES} SELECT dst AS node, count(*) AS dependents FROM edges GROUP BY 1",
+    "degree_out": f"WITH {EDGES} SELECT src AS node, count(*) AS dependencies FROM edges GROUP BY 1",
+    "coupling_avg": f"WITH {EDGES}, n AS (SELECT count(*) AS nodes FROM nodes), e AS (SELECT count(*) AS edges FROM edges) SELECT nodes, edges, round(edges / greatest(nodes, 1), 2) AS average FROM n, e",
+    "high_fanout": f"WITH {EDGES} SELECT src AS node, count(*) AS dependencies FROM edges GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 20",
+    "ranked_dependents": f"WITH {EDGES} SELECT node, count(dst) AS dependents FROM nodes LEFT JOIN edges ON dst = node GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "graph_topn": f"WITH {EDGES}, top AS (SELECT node, count(dst) AS n FROM nodes LEFT JOIN edges ON dst = node GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300) SELECT * FROM edges WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)",
+    "dead_nodes": f"WITH {LINKS} SELECT node FROM nodes WHERE node NOT IN (SELECT dst FROM links) AND node % 10 <> 0",
+    "entrypoint_flags": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages UNION ALL SELECT -p_partkey, (CASE p_partkey % 12 WHEN 0 THEN 'src/Index.ts' WHEN 1 THEN 'a/__init__.py' WHEN 2 THEN 'app/x/page.tsx' WHEN 3 THEN 'a/b.Spec.js' WHEN 4 THEN 'Tests/a.py' WHEN 5 THEN 'vite.config.ts' WHEN 6 THEN 'LICENSES/foo.py' WHEN 7 THEN 'domain.py' WHEN 8 THEN 'docs/x.MD' WHEN 9 THEN 'a/layout.py' WHEN 10 THEN 'e2e/x.ts' ELSE 'src/main.test' END) FROM part)
+SELECT page_id, path, regexp_matches(path, '(?i)(^|/)(index|main|app|server|worker|cli|setup|conftest)\.[\w.]+$|\.(test|spec)\.[\w.]+$|(^|/)(tests?|spec|__tests__|fixtures?|examples?|docs?|scripts?|migrations?)/|(^|/)[^/]*\.config\.[\w.]+$|(^|/)(README|CHANGELOG|LICENSE)')
   OR regexp_matches(path, '(^|/)__init__\.py$|(^|/)(page|layout|route|middleware)\.[jt]sx?$') AS entry,
-  NOT regexp_matches(path, '(^|/)(tests?|spec|__tests__|__mocks__|fixtures?|examples?|samples?|docs?|e2e)/|\.(test|spec)\.[^/]*$|\.md$') AS production FROM p""",
-    "scc_cycles": f"WITH RECURSIVE {_REACH}, {_CYCLES} SELECT node, cycle FROM cyc",
-    "blast_radius": f"WITH RECURSIVE {_REACH} SELECT root AS node, count(*) AS blast FROM reach WHERE root <> node GROUP BY 1",
-    "ranked_blast": f"WITH RECURSIVE {_REACH} SELECT root AS node, count(*) AS blast FROM reach WHERE root <> node GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "topo_order": f"WITH RECURSIVE {_EDGES}, g AS (SELECT * FROM edges WHERE src > dst), l(node, level) AS (SELECT dst, 0 FROM g UNION SELECT src, level + 1 FROM l JOIN g ON dst = node), m AS (SELECT node, max(level) AS level FROM l GROUP BY 1) SELECT node, level, row_number() OVER (PARTITION BY level ORDER BY node) AS place FROM m",
-    "reading_steps": f"""WITH RECURSIVE {_EDGES}, g AS (SELECT * FROM edges WHERE src > dst), l(node, level) AS (SELECT dst, 0 FROM g UNION SELECT src, level + 1 FROM l JOIN g ON dst = node), m AS (SELECT node, max(level) AS level FROM l GROUP BY 1),
-r(root, node) AS (SELECT dst, src FROM g UNION SELECT root, src FROM r JOIN g ON node = dst), b AS (SELECT root AS node, count(*) AS blast FROM r GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n FROM g GROUP BY 1)
-SELECT level, node, CAST(3 * coalesce(n, 0) + coalesce(blast, 0) + CASE WHEN node % 10 = 0 THEN 5 ELSE 0 END AS DOUBLE) AS importance FROM m LEFT JOIN b USING (node) LEFT JOIN i USING (node) ORDER BY importance DESC, level, node LIMIT 15""",
+  NOT regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__|__mocks__|fixtures?|examples?|samples?|docs?|e2e)/|\.(test|spec)\.[\w.]+$|\.md$') AS production FROM p""",
     "history_churn": f"WITH {_COMMITS} SELECT path, count(*) AS commits, arg_min(ts, ordinal) AS last_commit_at FROM commits GROUP BY 1",
     "ranked_churn": "SELECT l_partkey AS path, count(*) AS commits FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "history_authors": f"WITH {_COMMITS} SELECT * FROM (SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, author) AS INT) AS rank, author, count(*) AS commits FROM commits GROUP BY path, author) WHERE rank <= 3",
-    "hotspots": f"WITH {_EDGES}, c AS (SELECT l_partkey AS path, count(*) AS churn FROM lineitem GROUP BY 1), i AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1) SELECT * FROM (SELECT p_partkey AS path, p_size AS loc, coalesce(churn, 0) AS churn, coalesce(n, 0) AS dependents, round(coalesce(churn, 0) * log10(p_size + 10) * (1 + coalesce(n, 0) / 5), 2) AS risk FROM part LEFT JOIN c ON c.path = p_partkey LEFT JOIN i ON i.path = p_partkey) WHERE churn > 1 AND risk > 0 ORDER BY risk DESC, path LIMIT 20",
-    "security_findings": f"WITH {_SECURITY} SELECT path, line, rule, severity, {_MASK.format('text')} AS snippet FROM found",
-    "security_summary": f"WITH {_SECURITY}, {_SUMMARY} SELECT high, medium, low, 8 * high + 3 * medium + low AS penalty FROM sums",
-    "redact": f"SELECT event_id, {_MASK.format(chr(39) + '  key = ' + chr(39) * 3 + ' || sha256(CAST(event_id AS VARCHAR)) || ' + chr(39) * 3 + ' # ' + chr(39) + ' || event_type')} AS snippet FROM events WHERE event_type = 'error'",
-    "health_score": f"""WITH RECURSIVE {_REACH}, {_CYCLES}, {_SECURITY}, {_SUMMARY},
-x AS (SELECT (SELECT greatest(count(*), 1) FROM nodes) AS parsed, (SELECT count(*) FROM nodes WHERE node NOT IN (SELECT dst FROM edges) AND node % 10 <> 0) AS dead, (SELECT count(*) FROM cyc) AS loops, (SELECT count(*) FROM edges) AS e),
-p AS (SELECT CAST(floor(least(100 * dead / parsed, 25) + 0.5) AS BIGINT) AS dead_penalty, CAST(floor(least(150 * loops / parsed, 25) + 0.5) AS BIGINT) AS cycle_penalty, CAST(floor(least(3 * greatest(round(e / parsed, 2) - 4, 0), 20) + 0.5) AS BIGINT) AS coupling_penalty, CAST(least(8 * high + 3 * medium + low, 30) AS BIGINT) AS security_penalty FROM x, sums),
-q AS (SELECT *, greatest(100 - dead_penalty - cycle_penalty - coupling_penalty - security_penalty, 0) AS score FROM p)
-SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM q""",
+    "hotspots": f"WITH {EDGES}, c AS (SELECT l_partkey AS path, count(*) AS churn FROM lineitem GROUP BY 1), i AS (SELECT dst AS path, count(*) AS n FROM edges GROUP BY 1) SELECT * FROM (SELECT p_partkey AS path, p_size AS loc, coalesce(churn, 0) AS churn, coalesce(n, 0) AS dependents, round(coalesce(churn, 0) * log10(p_size + 10) * (1 + coalesce(n, 0) / 5), 2) AS risk FROM part LEFT JOIN c ON c.path = p_partkey LEFT JOIN i ON i.path = p_partkey) WHERE churn > 1 AND risk > 0 ORDER BY risk DESC, path LIMIT 20",
     "import_extract": "SELECT page_id, CAST(k - 1 AS INT) AS ordinal, a[k] AS specifier FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS a FROM pages), unnest(range(1, len(a) + 1)) AS u(k)",
-    "path_normalize": rf"WITH {_FILES} SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, '.txt' AS extension FROM files",
+    "path_normalize": rf"""WITH {FILES}, m AS (SELECT *, concat_ws('/', path, '..', '.', '', CASE WHEN doc_id % 2 = 0 THEN '../..' ELSE '..' END, language, CASE WHEN doc_id % 3 = 0 THEN '../../../..' ELSE '' END, doc_id) AS messy FROM files)
+SELECT doc_id, list_reduce(list_filter(string_split(messy, '/'), lambda x: x NOT IN ('', '.')), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '(^|/)[^/]*$', '') WHEN acc = '' THEN x ELSE acc || '/' || x END, '') AS path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS extension, split_part(path, '/', 1) AS top FROM m""",
     "import_resolve": f"WITH {_IMPORTS} SELECT * FROM resolved",
     "external_counts": f"WITH {_IMPORTS} SELECT specifier, count(*) AS count FROM resolved WHERE outcome = 'external' GROUP BY 1",
     "unresolved_count": f"WITH {_IMPORTS} SELECT count(*) FILTER (outcome = 'unresolved') AS unresolved FROM resolved",
-    "block_state": f"WITH {_LINES} SELECT path, line, coalesce(last_value(CASE WHEN length(text) % 7 = 0 THEN true WHEN length(text) % 5 = 0 THEN false END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line), false) AS inside FROM lines",
-    "incremental_reuse": f"WITH {_FILES}, {_PREVIOUS} SELECT path, hash FROM files f WHERE EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.hash = f.hash)",
-    "incremental_changed": f"WITH {_FILES}, {_PREVIOUS} SELECT path, hash FROM files f WHERE NOT EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.hash = f.hash)",
-    "merged_edges": f"WITH {_EDGES} SELECT src, dst, 'import' AS kind, CAST(CASE WHEN src % 3 <> 0 THEN dst % 50 ELSE dst % 70 + 1 END AS INT) AS line, CASE WHEN src % 3 <> 0 THEN 0 ELSE 1 END AS old FROM edges WHERE src % 3 <> 0 OR src % 2 = 0",
+    "incremental_reuse": f"WITH {FILES}, {_PREVIOUS} SELECT path, hash FROM files f WHERE EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.hash = f.hash)",
+    "incremental_changed": f"WITH {FILES}, {_PREVIOUS} SELECT path, hash FROM files f WHERE NOT EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.hash = f.hash)",
+    "merged_edges": f"WITH {EDGES} SELECT src, dst, 'import' AS kind, CAST(CASE WHEN src % 3 <> 0 THEN dst % 50 ELSE dst % 70 + 1 END AS INT) AS line, CASE WHEN src % 3 <> 0 THEN 0 ELSE 1 END AS old FROM edges WHERE src % 3 <> 0 OR src % 2 = 0",
     "merged_externals": "SELECT o_orderpriority AS specifier, count(*) AS count FROM orders GROUP BY 1",
     "upsert_latest": "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
-    "status_latest": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "trigram_topk": "SELECT * FROM " + _search("part", "part", "p_partkey", "p_name", "part name 12", 20),
+    "trigram_topk": "SELECT * FROM " + _search("part", "part", "p_partkey", "p_name", "blue ring bolt", 20),
     "evidence_union": "SELECT * FROM (" + " UNION ALL ".join("SELECT * FROM " + _search(*x) for x in (("part", "part", "p_partkey", "p_name", "Supplier 12", 20), ("supplier", "supplier", "s_suppkey", "s_name", "Supplier 12", 15), ("customer", "customer", "c_custkey", "c_name", "Supplier 12", 15))) + ") ORDER BY score DESC, kind, key LIMIT 20",
-    "claims_grounded": f"WITH {_FILES}, c AS (SELECT DISTINCT conv_id AS claim, turn * 4 AS line FROM conversations) SELECT claim, count(*) AS cited, count(*) FILTER (line >= 1 AND line <= greatest(loc, 1)) AS kept FROM c LEFT JOIN files ON doc_id = claim GROUP BY 1",
-    "citations_dedup": "SELECT conv_id, count(DISTINCT role || ':' || length(text)) AS places, count(*) AS turns FROM conversations GROUP BY 1",
-    "nested_claims": "SELECT conv_id, turn, role FROM conversations",
+    "claims_grounded": f"WITH {FILES}, c AS (SELECT DISTINCT conv_id AS claim, turn * 4 AS line FROM conversations) SELECT claim, count(*) AS cited, count(*) FILTER (line >= 1 AND line <= greatest(loc, 1)) AS kept FROM c LEFT JOIN files ON doc_id = claim GROUP BY 1",
     "headline": r"SELECT doc_id, CASE WHEN f = '' THEN '(empty)' WHEN length(f) > 160 THEN substr(f, 1, 159) || '…' ELSE f END AS headline FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)",
-    "number_lines": r"SELECT doc_id, md5(array_to_string(list_transform(range(1, least(len(a), 3) + 1), lambda k: k || ': ' || a[k]), chr(10)) || CASE WHEN len(a) > 3 THEN chr(10) || '… ' || (len(a) - 3) || ' more lines' ELSE '' END) AS numbered_md5 FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)",
-    "qa_history": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn, role LIMIT 50",
-    "qa_recent": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
+    "number_lines": r"SELECT doc_id, md5(CASE WHEN length(x) > 24000 THEN substr(x, 1, 24000) || chr(10) || '… (cut, too long)' ELSE x END || CASE WHEN len(a) > 600 THEN chr(10) || '… (' || len(a) || ' lines, the first 600 are shown)' ELSE '' END) AS numbered_md5 FROM (SELECT *, array_to_string(list_transform(range(1, least(len(a), 600) + 1), lambda k: k || chr(9) || a[k]), chr(10)) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))",
+    "qa_history": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) <= 50",
+    "qa_recent": "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS place, turn, role FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)",
     "session_gaps": "WITH a AS (SELECT user_id AS key, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, event_id) AS run FROM a) SELECT key, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM b GROUP BY key, run",
-    "sliding_expiry": "SELECT user_id, max(ts) AS used FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 12 HOUR > (SELECT max(ts) FROM events)",
-    "progress_throttle": "SELECT * FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE done % 5 = 0 OR done = total",
     "json_props": "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1",
-    "export_json": """SELECT r_regionkey, '{"name":"' || r_name || '","nations":[' || string_agg('"' || n_name || '"', ',' ORDER BY n_nationkey) || ']}' AS doc FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""",
-    "report_sections": "SELECT '## Orders' || chr(10) || string_agg('- ' || o_orderstatus || ': ' || n, chr(10) ORDER BY o_orderstatus) AS report FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)",
-    "semver_sort": "SELECT a || '.' || b || '.' || c AS version, CAST(row_number() OVER (PARTITION BY a ORDER BY b DESC, c DESC) AS INT) AS place FROM (SELECT DISTINCT p_partkey % 3 AS a, p_size % 12 AS b, p_partkey % 15 AS c FROM part)",
-    "repo_ref_parse": r"SELECT page_id, host NOT LIKE '%:%' AND owner <> '' AND name <> '' AS ok, host, owner, name FROM (SELECT page_id, CASE WHEN m THEN lower(regexp_extract(url, p, 1)) ELSE 'github.com' END AS host, regexp_extract(url, p, 2) AS owner, regexp_replace(regexp_extract(url, p, 3), '\.git$', '') AS name FROM (SELECT page_id, url, p, regexp_matches(url, p) AS m FROM pages, (SELECT '^https?://([^/\s]+)/([^/\s?#]+)/([^/\s?#]+)' AS p)))",
     "join_inner": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
     "join_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
-    "join_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "latest_scalar": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey = (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)",
 }

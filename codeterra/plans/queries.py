@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeterra import store
 from codeterra.functions import paths, texts
-from codeterra.operators import graph, grounding, health, history, incremental, inventory, resolve, search, security
+from codeterra.operators import graph, grounding, history, incremental, inventory, resolve, search
 from codeterra.plans import tables as t
-from codeterra.sources import git
 from codeterra.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def inventory_files(s, d):
 
 @query
 def inventory_totals(s, d):
-    return inventory.totals(t.files(s, d))
+    return inventory.totals(t.files(s, d).withColumn("parsed", F.col("doc_id") % 5 > 0))
 
 
 @query
@@ -95,54 +95,18 @@ def graph_topn(s, d):
     return graph.within(edges, graph.top_nodes(edges, 300))
 
 
-@query
-def neighbours(s, d):
-    edges = t.edges(s, d)
-    first = graph.top_nodes(edges, 1).select(F.col("node").alias("centre"))
-    out = edges.join(F.broadcast(first), edges.src == F.col("centre")).select(F.lit("out").alias("side"), F.col("dst").alias("node"))
-    return out.union(edges.join(F.broadcast(first), edges.dst == F.col("centre")).select(F.lit("in").alias("side"), F.col("src").alias("node"))).distinct()
-
-
 @query
 def dead_nodes(s, d):
-    edges = t.edges(s, d)
-    return graph.dead(graph.nodes(edges), edges, F.col("node") % 10 == 0)
+    links = t.links(s, d)
+    return graph.dead(graph.nodes(links), links, F.col("node") % 10 == 0)
 
 
 @query
 def entrypoint_flags(s, d):
-    pages = t.table(s, d, "pages")
-    path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
-    return pages.select("page_id", path.alias("path")).select("page_id", "path", paths.is_entry_point(F.col("path")).alias("entry"), paths.is_production(F.col("path")).alias("production"))
-
-
-@query
-def scc_cycles(s, d):
-    return graph.cycles(t.edges(s, d))
-
-
-@query
-def blast_radius(s, d):
-    return graph.blast_radius(t.edges(s, d))
-
-
-@query
-def ranked_blast(s, d):
-    return graph.blast_radius(t.edges(s, d)).orderBy(F.desc("blast"), "node").limit(TOP)
-
-
-@query
-def topo_order(s, d):
-    levels = graph.reading_levels(t.downward(s, d))
-    return levels.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("node")))
-
-
-@query
-def reading_steps(s, d):
-    edges = t.downward(s, d)
-    facts = graph.reading_levels(edges).join(graph.dependents(edges), "node", "left").join(graph.blast_radius(edges), "node", "left").fillna(0)
-    facts = facts.withColumn("churn", F.lit(0)).withColumn("entry", F.col("node") % 10 == 0)
-    return facts.select("level", "node", graph.importance(facts).cast("double").alias("importance")).orderBy(F.desc("importance"), "level", "node").limit(15)
+    pages = t.table(s, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1).alias("path"))
+    odd = F.array(*[F.lit(p) for p in ("src/Index.ts", "a/__init__.py", "app/x/page.tsx", "a/b.Spec.js", "Tests/a.py", "vite.config.ts", "LICENSES/foo.py", "domain.py", "docs/x.MD", "a/layout.py", "e2e/x.ts", "src/main.test")])
+    made = t.table(s, d, "part").select((-F.col("p_partkey")).alias("page_id"), F.element_at(odd, (F.col("p_partkey") % 12 + 1).cast("int")).alias("path"))
+    return pages.union(made).select("page_id", "path", paths.is_entry_point(F.col("path")).alias("entry"), paths.is_production(F.col("path")).alias("production"))
 
 
 @query
@@ -168,35 +132,6 @@ def hotspots(s, d):
     return history.hotspots(facts)
 
 
-@query
-def security_findings(s, d):
-    return security.findings(t.lines(s, d))
-
-
-@query
-def security_summary(s, d):
-    return security.summary(security.findings(t.lines(s, d)))
-
-
-@query
-def redact(s, d):
-    events = t.table(s, d, "events").where("event_type = 'error'")
-    text = F.concat(F.lit("  key = '"), F.sha2(F.col("event_id").cast("string"), 256), F.lit("' # "), "event_type")
-    return events.select("event_id", security.redact(text).alias("snippet"))
-
-
-@query
-def health_score(s, d):
-    edges = t.edges(s, d)
-    one = graph.nodes(edges).agg(F.count("*").alias("parsed"))
-    dead = graph.dead(graph.nodes(edges), edges, F.col("node") % 10 == 0).agg(F.count("*").alias("dead"))
-    loops = graph.cycles(edges).agg(F.count("*").alias("in_cycles"))
-    many = edges.agg(F.count("*").alias("edges"))
-    found = security.summary(security.findings(t.lines(s, d)))
-    facts = one.join(F.broadcast(dead)).join(F.broadcast(loops)).join(F.broadcast(many)).join(F.broadcast(found))  # one row each
-    return health.health(facts.withColumn("average", F.round(F.col("edges") / F.greatest("parsed", F.lit(1)), 2)))
-
-
 @query
 def import_extract(s, d):
     pages = t.table(s, d, "pages")
@@ -206,8 +141,9 @@ def import_extract(s, d):
 @query
 def path_normalize(s, d):
     docs = t.files(s, d)
-    messy = F.concat_ws("/", "path", F.lit(".."), F.lit("."), F.lit(""), F.lit("../.."), "language", F.lit("../../.."), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", paths.normalize(messy).alias("path"), paths.directory_of(F.col("path")).alias("folder"), paths.extension_of(F.col("path")).alias("extension"))
+    deep = F.when(F.col("doc_id") % 3 == 0, "../../../..").otherwise("")
+    messy = F.concat_ws("/", "path", F.lit(".."), F.lit("."), F.lit(""), F.when(F.col("doc_id") % 2 == 0, "../..").otherwise(".."), "language", deep, F.col("doc_id").cast("string"))
+    return docs.select("doc_id", paths.normalize(messy).alias("path"), paths.directory_of(F.col("path")).alias("folder"), paths.extension_of(F.col("path")).alias("extension"), paths.top_folder(F.col("path")).alias("top"))
 
 
 def _imports(s, d):
@@ -247,14 +183,6 @@ def unresolved_count(s, d):
     return resolve.resolve(*_imports(s, d)).agg(F.count(F.when(F.col("outcome") == "unresolved", 1)).alias("unresolved"))
 
 
-@query
-def block_state(s, d):
-    lines = t.lines(s, d)
-    mark = F.when(F.length("text") % 7 == 0, True).when(F.length("text") % 5 == 0, False)
-    state = F.coalesce(F.last(mark, ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    return lines.select("path", "line", state.alias("inside"))
-
-
 @query
 def incremental_reuse(s, d):
     return incremental.reused(t.files(s, d), t.previous(s, d)).select("path", "hash")
@@ -286,15 +214,9 @@ def upsert_latest(s, d):
     return incremental.latest(orders, "o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query
-def status_latest(s, d):
-    events = t.table(s, d, "events")
-    return events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", F.col("x.event_type").alias("status"), F.col("x.event_id").alias("event_id"))
-
-
 @query
 def trigram_topk(s, d):
-    return search.trigram_search(t.table(s, d, "part").withColumn("key", F.col("p_partkey")), "p_name", "part name 12", 20, "part")
+    return search.trigram_search(t.table(s, d, "part").withColumn("key", F.col("p_partkey")), "p_name", "blue ring bolt", 20, "part")
 
 
 @query
@@ -311,19 +233,6 @@ def claims_grounded(s, d):
     return grounding.grounded(claims, t.files(s, d).select(F.col("doc_id").cast("string").alias("path"), "loc"))
 
 
-@query
-def citations_dedup(s, d):
-    turns = t.table(s, d, "conversations").select("conv_id", F.struct("role", F.length("text").alias("n")).alias("place"))
-    return turns.groupBy("conv_id").agg(F.size(F.collect_set("place")).cast("long").alias("places"), F.count("*").alias("turns"))
-
-
-@query
-def nested_claims(s, d):
-    turns = t.table(s, d, "conversations")
-    nested = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("points"))
-    return nested.select("conv_id", F.explode("points").alias("p")).select("conv_id", "p.turn", "p.role")
-
-
 @query
 def headline(s, d):
     return t.table(s, d, "documents").select("doc_id", texts.headline(F.col("text"), F.lit("(empty)")).alias("headline"))
@@ -331,23 +240,18 @@ def headline(s, d):
 
 @query
 def number_lines(s, d):
-    return t.table(s, d, "documents").select("doc_id", F.md5(texts.number_lines(F.col("text"), 3)).alias("numbered_md5"))
+    return t.table(s, d, "documents").select("doc_id", F.md5(texts.number_lines(F.col("text"))).alias("numbered_md5"))
 
 
 @query
 def qa_history(s, d):
-    return t.table(s, d, "conversations").select("conv_id", "turn", "role").orderBy("conv_id", "turn", "role").limit(50)
+    return store.first_rows(t.table(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", [F.col("turn"), F.col("role")], 50)
 
 
 @query
 def qa_recent(s, d):
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return t.table(s, d, "conversations").withColumn("back", rank).where("back <= 3").select("conv_id", "turn", "role")
-
-
-@query
-def rate_limit_decisions(s, d):
-    return limits.rate_limit(t.requests(s, d), 3, 86_400)
+    last = store.first_rows(t.table(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", [F.desc("turn")], 3)
+    return last.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
 
 
 @query
@@ -355,56 +259,12 @@ def session_gaps(s, d):
     return limits.sessions(t.requests(s, d), 6 * 3600).select("key", "started", "ended", "n")
 
 
-@query
-def sliding_expiry(s, d):
-    events = t.table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("used"))
-    now = events.agg(F.max("used").alias("now"))
-    live = events.join(F.broadcast(now)).where(F.col("used") + F.expr("interval 12 hours") > F.col("now"))  # one row
-    return live.select("user_id", "used")
-
-
-@query
-def progress_throttle(s, d):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    every = Window.partitionBy("user_id")
-    counted = t.table(s, d, "events").select("user_id", "event_id", F.row_number().over(order).alias("done"), F.count("*").over(every).alias("total"))
-    return counted.where("done % 5 = 0 or done = total")
-
-
 @query
 def json_props(s, d):
     props = F.from_json("props", "k bigint")
     return t.table(s, d, "events").groupBy(props["k"].alias("k")).agg(F.count("*").alias("n"))
 
 
-@query
-def export_json(s, d):
-    nation = t.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
-    both = t.table(s, d, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"))
-    return both.select("r_regionkey", F.to_json(F.struct(F.col("r_name").alias("name"), F.transform("nations", lambda x: x["n_name"]).alias("nations"))).alias("doc"))
-
-
-@query
-def report_sections(s, d):
-    orders = t.table(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    rows = orders.agg(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n"))).alias("x"))
-    lines = F.transform("x", lambda r: F.concat(F.lit("- "), r["o_orderstatus"], F.lit(": "), r["n"].cast("string")))
-    return rows.select(F.concat(F.lit("## Orders\n"), F.array_join(lines, "\n")).alias("report"))
-
-
-@query
-def semver_sort(s, d):
-    part = t.table(s, d, "part").select((F.col("p_partkey") % 3).alias("a"), (F.col("p_size") % 12).alias("b"), (F.col("p_partkey") % 15).alias("c")).distinct()
-    version = part.select(F.concat_ws(".", F.col("a").cast("string"), F.col("b").cast("string"), F.col("c").cast("string")).alias("version"))
-    order = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    return version.withColumn("place", F.row_number().over(Window.partitionBy(F.substring_index("version", ".", 1)).orderBy(order.desc())))
-
-
-@query
-def repo_ref_parse(s, d):
-    return t.table(s, d, "pages").select("page_id", git.repo_ref(F.col("url")).alias("r")).select("page_id", "r.ok", "r.host", "r.owner", "r.name")
-
-
 @query
 def join_inner(s, d):
     both = t.table(s, d, "orders").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))

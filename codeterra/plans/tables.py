@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeterra.functions import texts
-
-#: One order in so many gives edges.
-EDGE_ORDERS = 40
+from codeterra.session import checkpointed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,15 +30,25 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % EDGE_ORDERS == 0)
+    """Parts that follow each other in an order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = items.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
     return pairs.where("src <> dst").distinct()
 
 
-def downward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges without cycles."""
-    return edges(spark, sf_dir).where("src > dst")
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part uses the one before it, in runs of 50; the middle of every second run uses another run, which makes cycles."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    last = part.agg(F.max("k").alias("last"))
+    down = part.where("k % 50 <> 0 and k > 1").select(F.col("k").alias("src"), (F.col("k") - 1).alias("dst"))
+    over = part.where("k % 100 = 25").join(F.broadcast(last)).select(F.col("k").alias("src"), ((F.col("k") * 7 + 2) % F.col("last") + 1).alias("dst"))  # one row
+    back = part.where("k % 70 = 30").select(F.col("k").alias("src"), (F.col("k") + 6).alias("dst")).join(part.select(F.col("k").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return down.union(over).union(back).where("src <> dst").distinct()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, for plans that use it twice."""
+    return checkpointed(df)
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
