@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from codeterra.plans import oracles, queries
+from codeterra.plans import oracles, queries, service, structure  # noqa: F401  (the last two add their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations"
