@@ -42,3 +42,11 @@ def drop_stored(df: DataFrame) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores as no column of taken has, in any case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name

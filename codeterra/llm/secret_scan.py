@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeterra.llm.lineage import free
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -81,9 +83,10 @@ def findings(versions: DataFrame, ledger: DataFrame, into: str = "spans") -> Dat
 
     Only blobs with findings are joined; a column of that name in versions is replaced.
     """
-    held = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__found"))
-    rows = versions.drop(into).withColumn("__blob", blob_of(F.col("text")))
-    return rows.join(held, "__blob", "left").withColumn(into, F.coalesce("__found", F.expr(_NONE))).drop("__blob", "__found")
+    blob, found = free("blob", versions.columns), free("found", versions.columns)
+    held = ledger.where(F.size("spans") > 0).groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias(found))
+    rows = versions.drop(into).withColumn(blob, blob_of(F.col("text")))
+    return rows.join(held, blob, "left").withColumn(into, F.coalesce(found, F.expr(_NONE))).drop(blob, found)
 
 
 def listed(found: Column) -> Column:

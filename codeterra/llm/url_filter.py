@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeterra.llm.lineage import free
+
 BITS = 4
 KEYS_PER_BLOCK = 4
 #: Largest filter, in blocks of 8 bytes: half a megabyte goes with the plan.
@@ -85,6 +87,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     hits = pages.select("host", "path", passed.alias("passed")).where(F.size("passed") > 0).distinct().select("host", "path", F.explode("passed").alias("x"))
     named = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict", F.concat("host", "path").alias("rule"))
     exact = hits.select("host", "path", "x.h", "x.p").join(named, ["h", "p"])
-    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+    top = free("best", pages.columns)
+    best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias(top))
     out = pages.join(best, ["host", "path"], "left")
-    return out.select(*pages.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    own = [F.col(f"`{c}`") for c in pages.columns]
+    return out.select(*own, F.col(top)["rule"].alias("rule"), F.coalesce(F.col(top)["verdict"], F.lit(default)).alias("verdict"))
