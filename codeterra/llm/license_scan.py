@@ -1,6 +1,6 @@
 """License scans: a trained paragraph classifier whose predictions are confirmed by comparison with templates.
 
-Paragraphs are lines. Their features are the words and word pairs that they hold; a multinomial logistic regression with
+Paragraphs are lines, and lines of a wrapped notice with the short ones around them. Their features are the words and word pairs that they hold; a multinomial logistic regression with
 an L1 penalty, fitted on the driver to variants of the templates below and a bounded sample of other paragraphs, gives
 each licence family and the class of unknown text a weight for few of them. A temperature, fitted on variants that
 were not learned from, calibrates the probabilities; what no family reaches with LEAST is unknown. A prediction is
@@ -22,8 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Paragraphs of the documents that stand for unknown text, at most; chosen by hash.
+#: Paragraphs of the documents that stand for unknown text, about; so many of a text, and of each so many characters.
 SAMPLE = 3000
+PER_TEXT = 4
+LONGEST = 2000
+#: A line of no more characters may be one of a wrapped paragraph: it is judged once alone, and once with such lines around it.
+WRAPPED = 120
+BEFORE, AFTER = 2, 7
 VARIANTS = 40
 #: Calibrated probability that a family needs, and the part of a template that confirms it.
 LEAST = 0.5
@@ -214,11 +219,18 @@ def fit(others: list[str]) -> Model:
     return Model(classes, b, dict(zip(names, w[used])), _anchors(names, w[used], b, common))
 
 
-def train(docs: DataFrame) -> Model:
-    """Unknown text: paragraphs of documents chosen by hash, SAMPLE at most, without any that names a licence."""
-    part = docs.select("text").where("text is not null").orderBy(F.xxhash64("text"), "text").limit(SAMPLE // 4)
-    lines = part.select(F.explode(F.slice(F.filter(F.split("text", "\n"), lambda p: (p != "") & ~p.rlike("(?i)licen[sc]|copyright|creative commons|public domain|rights reserved")), 1, 4)).alias("p"))
-    return fit([r["p"] for r in lines.select(F.substring("p", 1, 2000).alias("p")).collect()])  # at most SAMPLE paragraphs
+def train(docs: DataFrame, sample: int = SAMPLE, per_text: int = PER_TEXT, longest: int = LONGEST) -> Model:
+    """Unknown text: paragraphs without words of licences, about `sample`, of texts whose hash is below a threshold.
+
+    Of each such text the first `per_text` paragraphs are taken, and of each paragraph the first `longest` characters.
+    """
+    n = docs.count()
+    part = min(1.0, sample / per_text / max(n, 1))
+    some = docs.select("text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    plain = F.slice(F.filter(F.split("text", "\n"), lambda p: (p != "") & ~p.rlike("(?i)licen[sc]|copyright|creative commons|public domain|rights reserved")), 1, per_text)
+    # copies of one text pass together, so paragraphs are made distinct before they are sent
+    lines = some.select(F.explode(plain).alias("p")).select(F.substring("p", 1, longest).alias("p")).distinct()
+    return fit(sorted(r["p"] for r in lines.limit(2 * sample).collect()))  # about `sample` paragraphs
 
 
 def _doubles(x: np.ndarray) -> Column:
@@ -241,7 +253,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_paragraphs, license, paragraph, probability, similarity, confirmed, licenses), a row for each row.
 
     license is the family of the paragraph with the highest probability among those that a family wins with LEAST or
-    more, confirmed ones first, then the first; null where all paragraphs are unknown. paragraph counts lines from 0.
+    more, confirmed ones first, then the first; null where all paragraphs are unknown. paragraph counts lines from 0; a wrapped
+    notice has the line that an anchor is in.
     licenses has the distinct families of confirmed paragraphs, sorted. A null text is one empty paragraph. Repeated
     rows come back repeated.
     """
@@ -249,7 +262,15 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select("doc_id", F.split(_lower(F.coalesce("text", F.lit(""))), "\n").alias("lines"))
     # (paragraph, text) of those that hold an anchor: all others are unknown
     some = F.filter(F.transform("lines", lambda p, k: F.struct(k.alias("paragraph"), p.alias("p"))), lambda x: x["p"].rlike(pattern))
-    docs = docs.select("doc_id", F.size("lines").cast("long").alias("n_paragraphs"), some.alias("some"))
+    docs = docs.select("doc_id", "lines", F.size("lines").cast("long").alias("n_paragraphs"), some.alias("some"))
+
+    def around(x: Column) -> Column:
+        first = F.greatest(x["paragraph"] + 1 - BEFORE, F.lit(1))
+        near = F.slice("lines", first, x["paragraph"] + 2 + AFTER - first)
+        return F.struct(x["paragraph"].alias("paragraph"), F.array_join(F.filter(near, lambda p: F.length(p) <= WRAPPED), " ").alias("p"))
+
+    joined = F.filter(F.transform(F.filter("some", lambda x: F.length(x["p"]) <= WRAPPED), around), lambda x: F.length(x["p"]) > 0)
+    docs = docs.withColumn("some", F.array_distinct(F.concat("some", joined))).drop("lines")
     families = list(TEMPLATES)
     judged = F.transform("some", lambda x: F.struct(x["paragraph"].alias("paragraph"), predict(x["p"], model).alias("found"), grams(x["p"]).alias("grams")))
     judged = F.filter(judged, lambda x: (x["found"]["at"] <= len(families)) & (x["found"]["probability"] >= LEAST))
