@@ -31,6 +31,8 @@ END = 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Totals by queue are kept by each task for so many sources at most; beyond, turns are sorted.
 MAX_QUEUES = 4096
+#: Bytes of table that go to every task.
+BROADCAST_BYTES = 32 << 20
 #: Fraction bits of a quantum.
 FRACTION = 16
 
@@ -280,14 +282,14 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, shares: dict[
     """docs(doc_id, text, source) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (and ids, if asked for).
 
     tokenizer is the path of a tokenizer file, which each worker opens. A document is its ids and then END, so a null
-    or empty text is one token. A null source is a queue named "". shares are target proportions by source (by default
+    or empty text is one token. A null source is a queue named "", any other its text. shares are target proportions by source (by default
     each source's part of all tokens, so all queues end together); a queue that ends early leaves its turns to the
     others, a source that shares doesn't name gets the least quantum. Repeated rows are packed as often as they come.
     No rows give no pieces. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     width = _width(tokenizer)
-    queue = F.coalesce("source", F.lit(""))
+    queue = F.coalesce(F.col("source").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("queue"))
     tokens = stored(docs.mapInArrow(_tokenize(tokenizer, width), "doc_id long, queue string, block int, before long, n long, ids binary"))
     blocks = tokens.groupBy("queue", "block").agg(F.sum("n").alias("sum"))
@@ -295,6 +297,9 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, shares: dict[
     few = totals.limit(MAX_QUEUES + 1).collect()  # at most MAX_QUEUES + 1 rows
     earlier = F.coalesce(F.sum("sum").over(Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = blocks.select("queue", "block", earlier.alias("base"))
+    # a row for each task and source, so tokens need no shuffle while these rows are few bytes
+    held = blocks.agg(F.sum(F.octet_length("queue") + 32)).first()[0] or 0
+    base = F.broadcast(base) if held <= BROADCAST_BYTES else base
     placed = tokens.join(base, ["queue", "block"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
     shared = None
     if len(few) <= MAX_QUEUES:
