@@ -55,6 +55,18 @@ def version_key(version: Column) -> Column:
     return F.slice(F.concat(parts, F.array_repeat(F.lit(0), 3)), 1, 3)
 
 
+def plain_version(version: Column) -> Column:
+    """Without a leading v."""
+    return F.regexp_replace(version, "^v", "")
+
+
+def build_label(version: Column, built_at: Column, sha: Column) -> Column:
+    """v<version> · <day> · <short commit>; without a day or a commit, what there is."""
+    day = F.substring(F.when(F.trim(built_at) != "", F.trim(built_at)), 1, 10)
+    commit = F.coalesce(F.substring(F.when(F.trim(sha) != "", F.trim(sha)), 1, 7), F.lit("dev"))
+    return F.concat_ws(" · ", F.concat(F.lit("v"), F.coalesce(F.when(F.trim(version) != "", F.trim(version)), F.lit("0.0.0-dev"))), day, commit)
+
+
 def changes(sections: Column) -> Column:
     return F.aggregate(sections, F.lit(0), lambda n, x: n + F.size(x["items"])).cast("long")
 

@@ -25,6 +25,19 @@ def steps(facts: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     return best.select(F.row_number().over(Window.orderBy("level", "node")).alias("step"), "node", "level", "importance")
 
 
+def candidates(files: DataFrame, edges: DataFrame, entry: Column) -> DataFrame:
+    """files(path, language, loc, dependents, blast, churn, skip_reason) -> what a reading path is chosen from: readable files, with how many they use."""
+    uses = graph.dependencies(edges).withColumnRenamed("node", "path")
+    rows = files.where("skip_reason is null and loc > 0").join(uses, "path", "left")
+    return rows.select("path", "language", "loc", "dependents", F.coalesce("dependencies", F.lit(0)).alias("dependencies"), "blast", "churn", entry.alias("entry"))
+
+
+def order(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """facts(path, ...) with node and level: the reading order among these files, edges to others aside; files without edges come first."""
+    among = graph.within(edges.select("src", "dst"), facts.select(F.col("path").alias("node")))
+    return facts.withColumnRenamed("path", "node").join(graph.reading_levels(among), "node", "left").fillna(0, ["level"])
+
+
 def cite(text: Column, path: Column, line: Column) -> Column:
     return F.array(F.struct(text.alias("text"), F.array(F.struct(path.alias("path"), line.cast("long").alias("line"))).alias("citations"))).cast(CLAIMS)
 

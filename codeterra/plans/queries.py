@@ -284,7 +284,7 @@ def join_semi(s, d):
 
 @query
 def join_anti(s, d):
-    return t.table(s, d, "customer").join(t.table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.table(s, d, "customer").join(t.table(s, d, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query

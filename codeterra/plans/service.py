@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeterra import store
 from codeterra.functions import paths, texts
-from codeterra.operators import grounding, inventory, notes, reading, report, security, views
+from codeterra.operators import comprehension, grounding, inventory, notes, parsing, reading, report, security, views
 from codeterra.plans import tables as t
 from codeterra.plans.oracles import EDGES, FILES
 from codeterra.plans.sources import SOURCES_SQL, sources
@@ -361,3 +363,51 @@ r(key, id, ts, i, log, allowed, retry_after) AS (
 SELECT key, id, ts, allowed, retry_after FROM r""")
 def rate_limit_decisions(s, d):
     return limits.rate_limit(t.requests(s, d), 3, 86_400)
+
+
+def _echo(prompt: str) -> str:
+    """A stand-in for a model: it repeats a prompt's first line and cites line 1, a line too far, and a file of no such name."""
+    first = prompt.split("\n", 1)[0]
+    if first.endswith("7.py"):
+        raise ValueError("no answer")
+    path = first.removeprefix("File: ")
+    return "Here: " + json.dumps({"headline": f"  on   {first} ", "points": [{"text": "kept", "lines": [1, 10**6]}, {"text": "lost", "refs": [{"path": "none", "line": 1}]}], "claims": [{"text": prompt.split("\n")[1][2:], "refs": [{"path": path, "line": 1}, {"path": "src/m1/f1.py", "line": 2}]}]})
+
+
+def _comprehension(s, d):
+    files = sources(s, d).select("path", "language", F.octet_length("text").alias("bytes"), texts.line_count(F.col("text")).alias("loc"), F.lit(0).alias("dependents"), F.lit(None).cast("string").alias("skip_reason"))
+    lines = parsing.lines_of(sources(s, d))
+    edges = s.createDataFrame([], "src string, dst string")
+    return comprehension.comprehend(files, sources(s, d).select("path", "text"), parsing.symbols(lines), edges, "o/n", _echo)
+
+
+@query(f"""WITH {SOURCES_SQL} SELECT path, CASE WHEN path LIKE '%7.py' THEN 'analyzer' ELSE 'model' END AS source, CASE WHEN path LIKE '%7.py' THEN NULL ELSE 'on File: ' || path END AS headline FROM (SELECT * FROM src WHERE language <> '' ORDER BY path LIMIT 400)""")
+def comprehension_files(s, d):
+    """The files that the model was asked of; one with a failed call is told from facts."""
+    files = _comprehension(s, d).files
+    asked = reading.model_files(sources(s, d).select("path", F.lit(1).alias("loc"), F.lit(1).alias("bytes"), F.lit(0).alias("dependents"), F.lit(None).cast("string").alias("skip_reason"))).select("path")
+    return files.join(asked, "path").select("path", "source", F.when(F.col("source") == "model", F.col("headline")).alias("headline"))
+
+
+@query(f"""WITH {SOURCES_SQL}, m AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS module, count(*) AS files FROM src GROUP BY 1) SELECT module, files, 'on Folder: ' || module AS headline, 'model' AS source FROM m""")
+def comprehension_modules(s, d):
+    return _comprehension(s, d).modules.select("module", "files", "headline", "source")
+
+
+@query("SELECT conv_id AS id, string_agg(role || ':' || turn || ' t' || turn, '|' ORDER BY turn) AS first FROM conversations WHERE turn = 0 GROUP BY 1")
+def question_answers(s, d):
+    """Questions on the first turn of each conversation; the model repeats the first piece of evidence."""
+    shown = F.struct(F.col("turn").alias("line"), F.col("role").alias("path"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("text"))
+    rows = t.table(s, d, "conversations").where("turn = 0").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(shown)).alias("evidence"))
+    rows = rows.withColumn("question", F.lit("why")).withColumn("history", F.array().cast("array<struct<question:string,answer:string>>"))
+    files = s.createDataFrame([("src/m1/f1.py", 9)], "path string, loc int")
+    found = comprehension.answer(rows, files, _echo)
+    return found.select("id", F.col("claims")[0]["text"].alias("first"))
+
+
+@query("SELECT s_suppkey AS id, 'v1.' || s_suppkey || ' · ' || CASE WHEN s_suppkey % 2 = 0 THEN '2024-05-06 · ' ELSE '' END || CASE WHEN s_suppkey % 3 = 0 THEN 'dev' ELSE 'abcdef0' END AS label, '1.' || s_suppkey AS version FROM supplier")
+def build_labels(s, d):
+    k = F.col("s_suppkey")
+    version = F.concat(F.lit("1."), k.cast("string"))
+    label = notes.build_label(version, F.when(k % 2 == 0, "2024-05-06T07:08:09Z"), F.when(k % 3 == 0, " ").otherwise("abcdef0123"))
+    return t.table(s, d, "supplier").select(k.alias("id"), label.alias("label"), notes.plain_version(F.concat(F.lit("v"), version)).alias("version"))

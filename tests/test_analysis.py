@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeterra import store
 from codeterra.functions import texts
-from codeterra.operators import analysis, grounding, notes, parsing, reading, report, views
+from codeterra.operators import analysis, comprehension, grounding, notes, parsing, reading, report, views
 from codeterra.sources import git
 from tests.conftest import frame
 
@@ -159,3 +159,41 @@ def test_notes_and_texts(spark, tmp_path):
     got = {r["source"]: (r["version"], r["title"], [(s["heading"], s["items"]) for s in r["sections"]], r["error"]) for r in notes.parse(notes.read(spark, str(tmp_path))).collect()}
     assert got == {"a.md": ("1.10.0", "t: u", [("Fixed", ["one more"])], None), "b.md": ("1.9.0", "", [("Fixed", [])], "no title")}
     assert spark.range(1).select(notes.version_key(F.lit("1.10")), texts.number_lines(F.lit("a\nb\nc"), 2, 3)).first() == ([1, 10, 0], "1\ta\n… (cut, too long)\n… (3 lines, the first 2 are shown)")
+
+
+def test_comprehension_falls_back_and_grounds(spark):
+    files = frame(spark, [("src/main.ts", "typescript", 10, 2, 1, None), ("src/b.ts", "typescript", 10, 3, 0, None), ("x.bin", None, 5, 0, 0, "binary")], "path string, language string, bytes long, loc long, dependents int, skip_reason string")
+    contents = frame(spark, [("src/main.ts", "a\nb"), ("src/b.ts", "c")], "path string, text string")
+    symbols = frame(spark, [("src/b.ts", 2, "f", "function")], "path string, line long, name string, kind string")
+    edges = frame(spark, [("src/b.ts", "src/main.ts")], "src string, dst string")
+
+    def ask(prompt):
+        if prompt.startswith("File: src/main.ts"):
+            assert "Files that depend on it: src/b.ts" in prompt and "1\ta\n2\tb" in prompt
+            return '{"headline":"starts","points":[{"text":"p","lines":[2,3]}]}'
+        if prompt.startswith("Repository"):
+            return '{"headline":"all","purpose":[{"text":"w","refs":[{"path":"src/b.ts","line":1}]}],"entrypoints":[{"text":"no","refs":[{"path":"gone","line":1}]}]}'
+        raise RuntimeError("busy")
+
+    got = comprehension.comprehend(files, contents, symbols, edges, "o/n", ask)
+    told = {r["path"]: (r["headline"], [(c["text"], [tuple(x) for x in c["citations"]]) for c in r["points"]], r["source"]) for r in got.files.collect()}
+    assert told["src/main.ts"] == ("starts", [("p", [("src/main.ts", 2)])], "model")
+    assert told["src/b.ts"] == ("typescript file of 3 lines, 1 declared", [("function f", [("src/b.ts", 2)])], "analyzer") and told["x.bin"][2] == "analyzer"
+    assert {(r["module"], r["files"], r["source"]) for r in got.modules.collect()} == {("src", 2, "analyzer"), (".", 1, "analyzer")}
+    repo = got.repo.first()
+    assert repo["headline"] == "all" and repo["purpose"][0]["text"] == "w" and "main.ts looks like" in repo["entrypoints"][0]["text"] and repo["notes"] == []
+    assert {r["error"] for r in got.warnings.collect()} == {"busy"}
+
+    def refuse(prompt):
+        raise comprehension.FatalError("bad key")
+
+    with pytest.raises(Exception, match="bad key"):
+        comprehension.comprehend(files, contents, symbols, edges, "o/n", refuse).files.count()
+
+
+def test_reading_order_among_readable_files(spark):
+    files = frame(spark, [("a", "go", 3, 0, 0, 0, None), ("b", "go", 3, 2, 2, 0, None), ("c", "go", 0, 0, 0, 0, None), ("d", "go", 3, 0, 0, 0, "binary"), ("main.go", "go", 3, 0, 0, 4, None)], "path string, language string, loc int, dependents int, blast int, churn int, skip_reason string")
+    edges = frame(spark, [("a", "b"), ("main.go", "a"), ("a", "c"), ("main.go", "b")], "src string, dst string")
+    facts = reading.candidates(files, edges, analysis.is_entry(F.col("path")))
+    assert rows(facts, "path", "dependencies", "entry") == [("a", 2, False), ("b", 0, False), ("main.go", 2, True)]
+    assert [(r["step"], r["node"]) for r in reading.steps(reading.order(facts, edges)).orderBy("step").collect()] == [(1, "b"), (2, "a"), (3, "main.go")]
