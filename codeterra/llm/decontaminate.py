@@ -5,8 +5,9 @@ alike, so each shared run of SPAN words has a kept k-gram in common. Documents l
 benchmark's, and each hit is extended to the left and right, word by word, to the windows it is part of. Items of fewer
 than SPAN words are one window each; they are looked up by a k-gram of their own length.
 
-The benchmark's words and fingerprints are broadcast in blocks of at most BLOCK_WORDS words (a larger item is a block of
-its own); a benchmark of several blocks is a chain of passes over the same rows, without a shuffle of documents.
+The benchmark's words and fingerprints are broadcast in blocks of about BLOCK_WORDS words (a larger item is in a block
+with few others), one at a time: a benchmark of several blocks is as many passes over the same rows, each stored before
+the next block is read, so neither the driver nor a task holds more than one. Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.llm import textnum
+from codeterra.llm.lineage import cut, drop_stored, stored
 
 SPAN = 10
 KGRAM = 5
@@ -137,7 +139,7 @@ def _scan(index):
                     new = windows[mine] - np.array([words.of[d], 0])
                     both = np.array(old + [(a, a + n) for a, n in new.tolist()])
                     spans[d] = [{"start": a, "end": b} for a, b in _runs(both[:, 0], both[:, 1] - both[:, 0])]
-                    items[d] = sorted({*items[d], *block.names[np.unique(found[mine])].tolist()})
+                    items[d] = sorted({*items[d], *block.names[np.unique(found[mine])].tolist()} - {None})
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(words.counts, pa.int64()), pa.array(spans, struct), pa.array(items, pa.list_(pa.string())), *part.columns[5:]], names=[*_SCANNED, *part.schema.names[5:]])
 
     return run
@@ -154,22 +156,29 @@ def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs(doc_id, text) and benchmark(item_id, text) -> all columns of docs and n_words, n_hit, spans, item_ids, a row for each row of docs.
 
     spans are disjoint runs [start, end) of hit words, n_hit their total length, item_ids the sorted distinct ids (as
-    text) of items with an occurring window. Null texts have no words; an item without words never occurs; an item_id
-    of null is named "null"; repeated items count once. An empty benchmark gives no hits, an empty docs no rows. Columns
+    text) of items with an occurring window. Null texts have no words; an item without words never occurs; an item
+    without an id hits and is not listed; repeated items count once. An empty benchmark gives no hits, an empty docs no rows. Columns
     of docs with the names of new ones are replaced.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), "text")
-    items = items.mapInArrow(_item_words, "name string, n long, words binary").where("n > 0").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), "text")
+    items = cut(items.mapInArrow(_item_words, "name string, n long, words binary").where("n > 0").distinct())
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_hit", "spans", "item_ids")]
     carried = [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(rest)]
     out = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("item_ids"), *carried)
+    passed = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("name", "words"), F.lit(blocks)) == k).collect()  # at most about BLOCK_WORDS words
-        index = Index([r["name"] for r in rows], [np.frombuffer(r["words"], dtype=np.uint64) for r in rows])
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(index)), out.schema)
+        rows = items.where(F.pmod(F.xxhash64("name", "words"), F.lit(blocks)) == k).collect()  # about BLOCK_WORDS words
+        shared = spark.sparkContext.broadcast(Index([r["name"] for r in rows], [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]))
+        out = out.mapInArrow(_scan(shared), out.schema)
+        if k + 1 < blocks:
+            out = stored(out)
+            shared.destroy()
+            if passed is not None:
+                drop_stored(passed)
+            passed = out
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     back = {"doc_id": "__id", "text": "__text"} | {c: f"__{k}" for k, c in enumerate(rest)}
     return out.select(*[F.col(back[c]).alias(c) for c in docs.columns if c in back], "n_words", hit.alias("n_hit"), "spans", "item_ids")
