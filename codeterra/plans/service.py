@@ -75,7 +75,7 @@ def _dependents(s, d):
     return t.edges(s, d).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("dependents"))
 
 
-@query(rf"WITH {SOURCES_SQL} SELECT path, 1 AS line FROM src WHERE k % 50 = 7 AND regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__|fixtures?|examples?|docs?|scripts?|migrations?)/') OR regexp_matches(path, '(?i)(^|/)(tests?|spec|__tests__|fixtures?|examples?|docs?|scripts?|migrations?)/') ORDER BY path LIMIT 12")
+@query(rf"WITH {SOURCES_SQL} SELECT path, 1 AS line FROM src WHERE regexp_matches(path, '(?i)(^|/)(index|main)\.[\w.]+$|(^|/)tests?/|/__init__\.py$') ORDER BY path LIMIT 12")
 def entry_point_list(s, d):
     return views.entry_points(sources(s, d), paths.is_entry_point(F.col("path")))
 
@@ -389,7 +389,7 @@ def comprehension_files(s, d):
     return files.join(asked, "path").select("path", "source", F.when(F.col("source") == "model", F.col("headline")).alias("headline"))
 
 
-@query(f"""WITH {SOURCES_SQL}, m AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS module, count(*) AS files FROM src GROUP BY 1) SELECT module, files, 'on Folder: ' || module AS headline, 'model' AS source FROM m""")
+@query(f"""WITH {SOURCES_SQL}, m AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS module, count(*) AS files FROM src GROUP BY 1) SELECT module, files, CASE WHEN r <= 30 THEN 'on Folder: ' || module ELSE 'This folder holds ' || files || ' files' END AS headline, CASE WHEN r <= 30 THEN 'model' ELSE 'analyzer' END AS source FROM (SELECT *, row_number() OVER (ORDER BY files DESC, module) AS r FROM m)""")
 def comprehension_modules(s, d):
     return _comprehension(s, d).modules.select("module", "files", "headline", "source")
 

@@ -26,6 +26,8 @@ TEMPLATES = (
     ("bash", ".sh", "source ./f{n}.sh\n. /etc/env{k} ; ls # . no\nfunction go{k}() {\nrun() {\necho x"),
     ("markdown", ".md", "# Title {k}\n\n-----BEGIN PRIVATE KEY-----"),
 )
+#: Every fifth file of these languages stands for its folder.
+INNER = {"typescript": "/index", "javascript": "/index", "python": "/__init__", "rust": "/mod"}
 N = len(TEMPLATES)
 FOLDERS = 13
 
@@ -35,11 +37,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     pick = lambda field: F.element_at(F.array(*[F.lit(t[field]) for t in TEMPLATES]), (k % N + 1).cast("int"))
     folder = F.concat(F.when(k % FOLDERS == 5, "tests/m").otherwise("src/m"), (k % FOLDERS).cast("string"))
+    inner = F.when(k % 5 == 0, F.element_at(F.array(*[F.lit(INNER.get(t[0], "")) for t in TEMPLATES]), (k % N + 1).cast("int"))).otherwise("")
     text = pick(2)
     for mark, value in (("{k}", k), ("{n}", k + N), ("{g}", (k + N) % FOLDERS)):
         text = F.replace(text, F.lit(mark), value.cast("string"))
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return part.select(k.alias("k"), F.concat(folder, F.lit("/f"), k.cast("string"), pick(1)).alias("path"), pick(0).alias("language"), text.alias("text"))
+    return part.select(k.alias("k"), F.concat(folder, F.lit("/f"), k.cast("string"), inner, pick(1)).alias("path"), pick(0).alias("language"), text.alias("text"))
 
 
 def quoted(text: str) -> str:
@@ -47,7 +50,7 @@ def quoted(text: str) -> str:
 
 
 SOURCES_SQL = f"""src AS (
-  SELECT p_partkey AS k, CASE WHEN p_partkey % {FOLDERS} = 5 THEN 'tests/m' ELSE 'src/m' END || (p_partkey % {FOLDERS}) || '/f' || p_partkey || ext AS path, language,
+  SELECT p_partkey AS k, CASE WHEN p_partkey % {FOLDERS} = 5 THEN 'tests/m' ELSE 'src/m' END || (p_partkey % {FOLDERS}) || '/f' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN inner_name ELSE '' END || ext AS path, language,
     replace(replace(replace(template, '{{k}}', CAST(p_partkey AS VARCHAR)), '{{n}}', CAST(p_partkey + {N} AS VARCHAR)), '{{g}}', CAST((p_partkey + {N}) % {FOLDERS} AS VARCHAR)) AS text
-  FROM part JOIN (VALUES {", ".join(f"({i}, {quoted(t[0])}, {quoted(t[1])}, {quoted(t[2])})" for i, t in enumerate(TEMPLATES))}) t(i, language, ext, template) ON p_partkey % {N} = i),
+  FROM part JOIN (VALUES {", ".join(f"({i}, {quoted(t[0])}, {quoted(t[1])}, {quoted(t[2])}, {quoted(INNER.get(t[0], ''))})" for i, t in enumerate(TEMPLATES))}) t(i, language, ext, template, inner_name) ON p_partkey % {N} = i),
 src_lines AS (SELECT k, path, language, CAST(n AS BIGINT) AS line, a[n] AS text FROM (SELECT *, string_split(text, chr(10)) AS a FROM src), unnest(range(1, len(a) + 1)) AS u(n))"""
