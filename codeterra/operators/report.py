@@ -15,9 +15,10 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
-def section(rows: DataFrame, name: str, heading: str, line: Column, order: list[Column], most: int, before: str = "") -> DataFrame:
-    """One row with column `name`: heading, what stands before, and a line for each of the first rows; null without rows."""
-    first = rows.select(line.alias("line"), F.struct(*order).alias("by")).orderBy("by").limit(most)
+def section(rows: DataFrame, name: str, heading: str, line: Column, order: list[Column], most: int | None, before: str = "") -> DataFrame:
+    """One row with column `name`: heading, what stands before, and a line for each of the first rows, or of all; null without rows."""
+    first = rows.select(line.alias("line"), F.struct(*order).alias("by"))
+    first = first if most is None else first.orderBy("by").limit(most)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("by", "line"))), lambda x: x["line"]), "\n")
     return first.agg(F.when(F.count("*") > 0, _text(f"## {heading}\n\n{before}", text, "\n")).alias(name))
 
@@ -75,14 +76,14 @@ def digest(row: DataFrame) -> DataFrame:
 def modules(rows: DataFrame) -> DataFrame:
     """rows(module, headline, points)"""
     line = _text("### ", F.when(F.col("module") == ".", "root").otherwise(F.col("module")), "\n\n", F.col("headline"), "\n\n", claim_list(F.col("points"), "nothing grounded yet"), "\n")
-    return section(rows, "modules", "What each folder is for", line, [F.col("module")], 1 << 30)
+    return section(rows, "modules", "What each folder is for", line, [F.col("module")], None)
 
 
 def reading(rows: DataFrame) -> DataFrame:
     """rows(step, node, why, look_for)"""
     more = F.when(F.size("look_for") > 0, _text("\n\n**Look for**\n\n", claim_list(F.col("look_for"), "nothing"))).otherwise("")
     line = _text("### ", F.col("step"), ". `", F.col("node"), "`\n\n", claim_list(F.col("why"), "no reason given"), more, "\n")
-    return section(rows, "reading", "A reading path", line, [F.col("step")], 1 << 30)
+    return section(rows, "reading", "A reading path", line, [F.col("step")], None)
 
 
 def summary(repo: DataFrame, totals: DataFrame, health: DataFrame) -> DataFrame:
