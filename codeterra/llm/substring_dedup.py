@@ -5,7 +5,9 @@ WINDOW words hold an equal anchor at an equal place. Anchors of two or more docu
 around them) together in the shard that the anchor's hash names; equal passages are one there, that of the smallest
 doc_id. Each shard builds an FM-index of its passages and streams the passages through it: backward search over the
 wavelet matrix gives matching statistics against documents of smaller doc_id, and the intervals of WINDOW words or more.
-Texts of documents are looked up by broadcasting the list of wanted places only below BROADCAST_ROWS; beyond, by a shuffle.
+An anchor with more than SHARD passages (one passage in many surroundings) would be one task's: its windows are settled
+by their own hashes instead, with the smallest doc_id of each combined before the shuffle. Nothing here is broadcast: anchors,
+passages and places all grow with the documents.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ from pyspark.sql import functions as F
 
 from codeterra.llm import fm_index, textnum
 from codeterra.llm.decontaminate import _runs, winnow
-from codeterra.llm.lineage import cut, drop_stored, shuffle_width, stored
+from codeterra.llm.lineage import cut, drop_stored, stored
 
 WINDOW = 50
 ANCHOR = 25
-#: Passages in a shard, about.
+#: Passages in a shard, about, and of one anchor at most.
 SHARD = 4000
-BROADCAST_ROWS = 1_000_000
 
 
 def _anchors(words: textnum.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,20 +63,45 @@ def _place(window: int):
     return run
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, places) -> the words of each place."""
-    for batch in batches:
-        for at, end, words in textnum.word_slices(batch.column(1)):
-            part = batch.slice(at, end - at)
-            ids, anchors, passages, runs = [], [], [], []
-            for d, (doc, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                own = words.hashes[words.of[d] : words.of[d + 1]]
-                for x in places:
-                    ids.append(doc)
-                    anchors.append(x["anchor"])
-                    passages.append(x["passage"])
-                    runs.append(own[x["begin"] : x["begin"] + x["size"]].tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), pa.array(passages, pa.int64()), pa.array(runs, pa.binary())], names=["doc_id", "anchor", "passage", "words"])
+_PARTS = "doc_id long, anchor long, passage long, words binary, window long, start int"
+
+
+def _cut_out(window: int):
+    """Rows (doc_id, text, places) -> the words of each place; of a place without an anchor's name, a row for each window in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, words in textnum.word_slices(batch.column(1)):
+                part = batch.slice(at, end - at)
+                hashes = textnum.gram_hashes(words.hashes, window)
+                ids, anchors, passages, runs, own_ids, windows, starts = [], [], [], [], [], [], []
+                for d, (doc, places) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+                    own = words.hashes[words.of[d] : words.of[d + 1]]
+                    for x in places:
+                        if x["anchor"] is not None:
+                            ids.append(doc)
+                            anchors.append(x["anchor"])
+                            passages.append(x["passage"])
+                            runs.append(own[x["begin"] : x["begin"] + x["size"]].tobytes())
+                    whole = [np.arange(x["begin"], min(x["begin"] + x["size"], len(own)) - window + 1) for x in places if x["anchor"] is None]
+                    if whole:
+                        begin = np.unique(np.concatenate(whole))
+                        own_ids.append(np.full(len(begin), doc, dtype=np.int64))
+                        windows.append(hashes[begin + words.of[d]].view(np.int64))
+                        starts.append(begin.astype(np.int32))
+                n, m = len(ids), sum(map(len, starts))
+                join = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.empty(0), kind)
+                columns = [
+                    pa.concat_arrays([pa.array(ids, pa.int64()), join(own_ids, pa.int64())]),
+                    pa.concat_arrays([pa.array(anchors, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(passages, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(runs, pa.binary()), pa.nulls(m, pa.binary())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), join(windows, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int32()), join(starts, pa.int32())]),
+                ]
+                yield pa.record_batch(columns, names=["doc_id", "anchor", "passage", "words", "window", "start"])
+
+    return run
 
 
 _FOUND = "anchor long, passage long, start int, end int"
@@ -113,11 +139,11 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """docs with the row of places of the same doc_id; documents are shuffled only if places are too many to broadcast."""
-    return docs.join(F.broadcast(places) if places.count() <= BROADCAST_ROWS else places, "doc_id", how)
+    """docs with the row of places(doc_id, a list) of the same doc_id: always a merge of two shuffles, as places grow with the documents."""
+    return docs.join(places.hint("merge"), "doc_id", how)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, spans array<struct<start, end>>): word runs covered by windows that also start in a
     document with a smaller doc_id. Documents without such words are not returned; spans may overlap.
 
@@ -125,29 +151,38 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id count as one document. An empty table gives no rows. Other columns of docs are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = docs.mapInArrow(_place(window), "anchor long, passage long, doc_id long, begin int, size short")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    every = stored(docs.mapInArrow(_place(window), "anchor long, passage long, doc_id long, begin int, size short"))
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     # an anchor may be in a third of all documents: what meets rows is stored first, so both sides are plain shuffles that can be split
-    rows = stored(rows.join(cut(shared), "anchor"))
+    rows = stored(every.join(cut(shared).hint("merge"), "anchor"))
+    drop_stored(every)
     passages = rows.groupBy("anchor", "passage").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("begin", "size"), "doc_id").alias("at"))
     passages = stored(passages)
-    several = passages.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = passages.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "passage", "at.begin", "at.size")).alias("places"))
-    wanted = cut(wanted)
-    texts = _beside(docs, wanted, "inner").dropDuplicates(["doc_id"]).select("doc_id", "text", "places")
-    texts = stored(texts.mapInArrow(_cut_out, "doc_id long, anchor long, passage long, words binary"))
-    shards = max(1, texts.count() // SHARD)
+    many = cut(passages.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = many.where(F.col("n") > shard).select("anchor")
+    # one pass over the texts: passages that are searched, and places of hot anchors, without a name
+    searched = passages.join(many.where(F.col("n") <= shard).hint("merge"), "anchor").select("doc_id", F.struct("anchor", "passage", "at.begin", "at.size").alias("place"))
+    nameless = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("long").alias("passage"), "begin", "size")
+    places = searched.union(rows.join(hot, "anchor").where(F.col("size") >= window).select("doc_id", nameless.alias("place")))
+    places = cut(places.groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    parts = _beside(docs, places, "inner").dropDuplicates(["doc_id"]).select("doc_id", "text", "places")
+    parts = stored(parts.mapInArrow(_cut_out(window), _PARTS))
+    texts = parts.where("anchor is not null").select("doc_id", "anchor", "passage", "words")
+    shards = max(1, texts.count() // shard)
     found = texts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_search(window), _FOUND)
     # the passage of the smallest doc_id has what its shard found, all its later copies are covered whole
-    first = passages.select("anchor", "passage", F.col("doc_id").alias("first"))
+    first = passages.join(hot, "anchor", "left_anti").select("anchor", "passage", F.col("doc_id").alias("first"))
     own = found.groupBy("anchor", "passage").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    known = stored(first.join(own, ["anchor", "passage"], "left"))
-    rows = rows.join(known, ["anchor", "passage"])
+    known = stored(first.join(own.hint("merge"), ["anchor", "passage"], "left"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").cast("int").alias("end")))
     runs = F.when(F.col("doc_id") > F.col("first"), F.when(F.col("size") >= window, whole)).otherwise(F.col("runs"))
     runs = F.transform(runs, lambda r: F.struct((F.col("begin") + r["start"]).alias("start"), (F.col("begin") + r["end"]).alias("end")))
-    spans = cut(rows.select("doc_id", runs.alias("runs")).where("runs is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans")))
-    for x in (rows, passages, texts, known):
+    covered = rows.join(known.hint("merge"), ["anchor", "passage"]).select("doc_id", runs.alias("runs")).where("runs is not null")
+    windows = parts.where("window is not null").select("window", "doc_id", "start")
+    low = cut(windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low"))
+    gone = windows.join(low.hint("merge"), "window").where("doc_id > low").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + window).alias("end"))).alias("runs"))
+    spans = cut(covered.union(gone).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans")))
+    for x in (rows, passages, parts, known):
         drop_stored(x)
     return spans
 
