@@ -2,19 +2,24 @@
 
 A text's set holds the hashes of its distinct shingles. Two sets with Jaccard >= t whose smaller one has n elements
 differ in at most D(n) = n * (1 - t) / t elements. Each size band cuts the hash domain into first-level partitions of
-two second-level ones, of which one may differ, so the subsets of one second-level partition are enumerated; a set's
-projection on each is a signature. Partitions are taken in one fixed order until D(n) + 1 + SLACK(n) of them were not
-empty. Before the (1 + SLACK)-th partition on which two similar sets agree with some element, every partition that is
-not empty either holds a difference or is one of the earlier agreements, so both sets reach it: similar sets share at
-least 1 + SLACK signatures. A set that runs out of partitions adds one band-wide signature. Sets near the top of a
-band also sign for the next one, so a pair meets in the band of its larger set.
+CELLS = 3 second-level ones, of which one may differ: the subsets of two second-level partitions are enumerated, and a set's
+projection on each is a signature. A first-level partition without a difference gives both sets three equal signatures,
+one with a single difference gives one. Where a set has elements in one second-level partition only, the projection on the
+whole first-level partition is the signature, equal if nothing differs; where it has none, there is no signature. So of x
+partitions of the first kind and y of the second, whose projections both sets have, at least 2 * x + y - D(n) signatures
+are shared. Partitions are taken in one fixed order until 2 * x + y reaches D(n) + 1 + SLACK(n); the set that reaches
+this first has taken no partition that the other has not, hence similar sets share at least 1 + SLACK signatures. A set that
+runs out of partitions adds that many band-wide signatures. Sets near the top of a band also sign for the next one, so a
+pair meets in the band of its larger set.
 
 Signatures travel as sorted binary runs by signature bucket, not as single rows, and equal sets are one node from the
-start. Groups of one signature give all pairs where small; a large group gives only links to a few leaders and along
-a ring, which keeps pairs in proportion to signatures. Every candidate pair is verified on the whole sets. Large
-groups that are still in several components after that are taken up again: pairs of small groups that such signatures
-may make up for are verified, too, and nodes with more of them than their SLACK meet at rare elements, or are compared
-in blocks (see _settle), so no link between components is lost.
+start; there are as many buckets as keep one within BUCKET signatures. A signature of more than HOT sets in one run leaves the
+bucket's way: these members are matched where they land by chance, and only their leaders go to the bucket. Groups of
+one signature give all pairs where small; a large group gives only links to a few leaders and along a ring, which keeps pairs
+in proportion to signatures. Every candidate pair is verified on the whole sets. Large groups that are still in several
+components after that are taken up again: pairs of small groups that such signatures may make up for are verified, too,
+and nodes with more of them than their SLACK meet at rare elements, or are compared in blocks (see _settle), so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -29,26 +34,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.llm import textnum
-from codeterra.llm.components import components
 from codeterra.llm.lineage import cut, drop_stored, shuffle_width, stored
+from codeterra.operators.components import components
 
 SHINGLE = 5
 THRESHOLD = (75, 100)
 BAND_RATIO = 2
-#: Up to this set size each element is a partition of its own.
-SINGLE = 256
+#: Second-level partitions of a first-level one.
+CELLS = 3
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 #: Signature groups up to this size give all pairs.
 SMALL_GROUP = 6
 LEADERS = 2
-#: Members of a large signature group in one row.
+#: Members of a large signature group in one row, and members in one run that make a signature hot.
 CHUNK = 4096
+HOT = 2048
+#: Signatures in a bucket, about.
+BUCKET = 1_000_000
 #: Sets compared with one another at a time when large groups are taken up again, and the open sets that a rare element may be in.
 BLOCK = 256
 FEW = 8
 #: Signatures held in a task before they are sorted and handed on.
-RUN = 3_000_000
-#: Node ids that a task may hold to pick the candidates' texts; beyond, a shuffle join does.
-BROADCAST_NODES = 2_000_000
+RUN = 1_000_000
+#: Bytes of node ids that a task may hold to pick the candidates' texts; beyond, a shuffle join does.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingle_sets(words: textnum.Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -67,120 +76,188 @@ def shingle_sets(words: textnum.Words, size: int = SHINGLE) -> Iterator[np.ndarr
             yield np.empty(0, dtype=np.uint64)
 
 
-def node_of(s: np.ndarray) -> int:
-    """A set's 63-bit name: equal sets have equal names."""
-    return int(textnum.mix64(np.array([s.sum(dtype=np.uint64) ^ textnum.mix64(s).sum(dtype=np.uint64)], dtype=np.uint64))[0] >> np.uint64(1))
-
+def nodes_of(sets: list[np.ndarray]) -> list[int | None]:
+    """63-bit names of sets: equal sets have equal names; an empty set has none."""
+    out: list[int | None] = [None] * len(sets)
+    filled = [k for k, s in enumerate(sets) if len(s)]
+    if filled:
+        h = np.concatenate([sets[k] for k in filled])
+        at = np.cumsum([0] + [len(sets[k]) for k in filled[:-1]])
+        names = textnum.mix64(np.add.reduceat(h, at) ^ np.add.reduceat(textnum.mix64(h), at)) >> np.uint64(1)
+        for k, name in zip(filled, names.tolist()):
+            out[k] = name
+    return out
 
-def bands(n: int, threshold: tuple[int, int] = THRESHOLD) -> list[int]:
-    """The band of a set of n elements, and the next one up if a similar larger set can be there.
 
-    Band i holds sizes from BAND_RATIO ** i to below BAND_RATIO ** (i + 1); a pair meets in the larger set's band.
-    """
-    own = int(math.log(n, BAND_RATIO) + 1e-12)
-    while BAND_RATIO ** (own + 1) <= n:
-        own += 1
-    while BAND_RATIO**own > n:
-        own -= 1
-    up = BAND_RATIO ** (own + 1)
-    return [own, own + 1] if n * threshold[1] >= up * threshold[0] else [own]
+def slack_of(n: np.ndarray) -> np.ndarray:
+    return n // 12 + 1
 
 
 def slack(n: int) -> int:
     return n // 12 + 1
 
 
-def signatures(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> np.ndarray:
-    """PartEnum signatures of a sorted set of hashes; a set too small to be similar to any other has none."""
-    n = len(s)
-    if n * (threshold[1] - threshold[0]) // threshold[0] < 1:
-        return s[:0]
-    quota = n * (threshold[1] - threshold[0]) // threshold[0] + 1 + slack(n)
-    out = []
-    for band in bands(n, threshold):
-        top = BAND_RATIO ** (band + 1)
-        cells = np.uint64((1 << 32) if top <= SINGLE else 2 * (top // 3))
-        seed = np.uint64((band + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        # the domain is dealt by the high bits, so a sorted set is already in order of its partitions
-        part = ((s >> np.uint64(32)) * cells) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(textnum.mix64(s ^ seed), first)
-        sig = textnum.mix64(sums ^ (part[first] * np.uint64(0x9E3779B97F4A7C15)) ^ seed)
-        if len(sig) >= quota:
-            sig = sig[:quota]
-        else:
-            sig = np.concatenate((sig, textnum.mix64(np.array([seed], dtype=np.uint64))))
-        out.append(sig)
-    return np.concatenate(out)
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Places where a row differs from the one before it, the first one included."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
 
+def signatures_of(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of sorted sets of hashes, with the place of each one's set; a set too small to be similar to any other has none.
 
-def _pack(sigs: np.ndarray, at: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> bytes:
+    Band i holds sizes from BAND_RATIO ** i to below BAND_RATIO ** (i + 1). A set signs in its own band, and in the next
+    one if a similar larger set can be there. All sets are worked on at once.
+    """
+    num, den = threshold
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    some = np.flatnonzero(n * (den - num) // num >= 1)
+    if not len(some):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    band = np.frexp(n[some].astype(np.float64))[1] - 1
+    twice = n[some] * den >= (1 << (band + 1)) * num
+    owner, band = np.concatenate((some, some[twice])), np.concatenate((band, band[twice] + 1)).astype(np.uint64)
+    size, begin = n[owner], (np.cumsum(n) - n)[owner]
+    quota = size * (den - num) // num + 1 + slack_of(size)
+    seed = (band + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    # first-level partitions of a band: two to four elements in each for its sets, and enough of them for small sets
+    cells = np.uint64(CELLS) * ((np.uint64(1) << band) // np.uint64(BAND_RATIO) + np.uint64(24))
+    of = np.repeat(np.arange(len(owner)), size)
+    h = np.concatenate(sets)[np.arange(len(of)) + np.repeat(begin - (np.cumsum(size) - size), size)]
+    # the domain is dealt by the high bits, so a sorted set is already in order of its second-level partitions
+    cell = ((h >> np.uint64(32)) * cells[of]) >> np.uint64(32)
+    first = _changes(of, cell)
+    sums = textnum.mix64(np.add.reduceat(textnum.mix64(h ^ seed[of]), first))
+    of, (part, inner) = of[first], np.divmod(cell[first], np.uint64(CELLS))
+    head = _changes(of, part)
+    filled = np.diff(np.append(head, len(part)))
+    entry = of[head]
+    worth = np.where(filled > 1, 2, 1)
+    reached = np.cumsum(worth)
+    before = reached - worth
+    before -= before[_changes(entry)][entry]  # every entry has a partition
+    used = before < quota[entry]
+    grid = np.zeros((len(head), CELLS), dtype=np.uint64)
+    grid[np.repeat(np.arange(len(head)), filled), inner.astype(np.int64)] = sums
+    total = np.bincount(entry, weights=worth, minlength=len(owner)).astype(np.int64)
+    grid, filled, entry, name = grid[used], filled[used], entry[used], textnum.mix64(part[head][used] ^ seed[entry[used]])
+    whole, pairs = filled == 1, filled > 1
+    out, owners = [textnum.mix64(grid[whole].sum(axis=1, dtype=np.uint64) ^ name[whole])], [owner[entry[whole]]]
+    for left in range(CELLS):
+        a, b = grid[pairs, left], grid[pairs, (left + 1) % CELLS]
+        out.append(textnum.mix64(a + b * _ODD + name[pairs] * np.uint64(2 * left + 3)))
+        owners.append(owner[entry[pairs]])
+    for k in np.flatnonzero(total < quota).tolist():
+        out.append(textnum.mix64(seed[k] + np.arange(1, 1 + slack(int(size[k])) + 1, dtype=np.uint64)))
+        owners.append(np.full(len(out[-1]), owner[k]))
+    return np.concatenate(out), np.concatenate(owners)
+
+
+def _pack(sigs: np.ndarray, at: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, hot: np.ndarray | None = None) -> bytes:
+    """A run; without marks of hot signatures' leaders, it is one hot signature's members."""
     used, again = np.unique(at, return_inverse=True)
-    head = np.array([len(sigs), len(used)], dtype=np.int64)
-    return b"".join(x.tobytes() for x in (head, sigs, nodes[used], sizes[used], again.astype(np.uint32)))
+    again = again.astype(np.uint32)
+    if hot is not None:
+        again |= hot.astype(np.uint32) << np.uint32(31)
+    head = np.array([len(sigs) if hot is not None else -len(sigs), len(used)], dtype=np.int64)
+    return b"".join(x.tobytes() for x in (head, sigs, nodes[used], sizes[used], again))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures with the node and set size of each."""
+def _unpack(blob: bytes) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether it is a hot signature's run; signatures with the node and set size of each, and marks of leaders."""
     n, m = np.frombuffer(blob, dtype=np.int64, count=2).tolist()
+    alone, n = n < 0, abs(n)
     sigs = np.frombuffer(blob, dtype=np.uint64, count=n, offset=16)
     nodes = np.frombuffer(blob, dtype=np.int64, count=m, offset=16 + 8 * n)
     sizes = np.frombuffer(blob, dtype=np.uint32, count=m, offset=16 + 8 * n + 8 * m)
     at = np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 + 8 * n + 12 * m)
-    return sigs, nodes[at], sizes[at]
+    own = at & np.uint32(0x7FFFFFFF)
+    return alone, sigs, nodes[own], sizes[own], (at >> np.uint32(31)).astype(bool) | alone
+
 
+def _sign(buckets: int, hot_from: int):
+    # the least signature of each bucket
+    limits = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], dtype=np.uint64)
 
-def _sign(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, nodes, sizes, held, known = [], [], [], [], 0, set()
+        sigs, owners, nodes, sizes, known = [], [], [], [], set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
+            if not sigs:
                 return
             s, o, names, many = np.concatenate(sigs), np.concatenate(owners), np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.uint32)
+            sigs.clear()
+            owners.clear()
             order = np.argsort(s, kind="stable")
             s, o = s[order], o[order]
-            which = ((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(which, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, _pack(s[x:y], o[x:y], names, many)) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
-            for k in range(0, len(rows), 256):
-                part = rows[k : k + 256]
-                yield pa.record_batch([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], names=["bucket", "run"])
-
+            del order
+            rows, hot = [], np.zeros(len(s), dtype=bool)
+            # a hot signature's members go out by themselves, to any bucket; its leaders stand for them in its own
+            often = np.unique(s[hot_from:][s[hot_from:] == s[:-hot_from]]) if len(s) > hot_from else s[:0]
+            if len(often):
+                keep = np.ones(len(s), dtype=bool)
+                for a, b in zip(np.searchsorted(s, often, side="left").tolist(), np.searchsorted(s, often, side="right").tolist()):
+                    lead = a + np.argsort(names[o[a:b]])[:LEADERS]
+                    keep[a:b] = False
+                    keep[lead] = hot[lead] = True
+                    for x in range(a, b, CHUNK):
+                        y = min(x + CHUNK, b)
+                        rows.append((int((names[o[x]] ^ int(s[x] >> np.uint64(1))) % buckets), _pack(s[x:y], o[x:y], names, many)))
+                s, o, hot = s[keep], o[keep], hot[keep]
+            cuts = np.append(np.searchsorted(s, limits), len(s)).tolist()
+            for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if y > x:
+                    rows.append((b, _pack(s[x:y], o[x:y], names, many, hot[x:y])))
+                if len(rows) >= 64 or b + 1 == buckets:
+                    yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "run"])
+                    rows = []
+
+        held = 0
         for batch in batches:
             for _, _, words in textnum.word_slices(batch.column(0), textnum.BLANK_WORDS, lower=True):
-                for s in shingle_sets(words):
-                    if not len(s) or (node := node_of(s)) in known:
-                        continue
-                    known.add(node)
-                    sig = signatures(s)
-                    sigs.append(sig)
-                    owners.append(np.full(len(sig), len(nodes), dtype=np.uint32))
-                    nodes.append(node)
-                    sizes.append(len(s))
-                    held += len(sig)
+                sets = list(shingle_sets(words))
+                fresh = []
+                for s, node in zip(sets, nodes_of(sets)):
+                    if node is not None and node not in known:
+                        known.add(node)
+                        fresh.append(s)
+                        nodes.append(node)
+                        sizes.append(len(s))
+                sig, of = signatures_of(fresh)
+                sigs.append(sig)
+                owners.append((of + len(nodes) - len(fresh)).astype(np.uint32))
+                held += len(sig)
                 if held >= RUN:
                     yield from flush()
-                    sigs, owners, nodes, sizes, held, known = [], [], [], [], 0, set()
+                    nodes.clear()
+                    sizes.clear()
+                    known.clear()
+                    held = 0
+                    textnum.give_back()
         yield from flush()
+        textnum.give_back()
 
     return run
 
 
-def candidate_pairs(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
+def candidate_pairs(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, hot: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> tuple[list[np.ndarray], list[tuple[int, np.ndarray]]]:
     """From one bucket's signatures: columns low, high, signatures shared here and signatures that similar sets of these sizes share; the large groups.
 
-    Small groups give all pairs, large ones their leaders' and a ring's. Pairs that sizes rule out are left out.
+    Small groups give all pairs, large ones (and all with a mark of a hot signature) their leaders' and a ring's. Pairs that
+    sizes rule out are left out.
     """
-    order = np.lexsort((nodes, sigs))
-    sigs, nodes, sizes = sigs[order], nodes[order], sizes[order].astype(np.int64)
+    order = np.lexsort((~hot, nodes, sigs))
+    sigs, nodes, sizes, hot = sigs[order], nodes[order], sizes[order].astype(np.int64), hot[order]
     keep = np.ones(len(sigs), dtype=bool)
     keep[1:] = (sigs[1:] != sigs[:-1]) | (nodes[1:] != nodes[:-1])
-    sigs, nodes, sizes = sigs[keep], nodes[keep], sizes[keep]
+    sigs, nodes, sizes, hot = sigs[keep], nodes[keep], sizes[keep], hot[keep]
     first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
     many = np.diff(np.append(first, len(sigs)))
+    # a group with a mark counts as large
+    weigh = np.where(np.logical_or.reduceat(hot, first), np.maximum(many, SMALL_GROUP + 1), many) if len(first) else many
     own = np.repeat(np.arange(len(first)), many)
-    rank, size = np.arange(len(sigs)) - first[own], many[own]
+    rank, size = np.arange(len(sigs)) - first[own], weigh[own]
     lows, highs = [], []
     for back in range(1, SMALL_GROUP):
         at = np.flatnonzero((rank >= back) & ((size <= SMALL_GROUP) | (back == 1)))
@@ -198,7 +275,7 @@ def candidate_pairs(sigs: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, thre
     low, high, few = low[order], high[order], few[order]
     new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else order
     shared = np.diff(np.append(new, len(low)))
-    large = [(int(sigs[f] >> np.uint64(1)), nodes[f : f + n]) for f, n in zip(first[many > SMALL_GROUP].tolist(), many[many > SMALL_GROUP].tolist())]
+    large = [(int(sigs[f] >> np.uint64(1)), nodes[f : f + n]) for f, n in zip(first[weigh > SMALL_GROUP].tolist(), many[weigh > SMALL_GROUP].tolist())]
     return [low[new], high[new], shared, few[new] // 12 + 2], large
 
 
@@ -210,11 +287,10 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
     names = ["low", "high", "shared", "need", "sig", "members"]
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if not runs:
+    def done(got: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        if not got:
             return
-        got = [_unpack(r) for r in runs]
-        pairs, large = candidate_pairs(*(np.concatenate([g[k] for g in got]) for k in range(3)))
+        pairs, large = candidate_pairs(*(np.concatenate([g[k] for g in got]) for k in range(4)))
         for k in range(0, len(pairs[0]), 1 << 16):
             part = [pa.array(x[k : k + (1 << 16)], pa.int64()) for x in pairs]
             yield pa.record_batch([*part, pa.nulls(len(part[0]), kinds[4]), pa.nulls(len(part[0]), kinds[5])], names=names)
@@ -226,20 +302,27 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b, run in zip(batch.column(0).to_pylist(), batch.column(1)):
             if b != bucket:
-                yield from done()
+                yield from done(runs)
                 bucket, runs = b, []
-            runs.append(run.as_py())
-    yield from done()
+            alone, *got = _unpack(run.as_py())
+            if alone:
+                yield from done([got])
+            else:
+                runs.append(got)
+    yield from done(runs)
+    runs.clear()
+    textnum.give_back()
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, nodes = [], []
         for _, _, words in textnum.word_slices(batch.column(1), textnum.BLANK_WORDS, lower=True):
-            for s in shingle_sets(words):
-                sizes.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
+            sets = list(shingle_sets(words))
+            sizes += [len(s) for s in sets]
+            nodes += nodes_of(sets)
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+    textnum.give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +330,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, end, words in textnum.word_slices(batch.column(1), textnum.BLANK_WORDS, lower=True):
             sets = list(shingle_sets(words))
             nodes = batch.column(0).slice(at, end - at)
-            mine = pa.array([len(s) > 0 and node_of(s) == n for n, s in zip(nodes.to_pylist(), sets)], pa.bool_())
+            mine = pa.array([n == own for n, own in zip(nodes.to_pylist(), nodes_of(sets))], pa.bool_())
             yield pa.record_batch([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]).filter(mine)
+    textnum.give_back()
 
 
 def _verify(threshold: tuple[int, int]):
@@ -271,6 +355,7 @@ def _verify(threshold: tuple[int, int]):
                 ok.append(same * (threshold[0] + threshold[1]) >= threshold[0] * total)
             mask = pa.array(ok, pa.bool_())
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(mask)
+        textnum.give_back()
 
     return run
 
@@ -319,6 +404,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many = [len(x) for x in sets]
             node, low = (np.repeat(part.column(k).to_numpy(), many) for k in (0, 1))
             yield pa.record_batch([pa.array(node), pa.array(low), pa.array(np.repeat(many, many).astype(np.int64)), pa.array(np.concatenate(sets))], names=["node", "low", "n", "h"])
+    textnum.give_back()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -369,6 +455,7 @@ def _settle(large: DataFrame, pairs: DataFrame, facts: DataFrame, groups: DataFr
     first = F.floor(F.col("n") * (den - num) / den).cast("int") + 1
     rare = elements.join(common, "h", "left_anti").groupBy("node", "low", "n").agg(F.sort_array(F.collect_list("h")).alias("rare"))
     rare = stored(rare.select("node", "low", "n", F.size("rare").alias("held"), F.slice("rare", F.lit(1), first).alias("first")))
+    made = [sets, elements, rare]
     meet = rare.select(F.struct("node", "low", "n").alias("x"), F.explode("first").alias("h")).groupBy("h").agg(F.collect_list("x").alias("xs")).where(F.size("xs") > 1)
     meet = meet.select("xs", F.explode("xs").alias("a")).select("a", F.explode("xs").alias("b")).where("a.node < b.node and a.low <> b.low")  # at most FEW of one element
     fits = F.least("a.n", "b.n") * den >= F.greatest("a.n", "b.n") * num
@@ -383,20 +470,29 @@ def _settle(large: DataFrame, pairs: DataFrame, facts: DataFrame, groups: DataFr
         tied = named.select("node", "low").distinct().join(family, "node").join(sets.select("node", "shingles"), "node")
         # similar sets are of one size class or of two neighbours; the smaller one is compared in both
         size = F.floor(F.log(F.octet_length("shingles") / 8.0) / math.log(den / num) + 1e-9).cast("int")
-        tied = cut(tied.withColumn("size", F.explode(F.array(size, size + 1))))
+        tied = stored(tied.withColumn("size", F.explode(F.array(size, size + 1))))
+        made.append(tied)
+        # a family's largest component needs no comparison with itself: its blocks only meet those of the rest
+        parts = tied.groupBy("family", "size", "low").agg(F.count("*").alias("n"))
+        parts = parts.groupBy("family", "size").agg(F.max(F.struct("n", "low")).alias("main"), F.sum("n").alias("all"))
+        parts = parts.where("all > main.n").select("family", "size", F.col("main.low").alias("main"), F.ceil(F.col("main.n") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("rests"))
+        tied = tied.join(parts, ["family", "size"]).withColumn("is_main", F.col("low") == F.col("main"))
         # blocks of about BLOCK by hash, so that no family is numbered in one task
-        count = tied.groupBy("family", "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        tied = tied.join(count, ["family", "size"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        tied = tied.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        tied = tied.select("family", "size", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "node", "low", "shingles")
-        found = found.union(tied.groupBy("family", "size", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"))
+        k = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests")))
+        to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+        among = F.transform(to(F.col("rests")), lambda x: cell("rest", F.least("k", x), F.greatest("k", x)))
+        across = F.transform(to(F.col("mains")), lambda x: cell("main", F.col("k"), x))
+        tied = tied.withColumn("k", k).withColumn("cell", F.explode(F.when(F.col("is_main"), F.transform(to(F.col("rests")), lambda x: cell("main", x, F.col("k")))).otherwise(F.concat(among, across))))
+        tied = tied.select("family", "size", "cell.*", "node", "low", "shingles")
+        found = found.union(tied.groupBy("family", "size", "kind", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"))
     found = cut(found if met is None else found.union(met))
-    for x in (sets, elements, rare):
+    for x in made:
         drop_stored(x)
     return found
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable by links of Jaccard >= threshold, itself included. Null and blank
@@ -409,9 +505,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     width = shuffle_width(spark)
     facts = cut(docs.mapInArrow(_facts, "doc_id long, n_shingles long, node long"))
     classes = facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    buckets = 2 * width
-    runs = docs.select("text").mapInArrow(_sign(buckets), "bucket int, run binary")
-    matched = stored(runs.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _MATCHED))
+    # a set has about as many signatures as elements, at most
+    buckets = max(4 * width, -(-(facts.agg(F.sum("n_shingles")).first()[0] or 0) // bucket))
+    runs = docs.select("text").mapInArrow(_sign(buckets, hot), "bucket int, run binary")
+    matched = stored(runs.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _MATCHED))
     # similar sets share `need` signatures; a true pair counted too low in large groups is found when these are settled
     counted = matched.where("low is not null").select("low", "high", "shared", "need")
     pairs = counted.groupBy("low", "high").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
@@ -419,14 +516,14 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = cut(nodes.distinct().join(classes, "node"))
-        chosen = wanted if wanted.count() > BROADCAST_NODES else F.broadcast(wanted)
+        chosen = wanted if 16 * wanted.count() > BROADCAST_BYTES else F.broadcast(wanted)
         texts = docs.join(chosen, docs.doc_id == chosen.rep).select("node", "text")
         return texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
 
     texts = stored(sets_of(pairs.select(F.explode(F.array("low", "high")).alias("node"))))
     links = cut(_links(pairs, texts, threshold))
     groups = components(links)
-    large = matched.where("sig is not null").select("sig", F.explode("members").alias("node"))
+    large = matched.where("sig is not null").select("sig", F.explode("members").alias("node")).distinct()
     more = _settle(large, counted, facts.where("node is not null"), groups, sets_of, threshold)
     if more is not None:
         groups = components(links.union(more))

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 from codeterra.llm import jaccard_join
+from codeterra.operators.components import components
 from tests.conftest import frame
 
 
@@ -30,8 +33,8 @@ def brute(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def check(spark, rows):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
+def check(spark, rows, **options):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(frame(spark, rows, "doc_id long, text string"), **options).collect()}
     assert got == brute(rows)
 
 
@@ -76,5 +79,60 @@ def test_a_hot_shingle_beside_a_small_group(spark):
     check(spark, rows)
 
 
+def test_similar_sets_share_signatures():
+    """At least 1 + SLACK, whatever the sizes and wherever the differences are."""
+    rng = np.random.default_rng(7)
+    for trial in range(3000):
+        n = int(rng.integers(3, [8, 30, 200, 1500][trial % 4]))
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        cut, new = int(rng.integers(0, 1 + len(base) // 6)), int(rng.integers(0, 1 + len(base) // 5))
+        other = np.unique(np.concatenate((rng.permutation(base)[cut:], rng.integers(0, 1 << 64, new, dtype=np.uint64))))
+        same = len(np.intersect1d(base, other))
+        if len(other) < 3 or np.array_equal(base, other) or 100 * same < 75 * (len(base) + len(other) - same):
+            continue
+        shared = np.intersect1d(*(jaccard_join.signatures_of([x])[0] for x in (base, other)))
+        assert len(shared) >= 1 + jaccard_join.slack(min(len(base), len(other)))
+
+
+def test_signatures_shared_by_many(spark):
+    """One signature of thousands of sets takes the hot way and hides no link; buckets are many and small."""
+    rng = random.Random(9)
+    opening = "one common opening of all"
+    rows = [(k, f"{opening} {' '.join(rng.choices('abcdefghij', k=rng.randint(3, 9)))}") for k in range(150)]
+    check(spark, rows, hot=3, bucket=50)
+    many = [(k, f"{opening} x{k} y{k} z{k}") for k in range(20_000)] + [(20_000, f"{opening} x7 y7 z7 end")]
+    found = jaccard_join.near_duplicates(frame(spark, many, "doc_id long, text string"))
+    assert found.where("component_id <> doc_id").count() == 1 and found.where("doc_id = 20000").first()["component_id"] == 7
+
+
+def test_odd_rows(spark):
+    """Repeated rows, ids without a value, a very long text, and columns named as inner ones."""
+    text = "the quick brown fox jumps over it all"
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, text), (1, text), (2, text + " now"), (None, text), (None, "nobody else has this text here"), (3, long), (4, long + " end"), (5, "w" * 300_000)]
+    docs = frame(spark, [(*r, "x", 1, 2) for r in rows], "doc_id long, text string, node string, low long, component_id long")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == [(-1, -1), (-1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
+
+
+def test_components_in_parts(spark):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(400)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(900)] + [(5000, k) for k in range(5001, 5300)] + [(None, 4), (7, 7)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    for most in (100_000, 60):
+        got = components(frame(spark, links, "u long, v long"), most).collect()
+        assert len(got) == len(root) and dict(map(tuple, got)) == {x: find(x) for x in root}
+
+
 def test_empty_table(spark):
     assert jaccard_join.near_duplicates(frame(spark, [], "doc_id long, text string")).count() == 0
