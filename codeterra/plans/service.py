@@ -249,12 +249,12 @@ def export_json(s, d):
     return report.export(files, edges, found)
 
 
-@query("""SELECT o_custkey AS job, CAST(arg_max(o_orderstatus, o_orderkey) AS VARCHAR) AS status, max(o_orderkey) FILTER (o_orderkey % 3 = 0) AS files_done, arg_max(o_clerk, o_orderkey) FILTER (o_orderkey % 5 = 0) AS message FROM (SELECT o_custkey, o_orderstatus, o_orderkey, o_orderpriority AS o_clerk FROM orders) GROUP BY 1""")
+@query("""SELECT o_custkey AS job, CAST(arg_max(o_orderstatus, o_orderkey) AS VARCHAR) AS status, coalesce(max(o_orderkey) FILTER (o_orderkey % 3 = 0), -1) AS files_done, arg_max(o_clerk, o_orderkey) FILTER (o_orderkey % 5 = 0) AS message FROM (SELECT o_custkey, o_orderstatus, o_orderkey, o_orderpriority AS o_clerk FROM orders) GROUP BY 1""")
 def job_state(s, d):
     """Orders as partial updates of their customer's job."""
     k = F.col("o_orderkey")
     log = t.table(s, d, "orders").select(F.col("o_custkey").alias("job"), k.alias("version"), F.col("o_orderstatus").alias("status"), F.when(k % 3 == 0, k).alias("files_done"), F.when(k % 5 == 0, F.col("o_orderpriority")).alias("message"))
-    return store.merged_log(log, ("job",)).select("job", "status", "files_done", "message")
+    return store.merged_log(log, ("job",)).select("job", "status", F.coalesce("files_done", F.lit(-1)).alias("files_done"), "message")
 
 
 @query("SELECT o_custkey AS name, max(o_orderkey) AS analysis_id FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7 AND o_orderkey % 2 = 1 GROUP BY 1")
@@ -265,7 +265,7 @@ def permalink(s, d):
 
 
 @query(f"""WITH {SOURCES_SQL}, {EDGES}, e AS (SELECT src AS path, count(*) AS n, min(dst) AS first FROM edges GROUP BY 1), i AS (SELECT l_partkey AS path, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT k, e.n AS edges, e.first AS first_edge, i.n AS findings, CAST(NULL AS BIGINT) AS externals FROM src LEFT JOIN e ON e.path = k LEFT JOIN i ON i.path = k""")
+SELECT k, coalesce(e.n, 0) AS edges, coalesce(e.first, -1) AS first_edge, coalesce(i.n, 0) AS findings, CAST(0 AS BIGINT) AS externals FROM src LEFT JOIN e ON e.path = k LEFT JOIN i ON i.path = k""")
 def snapshots(s, d):
     """Nested snapshots of parts, with their edges and, as findings, their items."""
     files = sources(s, d).select(F.col("k").alias("path"), F.lit("h").alias("hash"), F.lit("pattern").alias("engine"))
@@ -273,8 +273,8 @@ def snapshots(s, d):
     items = t.table(s, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("rule"), F.col("l_linestatus").alias("severity"))
     none = files.select("path").limit(0)
     snap = store.snapshot(files, none.withColumns({"line": F.lit(1), "name": F.lit(""), "kind": F.lit("")}), edges, items, none.withColumns({"specifier": F.lit(""), "count": F.lit(1)}))
-    many = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
-    return snap.select(F.col("path").alias("k"), many("edges").alias("edges"), F.col("edges")[0]["dst"].alias("first_edge"), many("findings").alias("findings"), many("externals").alias("externals"))
+    many = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long")
+    return snap.select(F.col("path").alias("k"), many("edges").alias("edges"), F.coalesce(F.get("edges", 0)["dst"], F.lit(-1)).alias("first_edge"), many("findings").alias("findings"), many("externals").alias("externals"))
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda k: substr('  ' || w || ' ', k, 3)))))"
