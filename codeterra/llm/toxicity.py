@@ -58,12 +58,13 @@ def features(words: textnum.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, end, words in textnum.word_slices(batch.column(1), textnum.PLAIN_WORDS, lower=True):
+        for at, end, words in textnum.word_slices(batch.column(2), textnum.PLAIN_WORDS, lower=True):
             of, index, rate = features(words)
             cuts = np.searchsorted(of, np.arange(words.n_docs + 1))
             index, rate = index.astype(np.int32), rate.astype(np.float32)
             spans = [slice(a, b) if b - a <= LEARNED else a + np.sort(np.argsort(-rate[a:b], kind="stable")[:LEARNED]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            yield pa.record_batch([batch.column(0).slice(at, end - at), pa.array([index[x].tobytes() for x in spans], pa.binary()), pa.array([rate[x].tobytes() for x in spans], pa.binary())], names=["kind", "features", "rates"])
+            own = batch.slice(at, end - at)
+            yield pa.record_batch([own.column(0), own.column(1), pa.array([index[x].tobytes() for x in spans], pa.binary()), pa.array([rate[x].tobytes() for x in spans], pa.binary())], names=["kind", "doc_id", "features", "rates"])
 
 
 @dataclass
@@ -184,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     Samples are those whose id's hash is below a threshold that lets about `positives` confirmed toxic ids and
     `unlabelled` texts pass; the prior is the toxic part of all labels that may be read. An id with several labels is toxic
-    if one of them is.
+    if one of them is; an id with several texts gives one.
     """
     ids = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = ids.agg(F.count("*"), F.sum("toxic")).first()
@@ -194,9 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     among = lambda seed, part: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, part) * (1 << 30))
     # about `positives` ids, so they may be broadcast
     chosen = F.broadcast(ids.where((F.col("toxic") == 1) & among(0, positives / max(toxic or 0, 1))).select("doc_id"))
-    some = docs.join(chosen, "doc_id").select(F.lit(1).alias("kind"), "text")
-    some = some.union(docs.where(among(1, unlabelled / max(rows, 1)) & ~held_out(F.col("doc_id"))).select(F.lit(0).alias("kind"), "text"))
-    got = some.mapInArrow(_featurize, "kind int, features binary, rates binary").toArrow()
+    some = docs.join(chosen, "doc_id").select(F.lit(1).alias("kind"), "doc_id", "text")
+    some = some.union(docs.where(among(1, unlabelled / max(rows, 1)) & ~held_out(F.col("doc_id"))).select(F.lit(0).alias("kind"), "doc_id", "text"))
+    some = some.mapInArrow(_featurize, "kind int, doc_id long, features binary, rates binary")
+    got = some.groupBy("kind", "doc_id").agg(F.min(F.struct("features", "rates")).alias("x")).select("kind", "x.*").toArrow()
     p, u = (Sample(got.filter(pc.equal(got["kind"], kind)).select(["features", "rates"])) for kind in (1, 0))
     del got
     return fit(p, u, prior)
