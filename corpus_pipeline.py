@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeterra.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
-from codeterra.llm.lineage import stored
-
-_MADE = "__made"
+from codeterra.llm.lineage import drop_stored, free, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the classifier learns from those of the labelled rows that are here."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, _MADE).where(F.col(_MADE) < 0.5).drop(_MADE)
+    made = free("score", docs.columns)
+    return toxicity.score(docs, model, made).where(F.col(made) < 0.5).drop(made)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +27,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with an item of the benchmark go."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias(_MADE))
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
     found = decontaminate.flagged(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0")
-    return found.select(*[f"{_MADE}.{c}" if c in rest else c for c in docs.columns])
+    return found.select(*[F.col("rest")[c].alias(c) if c in rest else c for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced by a mark, n_chars follows."""
-    found = secret_scan.findings(docs, secret_scan.scan(docs), _MADE)
-    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col(_MADE)))
+    made = free("secrets", docs.columns)
+    found = secret_scan.findings(docs, secret_scan.scan(docs), made)
+    found = found.withColumn("text", secret_scan.redact(F.col("text"), F.col(made)))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size(_MADE) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size(made) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 
@@ -60,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result stored as Parquet and read again."""
+    """All stages over documents, each one's result stored as Parquet and read again, and deleted when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        drop_stored(before)
+    made = STAGES[-1][1](spark, docs, sf_dir)
+    drop_stored(docs)
+    return made
