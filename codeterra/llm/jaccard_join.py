@@ -484,8 +484,9 @@ def _settle(large: DataFrame, pairs: DataFrame, facts: DataFrame, groups: DataFr
         among = F.transform(to(F.col("rests")), lambda x: cell("rest", F.least("k", x), F.greatest("k", x)))
         across = F.transform(to(F.col("mains")), lambda x: cell("main", F.col("k"), x))
         tied = tied.withColumn("k", k).withColumn("cell", F.explode(F.when(F.col("is_main"), F.transform(to(F.col("rests")), lambda x: cell("main", x, F.col("k")))).otherwise(F.concat(among, across))))
-        tied = tied.select("family", "size", "cell.*", "node", "low", "shingles")
-        found = found.union(tied.groupBy("family", "size", "kind", "i", "j").applyInPandas(_block_links(threshold), "u long, v long"))
+        key = ["family", "size", "kind", "i", "j"]
+        tied = tied.select("family", "size", "cell.*", "node", "low", "shingles").repartition(*key)  # else a whole family would stay in one task
+        found = found.union(tied.groupBy(*key).applyInPandas(_block_links(threshold), "u long, v long"))
     found = cut(found if met is None else found.union(met))
     for x in made:
         drop_stored(x)
