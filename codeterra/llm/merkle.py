@@ -2,9 +2,10 @@
 
 A paragraph is a line. A section ends with a blank line, or with a paragraph whose hash says so, so that an edit moves
 no later boundary. A paragraph's leaves are runs of words that end with a sentence or where a word's hash says so. Every
-node's hash is that of its children's hashes, so equal roots mean equal texts, and where roots differ only differing
-branches need a look. A fingerprint lists the root and, by section and paragraph, the leaves' short hashes; the inner
-nodes follow from these. The likeness of two fingerprints is the part of leaves that they share.
+node's hash is that of its children's hashes, so equal roots mean equal texts. A fingerprint lists the root and, by
+section and paragraph, the hashes of all nodes, cut short below the root. Two fingerprints are compared by descent:
+sections with equal hashes are passed over whole, then paragraphs of the others, and only leaves of differing paragraphs
+are looked at. The branches that differ locate an edit; the likeness is the part of leaves that both share.
 
 Each text is compared with an edited one that ends with the next document's beginning, so texts must meet their
 neighbours by doc_id: one shuffle deals rows to ranges of ids, and each range gets one guest row, the neighbour below it.
@@ -27,9 +28,11 @@ from codeterra.llm.lineage import shuffle_width
 #: A word's hash ends a leaf one time in so many, a paragraph's a section.
 LEAF_WORDS = 6
 SECTION_PARAGRAPHS = 4
-LEAF_HEX = 8
+#: Hex digits of a leaf and of an inner node in a fingerprint.
+LEAF_HEX, NODE_HEX = 8, 12
 _ENDS = np.isin(np.arange(256), list(b".!?"))
-Tree = list[list[list[bytes]]]
+Paragraph = tuple[bytes, list[bytes]]  # hash, leaves
+Section = tuple[bytes, list[Paragraph]]
 
 
 def _hash(parts: list[bytes], level: bytes, size: int = 16) -> bytes:
@@ -57,60 +60,80 @@ def _paragraphs(text: bytes) -> list[list[bytes]]:
 
 
 class Fingerprint:
-    """root (hex) and tree: sections of paragraphs of leaves' short hashes."""
+    """root (hex) and sections of paragraphs of leaves, each node with its short hash."""
 
-    def __init__(self, root: str, tree: Tree):
-        self.root, self.tree = root, tree
+    def __init__(self, root: str, sections: list[Section]):
+        self.root, self.sections = root, sections
 
     @classmethod
     def of(cls, text: str) -> "Fingerprint":
-        sections: Tree = []
+        sections: list[Section] = []
         roots, now, hashes = [], [], []
+
+        def close() -> None:
+            roots.append(_hash(hashes, b"section"))
+            sections.append((roots[-1][: NODE_HEX // 2], now))
+
         for leaves in _paragraphs(text.encode(errors="surrogatepass")):
             own = [_hash([x], b"leaf") for x in leaves]
-            paragraph = _hash(own, b"paragraph")
-            now.append([x[: LEAF_HEX // 2] for x in own])
-            hashes.append(paragraph)
-            if leaves == [b"\n"] or paragraph[0] % SECTION_PARAGRAPHS == 0:
-                sections.append(now)
-                roots.append(_hash(hashes, b"section"))
+            hashes.append(_hash(own, b"paragraph"))
+            now.append((hashes[-1][: NODE_HEX // 2], [x[: LEAF_HEX // 2] for x in own]))
+            if leaves == [b"\n"] or hashes[-1][0] % SECTION_PARAGRAPHS == 0:
+                close()
                 now, hashes = [], []
         if now:
-            sections.append(now)
-            roots.append(_hash(hashes, b"section"))
+            close()
         return cls(_hash(roots, b"root").hex(), sections)
 
     def __str__(self) -> str:
-        """root:sections by ;, paragraphs by comma, leaves side by side."""
-        return self.root + ":" + ";".join(",".join(b"".join(p).hex() for p in s) for s in self.tree)
+        """root:sections by ;, each its hash and paragraphs by comma, each its hash and leaves side by side."""
+        return self.root + ":" + ";".join(h.hex() + "," + ",".join(p.hex() + b"".join(leaves).hex() for p, leaves in ps) for h, ps in self.sections)
 
     @classmethod
     def parse(cls, line: str) -> "Fingerprint":
         root, _, rest = line.partition(":")
-        size = LEAF_HEX // 2
-        tree = [[[b[k : k + size] for k in range(0, len(b), size)] for b in map(bytes.fromhex, s.split(","))] for s in rest.split(";")] if rest else []
-        return cls(root, tree)
+        sections = []
+        for s in rest.split(";") if rest else ():
+            own, *ps = s.split(",")
+            nodes = [(bytes.fromhex(p[:NODE_HEX]), [bytes.fromhex(p[k : k + LEAF_HEX]) for k in range(NODE_HEX, len(p), LEAF_HEX)]) for p in ps]
+            sections.append((bytes.fromhex(own), nodes))
+        return cls(root, sections)
+
 
-    def leaves(self) -> list[bytes]:
-        return [x for s in self.tree for p in s for x in p]
+def _unmatched(xs: list, ys: list) -> tuple[list[int], list[int]]:
+    """Places of the nodes of either side that have no partner of equal hash on the other, each used once."""
+    left = Counter(h for h, _ in ys)
+    mine = [k for k, (h, _) in enumerate(xs) if not (left[h] and not left.subtract((h,)))]
+    left = Counter(h for h, _ in xs)
+    return mine, [k for k, (h, _) in enumerate(ys) if not (left[h] and not left.subtract((h,)))]
 
 
-def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """Twice the shared leaves over all leaves, each as often as it comes; 1 for equal roots."""
+def descend(a: Fingerprint, b: Fingerprint) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(section, paragraph) of the branches of a, and of b, that the other lacks; below equal hashes nothing is looked at."""
+    if a.root == b.root:
+        return [], []
+    sections = _unmatched(a.sections, b.sections)
+    places = [[(i, j) for i in mine for j in range(len(f.sections[i][1]))] for mine, f in zip(sections, (a, b))]
+    nodes = [[f.sections[i][1][j] for i, j in at] for at, f in zip(places, (a, b))]
+    x, y = _unmatched(*nodes)
+    return [places[0][k] for k in x], [places[1][k] for k in y]
+
+
+def likeness(a: Fingerprint, b: Fingerprint, branches: tuple | None = None) -> float:
+    """Twice the shared leaves over all leaves, each as often as it comes; 1 for equal roots, 0 if one side has none."""
     if a.root == b.root:
         return 1.0
-    x, y = a.leaves(), b.leaves()
-    shared = sum((Counter(x) & Counter(y)).values())
-    return min(2 * shared / (len(x) + len(y)), 1.0) if x and y else 0.0
+    total = [sum(len(leaves) for _, ps in f.sections for _, leaves in ps) for f in (a, b)]
+    if not all(total):
+        return 0.0
+    rest = [Counter(x for i, j in at for x in f.sections[i][1][j][1]) for at, f in zip(branches or descend(a, b), (a, b))]
+    lacking = sum((rest[0] - rest[1]).values()) + sum((rest[1] - rest[0]).values())
+    return 1 - lacking / sum(total)
 
 
 def differences(a: Fingerprint, b: Fingerprint) -> list[tuple[int, int]]:
-    """(section, paragraph) of a's branches that b lacks: equal sections are passed over whole."""
-    if a.root == b.root:
-        return []
-    sections = {repr(s) for s in b.tree}
-    paragraphs = {repr(p) for s in b.tree for p in s}
-    return [(i, j) for i, s in enumerate(a.tree) if repr(s) not in sections for j, p in enumerate(s) if repr(p) not in paragraphs]
+    """(section, paragraph) of a's branches that b lacks."""
+    return descend(a, b)[0]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -125,7 +148,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changed string"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,15 +177,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 half = len(text) // 2
                 edited = text[: len(text) - half] + (following[0][:half] if following else "")
                 changed = Fingerprint.of(edited)
-                rows.append((doc, len(text), sha256(edited.encode(errors="surrogatepass")).hexdigest(), str(own[1]), str(changed), likeness(own[1], changed), likeness(own[1], following[1]) if following else None))
+                branches = descend(changed, own[1])
+                near = likeness(changed, own[1], branches)
+                after = likeness(own[1], following[1]) if following else None
+                rows.append((doc, len(text), sha256(edited.encode(errors="surrogatepass")).hexdigest(), str(own[1]), str(changed), near, after, ",".join(f"{i}.{j}" for i, j in branches[0])))
             if rows:
-                names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changed"]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs(doc_id, text).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, changed) for every row of docs(doc_id, text).
+
+    changed locates the edit: section.paragraph of the edited text's branches that the text lacks, comma-joined.
 
     The next document is that of the next smaller doc_id, after the smallest the largest one's; of several rows with that
     id it is the one whose text has the smallest hash, and a table's only document follows itself. Rows with a null
