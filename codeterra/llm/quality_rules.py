@@ -14,7 +14,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that are learned from, at most; chosen by hash of the id.
+from codeterra.llm.lineage import free
+
+#: Labelled ids that are learned from, about; chosen by hash of the id.
 SAMPLE = 20_000
 TREES = 30
 DEPTH = 3
@@ -37,37 +39,45 @@ def held_out(doc_id: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs(text) with a column __s_<name> for each of STATISTICS, none of them null; shares are of characters or words."""
+    """docs(text) with a column __s_<name> for each of STATISTICS, none of them null; shares are of characters or words.
+
+    Columns of docs with these names are replaced, all others are kept.
+    """
+    t, w = free("__t", docs.columns), free("__w", docs.columns)
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("__t", text).withColumn("__w", F.filter(F.split("__t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.drop(*[f"__s_{name}" for name in STATISTICS])
+    docs = docs.withColumn(t, text).withColumn(w, F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     counts = {
-        "__n": F.length("__t"),
-        "__k": F.size("__w"),
-        "__u": F.size(F.array_distinct("__w")),
-        "__short": F.size(F.filter("__w", lambda w: F.length(w) <= 3)),
-        "__symbols": F.length(F.regexp_replace("__t", r"[^#$%&*|<>{}\[\]@^~=+_\\!/]+", "")),
-        "__capitals": F.length(F.regexp_replace("__t", "[^A-Z]+", "")),
-        "__digits": F.length(F.regexp_replace("__t", "[^0-9]+", "")),
-        "__stops": F.length(F.regexp_replace("__t", "[^.,;:?]+", "")),
-        "__lines": F.length(F.regexp_replace("__t", "[^\n]+", "")),
+        "n": F.length(t),
+        "k": F.size(w),
+        "u": F.size(F.array_distinct(w)),
+        "short": F.size(F.filter(w, lambda x: F.length(x) <= 3)),
+        "symbols": F.length(F.regexp_replace(t, r"[^#$%&*|<>{}\[\]@^~=+_\\!/]+", "")),
+        "capitals": F.length(F.regexp_replace(t, "[^A-Z]+", "")),
+        "digits": F.length(F.regexp_replace(t, "[^0-9]+", "")),
+        "stops": F.length(F.regexp_replace(t, "[^.,;:?]+", "")),
+        "lines": F.length(F.regexp_replace(t, "[^\n]+", "")),
     }
-    docs = docs.withColumns(counts)
-    n, k = F.greatest("__n", F.lit(1)), F.greatest("__k", F.lit(1))
+    # columns of their own: fields of a struct would be computed again wherever they are used
+    inner = {name: free(f"__c_{name}", docs.columns) for name in counts}
+    docs = docs.withColumns({inner[name]: x for name, x in counts.items()})
+    of = {name: F.col(c) for name, c in inner.items()}
+    n, k = F.greatest(of["n"], F.lit(1)), F.greatest(of["k"], F.lit(1))
     found = {
-        "n_words": F.col("__k").cast("double"),
-        "word_length": F.col("__n") / k,
+        "n_words": of["k"].cast("double"),
+        "word_length": of["n"] / k,
         # short texts repeat little: distinct words against what so many words usually have
-        "distinct_words": F.col("__u") / F.pow(k.cast("double"), F.lit(0.8)),
-        "symbols": F.col("__symbols") / n,
-        "capitals": F.col("__capitals") / n,
-        "digits": F.col("__digits") / n,
-        "stops": F.col("__stops") / k,
-        "short_words": F.col("__short") / k,
-        "lines": F.col("__lines") / k,
-        "distinct_share": F.col("__u") / k,
+        "distinct_words": of["u"] / F.pow(k.cast("double"), F.lit(0.8)),
+        "symbols": of["symbols"] / n,
+        "capitals": of["capitals"] / n,
+        "digits": of["digits"] / n,
+        "stops": of["stops"] / k,
+        "short_words": of["short"] / k,
+        "lines": of["lines"] / k,
+        "distinct_share": of["u"] / k,
     }
     docs = docs.withColumns({f"__s_{name}": found[name] for name in STATISTICS})
-    return docs.drop("__t", "__w", *counts)
+    return docs.drop(t, w, *inner.values())
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, greater?, threshold), all of which hold
@@ -174,13 +184,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return Model(float(b), [(r, float(k)) for r, k in zip(rules, w) if abs(k) > 1e-6])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """From docs(doc_id, text) and labels(doc_id, quality): at most SAMPLE labelled rows, none of them held out or null."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """From docs(doc_id, text) and labels(doc_id, quality): labelled ids whose hash is below a threshold that lets about `sample` pass.
+
+    No held-out or null label is read. Of several labels the higher counts, of several texts of an id one.
+    """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # at most SAMPLE ids
-    got = with_statistics(rows).select("y", "doc_id", *[f"__s_{s}" for s in STATISTICS]).toPandas().sort_values("doc_id")
+    part = min(1.0, sample / max(known.count(), 1))
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # about `sample` ids
+    found = with_statistics(rows).groupBy("doc_id").agg(F.min(F.struct("y", *[f"__s_{s}" for s in STATISTICS])).alias("x"))
+    got = found.select("doc_id", "x.*").toPandas().sort_values("doc_id")
     return fit(got[[f"__s_{s}" for s in STATISTICS]].to_numpy(dtype=np.float64), got["y"].to_numpy(dtype=np.float64))
 
 
