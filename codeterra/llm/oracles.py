@@ -84,3 +84,24 @@ best AS (
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
 """
+
+CURRICULUM = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][k % 3 + 1]::DOUBLE AS weight, [1.0, 0.5, 1.5][k % 3 + 1]::DOUBLE AS a, [1.0, 1.5, 0.5][k % 3 + 1]::DOUBLE AS b FROM s),
+o AS (
+  SELECT *, 1.5 * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (u ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights, row_number() OVER u AS turn
+  FROM w WINDOW u AS (ORDER BY source_size / weight, k)),
+level AS (SELECT arg_min(CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE), turn) AS level FROM o WHERE CAST(rest AS DOUBLE) / CAST(weights AS DOUBLE) * weight <= 2 * source_size),
+t AS (SELECT source, source_size, a, b, least(2.0::DOUBLE * source_size, weight * level) AS target FROM w CROSS JOIN level),
+r AS (SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d),
+p AS (
+  SELECT doc_id, size, source_size, target, a, b, before,
+    greatest(0, least(size, CAST(floor(target) AS BIGINT) - before)) + greatest(0, least(size, CAST(floor(target) AS BIGINT) - before - source_size)) AS taken
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, before / target * ((a + b) / 2) AS area FROM p)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN CASE WHEN area <= 0 THEN 0.0::DOUBLE ELSE 2 * area / (a + sqrt(greatest(a * a + 2 * (b - a) * area, 0))) END END AS position
+FROM q
+"""

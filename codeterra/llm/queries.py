@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeterra.llm import decontaminate, jaccard_join, license_scan, merkle, oracles, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from codeterra.llm import curriculum, decontaminate, jaccard_join, license_scan, merkle, oracles, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # exact in the operator at any size; here null where a long can't hold it
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # weights 3, 1, 2 in turn; the first as steady as it is, the second ever more, the third ever less of it
+    plan = curriculum.cycled((3.0, 1.0, 2.0), (curriculum.STEADY, ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5))))
+    found = curriculum.by_position(curriculum.assign(_table(spark, sf_dir, "documents"), plan))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_merkle": op2_merkle,
@@ -79,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_curriculum": op12_curriculum,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": oracles.URL_FILTER,
     "op7_jaccard_join": oracles.JACCARD_JOIN,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op12_curriculum": oracles.CURRICULUM,
 }
