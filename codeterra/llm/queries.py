@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeterra.llm import curriculum, decontaminate, jaccard_join, license_scan, merkle, oracles, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, whitening
+from codeterra.llm import alignment, curriculum, decontaminate, jaccard_join, license_scan, merkle, oracles, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), packing.tokenizer_path(alignment.FIRST), packing.tokenizer_path(alignment.SECOND))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_merkle": op2_merkle,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_whitening": op11_whitening,
     "op12_curriculum": op12_curriculum,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
