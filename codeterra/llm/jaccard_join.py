@@ -3,13 +3,12 @@
 A text's set holds the hashes of its distinct shingles. Two sets with Jaccard >= t whose smaller one has n elements
 differ in at most D(n) = n * (1 - t) / t elements. Each size band cuts the hash domain into first-level partitions of
 CELLS = 3 second-level ones, of which one may differ: the subsets of two second-level partitions are enumerated, and a set's
-projection on each is a signature. A first-level partition without a difference gives both sets three equal signatures,
-one with a single difference gives one. Where a set has elements in one second-level partition only, the projection on the
-whole first-level partition is the signature, equal if nothing differs; where it has none, there is no signature. So of x
-partitions of the first kind and y of the second, whose projections both sets have, at least 2 * x + y - D(n) signatures
-are shared. Partitions are taken in one fixed order until 2 * x + y reaches D(n) + 1 + SLACK(n); the set that reaches
-this first has taken no partition that the other has not, hence similar sets share at least 1 + SLACK signatures. A set that
-runs out of partitions adds that many band-wide signatures. Sets near the top of a band also sign for the next one, so a
+projection on each, if not empty, is a signature. Let a first-level partition be worth 2 to a set that fills two of its
+second-level ones or more, 1 to one that fills one. Of a partition with d differences both sets share at least its worth to
+either less d signatures: without a difference all are equal, two or three; a single one leaves the subset without it equal,
+which is empty only to a set that the partition is worth 1. Partitions are taken in one fixed order until their worth
+reaches D(n) + 1 + SLACK(n); the set that reaches this first has taken no partition that the other has not, hence
+similar sets share at least 1 + SLACK signatures. A set that runs out of partitions adds that many band-wide signatures. Sets near the top of a band also sign for the next one, so a
 pair meets in the band of its larger set.
 
 Signatures travel as sorted binary runs by signature bucket, not as single rows, and equal sets are one node from the
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.llm import textnum
-from codeterra.llm.lineage import cut, drop_stored, shuffle_width, stored
+from codeterra.llm.lineage import cut, drop_stored, free, shuffle_width, stored
 from codeterra.operators.components import components
 
 SHINGLE = 5
@@ -141,13 +140,14 @@ def signatures_of(sets: list[np.ndarray], threshold: tuple[int, int] = THRESHOLD
     grid = np.zeros((len(head), CELLS), dtype=np.uint64)
     grid[np.repeat(np.arange(len(head)), filled), inner.astype(np.int64)] = sums
     total = np.bincount(entry, weights=worth, minlength=len(owner)).astype(np.int64)
-    grid, filled, entry, name = grid[used], filled[used], entry[used], textnum.mix64(part[head][used] ^ seed[entry[used]])
-    whole, pairs = filled == 1, filled > 1
-    out, owners = [textnum.mix64(grid[whole].sum(axis=1, dtype=np.uint64) ^ name[whole])], [owner[entry[whole]]]
+    grid, entry = grid[used], entry[used]
+    name = textnum.mix64(part[head][used] ^ seed[entry])
+    out, owners = [], []
     for left in range(CELLS):
-        a, b = grid[pairs, left], grid[pairs, (left + 1) % CELLS]
-        out.append(textnum.mix64(a + b * _ODD + name[pairs] * np.uint64(2 * left + 3)))
-        owners.append(owner[entry[pairs]])
+        a, b = grid[:, left], grid[:, (left + 1) % CELLS]
+        some = (a | b) != 0
+        out.append(textnum.mix64(a[some] + b[some] * _ODD + name[some] * np.uint64(2 * left + 3)))
+        owners.append(owner[entry[some]])
     for k in np.flatnonzero(total < quota).tolist():
         out.append(textnum.mix64(seed[k] + np.arange(1, 1 + slack(int(size[k])) + 1, dtype=np.uint64)))
         owners.append(np.full(len(out[-1]), owner[k]))
@@ -321,7 +321,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingle_sets(words))
             sizes += [len(s) for s in sets]
             nodes += nodes_of(sets)
-        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "row", "n_shingles", "node"])
     textnum.give_back()
 
 
@@ -493,20 +493,19 @@ def _settle(large: DataFrame, pairs: DataFrame, facts: DataFrame, groups: DataFr
     return found
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
+def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, row, n_shingles, group, component_id) for every row of docs(doc_id, text).
 
-    component_id is the smallest doc_id reachable by links of Jaccard >= threshold, itself included. Null and blank
-    texts have n_shingles 0 and stand alone. Equal texts are one set. Repeated rows come back repeated. Rows with a null
-    doc_id are returned, with the component of their set; a set that only such rows have is not compared with others.
-    An empty table gives no rows. Other columns of docs are ignored.
+    row is the hash of the text, group names what its links reach (null for texts without words); see near_duplicates().
+    Rows of one doc_id with different texts are in the groups of their texts.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     width = shuffle_width(spark)
-    facts = cut(docs.mapInArrow(_facts, "doc_id long, n_shingles long, node long"))
+    facts = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    facts = cut(facts.mapInArrow(_facts, "doc_id long, row long, n_shingles long, node long"))
     classes = facts.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    # a set has about as many signatures as elements, at most
+    # a set has about twice as many signatures as elements, at most
     buckets = max(4 * width, -(-(facts.agg(F.sum("n_shingles")).first()[0] or 0) // bucket))
     runs = docs.select("text").mapInArrow(_sign(buckets, hot), "bucket int, run binary")
     matched = stored(runs.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_match, _MATCHED))
@@ -528,10 +527,37 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot
     more = _settle(large, counted, facts.where("node is not null"), groups, sets_of, threshold)
     if more is not None:
         groups = components(links.union(more))
-    low = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("low", "node").alias("low"))
-    smallest = low.groupBy("low").agg(F.min("rep").alias("component_id"))
-    named = low.join(smallest, "low").select("node", "component_id")
-    out = cut(facts.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    low = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("low", "node").alias("group"))
+    smallest = low.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = low.join(smallest, "group").select("node", "group", "component_id")
+    out = cut(facts.join(named, "node", "left").select("doc_id", "row", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id")))
     drop_stored(matched)
     drop_stored(texts)
     return out
+
+
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
+
+    component_id is the smallest doc_id reachable by links of Jaccard >= threshold, itself included. Null and blank
+    texts have n_shingles 0 and stand alone. Equal texts are one set. Repeated rows come back repeated. Rows with a null
+    doc_id are returned, with the component of their set; a set that only such rows have is not compared with others.
+    An empty table gives no rows. Other columns of docs are ignored.
+    """
+    return grouped(docs, threshold, hot, bucket).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each group that grouped() finds: that of the smallest doc_id (null last), of these that of the smallest hash of its text.
+
+    Rows without words are in no group and all stay.
+    """
+    found = grouped(docs, threshold)
+    row, key = free("row", docs.columns), free("key", docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    keep = found.where("group is not null").groupBy("group").agg(first.alias("first")).select(F.col("first.doc_id").alias(key), F.col("first.row").alias(row))
+    hashed = docs.withColumn(row, F.xxhash64("text"))
+    wordless = F.coalesce(F.length(F.translate("text", " \t\n\x0b\f\r", "")), F.lit(0)) == 0
+    keep = keep.select(F.col(key).alias(f"{key}_"), F.col(row).alias(f"{row}_"))
+    named = hashed.where(~wordless).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{key}_")) & (F.col(row) == F.col(f"{row}_")), "left_semi")
+    return named.dropDuplicates(["doc_id", row]).select(*docs.columns).union(docs.where(wordless))

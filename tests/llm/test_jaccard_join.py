@@ -1,8 +1,10 @@
 """The similarity join against brute force."""
 
+import itertools
 import random
 
 import numpy as np
+import pytest
 
 from codeterra.llm import jaccard_join
 from codeterra.operators.components import components
@@ -94,6 +96,85 @@ def test_similar_sets_share_signatures():
         assert len(shared) >= 1 + jaccard_join.slack(min(len(base), len(other)))
 
 
+def element(band, part, cell, k):
+    """The k-th hash that a band deals to this second-level partition."""
+    cells = 3 * ((1 << band) // 2 + 24)
+    return (-(-((3 * part + cell) << 32) // cells) + k << 32) + 12345
+
+
+def least_shared(pairs):
+    """Pairs of similar sets that share fewer signatures than they should."""
+    sets = [np.array(sorted(x), dtype=np.uint64) for pair in pairs for x in pair]
+    sigs, owner = jaccard_join.signatures_of(sets)
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(len(sets) + 1))
+    own = [set(sigs[order[a:b]].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [pair for k, pair in enumerate(pairs) if len(own[2 * k] & own[2 * k + 1]) < 1 + jaccard_join.slack(min(map(len, pair)))]
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 7, 8])
+def test_signatures_for_all_placements(n):
+    """n elements and one more, or one less in common, wherever they are: a partition is told by which of its parts are filled, so two partitions with three parts each and the rest apart cover all."""
+    band = (n + 1).bit_length() - 1
+    spots = [(p, c) for p in range(2) for c in range(3)] + [(p, 0) for p in range(2, 2 + max(0, n - 4))]
+    pairs = []
+    for where in itertools.combinations_with_replacement(range(len(spots)), n):
+        common = {element(band, *spots[at], k) for k, at in enumerate(where)}
+        for p, c in spots[:6]:
+            pairs.append((common, common | {element(band, p, c, 900)}))
+    assert least_shared(pairs) == []
+
+
+def test_a_partition_with_differences():
+    """All ways to fill a partition's three parts with common elements and such of one set, beside as few common ones as make the sets similar."""
+    pairs = []
+    for cells in itertools.product(itertools.product((0, 1, 2), (0, 1), (0, 1)), repeat=3):
+        same, left, right = (sum(c[k] for c in cells) for k in range(3))
+        need = max(0, -(-(75 * (left + right)) // 25) - same)  # same elements at least three times those of one
+        for spread in (True, False):
+            size = same + need + max(left, right)
+            band = size.bit_length() - 1
+            if min(left, right) + same + need < 3:
+                continue
+            a = {element(band, 0, c, k) for c, x in enumerate(cells) for k in range(x[0])} | {element(band, 1 + k if spread else 1, k % 3, k) for k in range(need)}
+            b = a | {element(band, 0, c, 500) for c, x in enumerate(cells) if x[2]}
+            a = a | {element(band, 0, c, 600) for c, x in enumerate(cells) if x[1]}
+            pairs.append((a, b))
+    assert least_shared(pairs) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 5, 7])
+def test_families_with_a_common_opening(spark, seed):
+    """Small and middling sets, most of which is their family's, with copies of one word replaced or added."""
+    rng = random.Random(seed)
+    rows = []
+    for family in range(8):
+        n = rng.choice((6, 12, 30, 60))
+        opening = [f"c{family}_{k}" for k in range(n)]
+        for k in range(50):
+            tail = [f"x{family}_{k}_{i}" for i in range(rng.randint(1, max(1, n // 3)))]
+            text = opening + tail if rng.random() < 0.5 else tail + opening
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(rng.randint(0, 2)):
+                copy = list(text)
+                if rng.random() < 0.5:
+                    copy[rng.randrange(len(copy))] = f"y{len(rows)}"
+                else:
+                    copy.append(f"y{len(rows)}")
+                rows.append((len(rows), " ".join(copy)))
+    check(spark, rows)
+
+
+def test_ids_with_several_texts(spark):
+    """Near copies are grouped by text: of one id, texts that are none stay."""
+    text = "the quick brown fox jumps over it all"
+    rows = [(1, text), (1, text), (1, "quite another text that nobody else has here"), (2, text + " now"), (3, None), (3, ""), (3, ""), (None, text + " now"), (None, "of nobody at all but with words enough")]
+    docs = frame(spark, [(*r, 5) for r in rows], "doc_id long, text string, row int")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in jaccard_join.first_of_groups(docs).collect())
+    assert got == sorted([(0, rows[8][1]), (1, text), (1, rows[2][1]), (3, ""), (3, ""), (3, "")])
+    assert jaccard_join.first_of_groups(docs).columns == docs.columns
+
+
 def test_signatures_shared_by_many(spark):
     """One signature of thousands of sets takes the hot way and hides no link; buckets are many and small."""
     rng = random.Random(9)
