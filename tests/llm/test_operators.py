@@ -285,6 +285,19 @@ def test_hot_anchors_are_settled_by_windows(spark):
     assert sorted(r["n_removed"] for r in odd) == [0, 0, 0]
 
 
+def test_ids_with_several_texts_keep_their_own_spans(spark):
+    """Windows of a smaller id go from each of an id's texts, at that text's places; what only texts of one id share stays."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    data = [(1, a, "s"), (2, f"{b} {a}", "s"), (2, f"zz {b}", "s"), (2, f"zz {b}", "s"), (3, f"{b} end", "s")]
+    for parts in (1, 3, 8):
+        for shard in (1, 4000):
+            docs = frame(spark, data, SCHEMA).repartition(parts)
+            spans = {(r["doc_id"], r["row"]): r["spans"] for r in substring_dedup.repeated_spans(docs, shard=shard).collect()}
+            assert len(spans) == 2
+        got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect())
+        assert got == [(1, 60, 0), (2, 61, 0), (2, 61, 0), (2, 120, 60), (3, 61, 60)]
+
+
 WRAPPED_GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
