@@ -17,11 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays, once; of rows without a doc_id one of each text."""
-    found = jaccard_join.near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null").dropDuplicates(["text"]))
+    """Of each group the document with the smallest doc_id stays, once; texts of one doc_id that are not near copies all stay."""
+    return jaccard_join.first_of_groups(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
