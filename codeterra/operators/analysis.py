@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeterra.functions import paths, texts
-from codeterra.operators import graph, health, history, incremental, inventory, parsing, resolve, security
+from codeterra.operators import graph, health, history, incremental, inventory, parsing, resolve, security, syntax
 from codeterra.session import checkpointed
 from codeterra.sources import git
 
@@ -102,10 +102,9 @@ def analyze(raw: DataFrame, commits: DataFrame, go_module: str | None = None, pr
         reused = incremental.reused(readable, previous.files).select("path", "hash")
     source = raw.select("path", texts.utf8(F.col("content")).alias("text")).join(fresh.select("path", "language", "parsed"), "path")
     lines = parsing.lines_of(source)
-    code = parsing.lines_of(source.where("parsed"))
+    code = checkpointed(syntax.read(source.where("parsed")))
     found = security.findings(lines)
-    symbols = parsing.symbols(code)
-    engine = fresh.select("path", parsing.engine_of(F.col("language"), F.col("parsed")).alias("engine")).where("engine is not null")
+    symbols, engine = syntax.symbols(code), syntax.engines(code)
     old = {}
     if previous:
         kept = reused.select("path")
@@ -114,7 +113,7 @@ def analyze(raw: DataFrame, commits: DataFrame, go_module: str | None = None, pr
         engine = engine.unionByName(previous.files.join(kept, "path", "left_semi").where("engine is not null").select("path", "engine"))
         old["reused_edges"] = previous.edges.join(kept.withColumnRenamed("path", "src"), "src", "left_semi").select("src", "dst", "kind", "line", "confidence")
         old["reused_externals"] = previous.file_externals.join(kept, "path", "left_semi").select("path", "specifier", "count")
-    made = resolve.build_graph(parsing.imports(code), files, go_module, **old)
+    made = resolve.build_graph(syntax.imports(code), files, go_module, **old)
     edges, found = checkpointed(made.edges), checkpointed(found)
     looped = checkpointed(graph.cycles(edges))
     dead, fan_out, score = metrics(files, edges, found, looped)

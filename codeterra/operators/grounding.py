@@ -17,8 +17,26 @@ def _refuse(constant: str) -> None:
     raise ValueError(constant)
 
 
+#: Halves of surrogate pairs, which no encoder takes, and the escapes that may make them.
+_LONE = re.compile("[\ud800-\udfff]")
+_ESCAPED = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _loaded(text: str) -> object:
+    """The JSON value in text, lone surrogates replaced; ValueError for what is none, or nested too deep to be one of ours."""
+    try:
+        if _ESCAPED.search(text):
+            text = json.dumps(json.loads(text, parse_constant=_refuse), ensure_ascii=False)
+        return json.loads(_LONE.sub("\ufffd", text), parse_constant=_refuse)
+    except RecursionError as deep:
+        raise ValueError("nested too deep") from deep
+
+
 def first_object(text: str | None) -> dict | None:
-    """The reply as a JSON object, without a code fence; else its first balanced {...}; null for anything else, lists included."""
+    """The reply as a JSON object, without a code fence; else its first balanced {...}; null for anything else, lists included.
+
+    Whatever the reply is, it raises nothing: it is a model's text.
+    """
     rest = (text or "").strip()
     if rest.startswith("```"):
         rest = re.sub(r"```\s*$", "", re.sub(r"(?i)^```(?:json)?\s*", "", rest))
@@ -36,7 +54,7 @@ def first_object(text: str | None) -> dict | None:
                     candidate = rest[start : at + 1]
                     break
         try:
-            found = json.loads(candidate, parse_constant=_refuse) if candidate is not None else None
+            found = _loaded(candidate) if candidate is not None else None
         except ValueError:
             continue
         if isinstance(found, dict):

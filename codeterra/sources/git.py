@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import tempfile
 from collections.abc import Iterator
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeterra.functions.regexes import portable
-from codeterra.operators.inventory import MAX_BYTES, SKIPPED_FOLDERS
+from codeterra.operators.inventory import MAX_BYTES, SKIPPED_FILES, SKIPPED_FOLDERS
 
 MAX_FILES = 50_000
+_LEFT_OUT = re.compile(SKIPPED_FILES)
 _MARK = "\x01"
 
 # Hosts that may be cloned from, and what a part of a name may hold.
@@ -130,7 +132,7 @@ def _listed(root: str, most: int) -> Iterator[tuple[str, int]]:
         folders[:] = sorted(f for f in folders if f not in SKIPPED_FOLDERS and not os.path.islink(os.path.join(folder, f)))
         for name in sorted(files):
             full = os.path.join(folder, name)
-            if os.path.islink(full) or not os.path.isfile(full):
+            if os.path.islink(full) or not os.path.isfile(full) or _LEFT_OUT.search(name):
                 continue
             if found == most:
                 return
@@ -139,7 +141,7 @@ def _listed(root: str, most: int) -> Iterator[tuple[str, int]]:
 
 
 def tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
-    """(path, bytes, content binary) of files below root, which executors must see; dotfiles and empty files included, links and generated folders left out.
+    """(path, bytes, content binary) of files below root, which executors must see; dotfiles and empty files included, links, generated folders, lock files and minified ones left out.
 
     Names and sizes, max_files at most, are listed on the driver; tasks read the files, but none of more than max_bytes.
     """

@@ -50,10 +50,10 @@ def test_analysis_again_and_its_store(spark, repository, tmp_path):
     assert [tuple(r["nodes"]) for r in got.cycles.collect()] == [("tools/one.py", "tools/two.py")]
     assert rows(got.dead, "path") == [("cmd/a.go",), ("src/alone.ts",)] and rows(got.findings, "path", "rule") == [("src/alone.ts", "hardcoded-secret")]
     facts = {r["path"]: (r["dependents"], r["blast"], r["churn"], r["engine"], [a["name"] for a in r["authors"]]) for r in got.files.collect()}
-    assert facts["src/low.ts"] == (2, 2, 1, "pattern", ["ann"]) and facts["README.md"] == (0, 0, 1, None, ["ann"]) and facts["tools/one.py"][:2] == (1, 1)
+    assert facts["src/low.ts"] == (2, 2, 1, "syntax", ["ann"]) and facts["README.md"] == (0, 0, 1, None, ["ann"]) and facts["tools/one.py"][:2] == (1, 1)
     # dead 2 of 8: 25, cycles 2 of 8: 37.5, at most 25, security 8
     assert tuple(got.health.select("dead_penalty", "cycle_penalty", "coupling_penalty", "security_penalty", "score", "grade").first()) == (25, 25, 0, 8, 42, "F")
-    assert got.warnings.count() == 0 and rows(got.engines, "engine", "files") == [("pattern", 8)]
+    assert got.warnings.count() == 0 and rows(got.engines, "engine", "files") == [("syntax", 8)]
 
     kept = store.Store(spark, f"file://{tmp_path}/store")
     assert kept.read("files") is None
@@ -71,7 +71,7 @@ def test_analysis_again_and_its_store(spark, repository, tmp_path):
     again = analysis.analyze_folder(spark, str(repository), analysis.Previous(**last))
     assert rows(again.edges, "src", "dst") == [("cmd/a.go", "pkg/b.go"), ("src/main.ts", "src/lib/mid.ts"), ("tools/one.py", "tools/two.py"), ("tools/two.py", "tools/one.py")]
     assert rows(again.external, "specifier", "count") == [("fs", 2), ("os", 1)] and again.reused.count() == 8
-    assert rows(again.symbols, "name") == [("A",), ("run",), ("start",)] and again.findings.count() == 1 and rows(again.engines, "engine", "files") == [("pattern", 7)]
+    assert rows(again.symbols, "name") == [("A",), ("run",), ("start",)] and again.findings.count() == 1 and rows(again.engines, "engine", "files") == [("syntax", 7)]
 
 
 def test_clone(spark, repository, tmp_path):
@@ -120,6 +120,9 @@ def test_replies(spark):
     cases = {'{"a": 1}': True, '```json\n{"a": "}"}\n```': True, 'so {"a": "\\"}{"} and {"b"': True, "[1]": False, "[{}]": True, '{"a": NaN}': False, "{broken": False, "": False, None: False, "3": False}
     got = {r["x"]: r["y"] is not None for r in frame(spark, [(x,) for x in cases], "x string").select("x", grounding.read_object(F.col("x")).alias("y")).collect()}
     assert got == cases
+    odd = ['{"a": "\\ud800", "b": "\\ud83d\\ude00"}', "[" * 60_000, '{"a":' * 60_000, '{"a": [' + "[" * 60_000, "\ufffd{", '{"points":[{"text":"\\udc00 x"}]}', '{"a": 1e999}', '{"a": ' + "9" * 5000 + "}"]
+    got = [(r["y"], r["z"]) for r in frame(spark, list(enumerate(odd)), "k int, x string").orderBy("k").select(grounding.read_object(F.col("x")).alias("y"), grounding.read_claims(F.col("x"), "points").alias("z")).collect()]
+    assert got[0][0] == '{"a": "\ufffd", "b": "\U0001f600"}' and [y is None for y, _ in got] == [False, True, True, True, True, False, False, True] and got[5][1][0]["text"] == "\ufffd x"
     reply = '{"points":[{"text":" t ","lines":[2.9,2,true,"1",99]},{"text":"gone","lines":[50]},{"text":"r","refs":[{"path":"b","line":1},{"path":"b"}]}]}'
     made = frame(spark, [(1, reply), (2, None)], "id int, reply string").select("id", grounding.read_claims(F.col("reply"), "points", F.lit("a")).alias("claims"))
     kept = {r["id"]: [(c["text"], [tuple(x) for x in c["citations"]]) for c in r["claims"]] for r in grounding.keep_grounded(made, frame(spark, [("a", 5), ("b", 0)], "path string, loc int"), "id").collect()}
@@ -197,3 +200,17 @@ def test_reading_order_among_readable_files(spark):
     facts = reading.candidates(files, edges, analysis.is_entry(F.col("path")))
     assert rows(facts, "path", "dependencies", "entry") == [("a", 2, False), ("b", 0, False), ("main.go", 2, True)]
     assert [(r["step"], r["node"]) for r in reading.steps(reading.order(facts, edges)).orderBy("step").collect()] == [(1, "b"), (2, "a"), (3, "main.go")]
+
+
+def test_max_files_counts_what_is_listed(spark, tmp_path):
+    """Files that are left out anyway don't use up the limit, and the reader is told when it is reached."""
+    for k in range(6):
+        (tmp_path / f"a{k}.min.js").write_text("x")
+    (tmp_path / "yarn.lock").write_text("x")
+    for k in range(4):
+        (tmp_path / f"z{k}.ts").write_text("export const a = 1\n")
+    assert git.tree(spark, str(tmp_path), max_files=6).count() == 4
+    few = git.tree(spark, str(tmp_path), max_files=3)
+    assert rows(few, "path") == [("z0.ts",), ("z1.ts",), ("z2.ts",)]
+    told = analysis.analyze(few, frame(spark, [], "path string, author string, sha string, ts timestamp, ordinal long"), max_files=3).warnings
+    assert any("first files" in r["warning"] for r in told.collect())
