@@ -18,12 +18,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeterra.llm import packing
 from codeterra.llm.lineage import drop_stored, stored
+from codeterra.llm.textnum import slices
 
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
@@ -57,6 +59,7 @@ class Pair:
         self.sizes = [np.array([len(b) for b in table], dtype=np.int64) for table in (self.first_bytes, self.second_bytes)]
         #: Ids as digits followed by what comes after them: one more id, the other side, or the next group.
         self.digits = [np.array([f"{k}{mark}".encode() for mark in ",|;" for k in range(len(table))], dtype=object) for table in (self.first_bytes, self.second_bytes)]
+        self.lengths = [np.array([len(x) for x in table], dtype=np.int64) for table in self.digits]
 
     @staticmethod
     def _decoded(entry: str, letters: dict[str, int]) -> bytes:
@@ -78,19 +81,30 @@ class Pair:
             at = cut + 1
         return [*out, text[at:]]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both for each text, or None where they don't spell a blank and the text."""
+    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """Ids of both for each text; none of either where they don't spell a blank and the text."""
         spaced = [" " + t for t in texts]
         special = [any(x in t for x in self.first.special) for t in spaced]
         one = iter(self.first.encode([t for t, s in zip(spaced, special) if not s]))
         first = [np.array(self.plain.encode(t, add_special_tokens=False).ids, dtype=np.int64) if s else next(one)[:-1].astype(np.int64) for t, s in zip(spaced, special)]
-        second = [np.array([i for ids in self.second.encode(self._parts(t)) for i in ids], dtype=np.int64) for t in texts]
-        out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for text, a, b in zip(spaced, first, second):
-            want = text.encode()
-            same = len(text) > 1 and b"".join(map(self.first_bytes.__getitem__, a.tolist())) == want and b"".join(map(self.second_bytes.__getitem__, b.tolist())) == want
-            out.append((a, b) if same else None)
-        return out
+        parts = [self._parts(t) for t in texts]
+        coded = iter(self.second.encode([x for own in parts for x in own], num_threads=1))
+        second = [np.array(next(coded) if len(own) == 1 else [i for _ in own for i in next(coded)], dtype=np.int64) for own in parts]
+        want = [t.encode() for t in spaced]
+        for ids, table, sizes, lossless in ((first, self.first_bytes, self.sizes[0], self.first.fast), (second, self.second_bytes, self.sizes[1], None)):
+            every = np.concatenate(ids)
+            ends = np.concatenate(([0], np.cumsum(sizes[every])))[np.cumsum([len(x) for x in ids])]
+            # the fast encoder only cuts bytes, so lengths tell
+            if np.array_equal(ends, np.cumsum([len(w) for w in want])) and (lossless or b"".join(map(table.__getitem__, every.tolist())) == b"".join(want)):
+                continue
+            for k, (x, w) in enumerate(zip(ids, want)):
+                if b"".join(map(table.__getitem__, x.tolist())) != w:
+                    first[k] = second[k] = first[k][:0]
+                    want[k] = b""
+        for k, text in enumerate(texts):
+            if not text:
+                first[k] = second[k] = first[k][:0]
+        return [first, second]
 
 
 def pair(first: str, second: str) -> Pair:
@@ -112,20 +126,46 @@ def aligned(first_sizes: np.ndarray, second_sizes: np.ndarray) -> tuple[np.ndarr
     return group_a, group_b, left, right
 
 
-def spelled(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.ndarray], digits: list[np.ndarray]) -> bytes:
-    """a1,a2|b1;a3|b2,b3: the groups' ids."""
-    marked = []
+def spelled(ids: list[np.ndarray], groups: list[np.ndarray], digits: list[np.ndarray], lengths: list[np.ndarray]) -> tuple[bytes, np.ndarray]:
+    """a1,a2|b1;a3|b2,b3; of all groups, and the end of each group's part."""
+    marked, sizes = [], []
     for side in (0, 1):
         last = np.append(groups[side][1:] != groups[side][:-1], True)
-        marked.append(digits[side][ids[side] + np.where(last, side + 1, 0) * (len(digits[side]) // 3)])
-    order = np.argsort(np.concatenate((2 * groups[0], 2 * groups[1] + 1)), kind="stable")
-    return b"".join(np.concatenate(marked)[order].tolist())[:-1]
+        at = ids[side] + np.where(last, side + 1, 0) * (len(digits[side]) // 3)
+        marked.append(digits[side][at])
+        sizes.append(lengths[side][at])
+    key = np.concatenate((2 * groups[0], 2 * groups[1] + 1))
+    order = np.argsort(key, kind="stable")
+    ends = np.cumsum(np.bincount(key >> 1, weights=np.concatenate(sizes))).astype(np.int64)
+    return b"".join(np.concatenate(marked)[order].tolist()), ends
 
 
 _DOC = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 _BLOCKS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pairs binary, counts binary"
 
 
+def _rows(both: Pair, docs: list, texts: list[str]) -> tuple[list[list], list[np.ndarray]]:
+    """A row and the links' pairs of ids for each text. All texts are worked on at once: byte offsets run on over them, and the end of each is a common cut."""
+    a, b = both.encode(texts)
+    many = np.array([[len(x) for x in a], [len(x) for x in b]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    group_a, group_b, left, right = aligned(both.sizes[0][a], both.sizes[1][b])
+    ends_a = np.cumsum(many[0])
+    groups = np.append(group_a, -1)[ends_a - 1] + 1  # up to the end of each text; the last of an empty one is its predecessor's
+    groups[ends_a == 0] = 0
+    link_ends = np.searchsorted(left, ends_a)
+    said, said_ends = spelled([a, b], [group_a, group_b], both.digits, both.lengths)
+    said_ends = np.concatenate(([0], said_ends))
+    pairs = a[left] << 32 | b[right]
+    rows, links, last, link = [], [], 0, 0
+    for doc, n_a, n_b, group, end in zip(docs, many[0].tolist(), many[1].tolist(), groups.tolist(), link_ends.tolist()):
+        digest = hashlib.sha256(said[said_ends[last] : said_ends[group] - 1]).hexdigest() if n_a else ""
+        rows.append([doc, n_a, n_b, group - last, end - link, digest])
+        links.append(pairs[link:end])
+        last, link = group, end
+    return rows, links
+
+
 def _align(first: str, second: str):
     """Rows (doc_id, text) -> a row for each, with its links as places in its block's table of pairs, and a row with this table for each block."""
 
@@ -137,35 +177,30 @@ def _align(first: str, second: str):
         held, links = 0, []
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate(links) if links else np.empty(0, dtype=np.int64)
-            known, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            cuts = np.cumsum([len(x) for x in links])[:-1] if links else []
-            for row, part in zip(rows, np.split(place.astype(np.uint32), cuts)):
+            place, known = pd.factorize(np.concatenate(links))
+            order = np.argsort(known)
+            rank = np.empty(len(known), dtype=np.uint16 if len(known) <= 1 << 16 else np.uint32)
+            rank[order] = np.arange(len(known))
+            counts = np.bincount(place, minlength=len(known))[order]
+            place = rank[place]
+            for row, part in zip(rows, np.split(place, np.cumsum([len(x) for x in links])[:-1])):
                 row.append(part.tobytes())
             columns = [pa.array([block] * (len(rows) + 1), pa.int64())]
             kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
             columns += [pa.array([row[k] for row in rows] + [None], kind) for k, kind in enumerate(kinds)]
-            columns += [pa.array([None] * len(rows) + [x.tobytes()], pa.binary()) for x in (known, counts.astype(np.int64))]
+            columns += [pa.array([None] * len(rows) + [x.tobytes()], pa.binary()) for x in (known[order], counts.astype(np.int64))]
             return pa.record_batch(columns, names=["block", *_DOC, "links", "pairs", "counts"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                for doc, text, found in zip(ids, texts, both.encode(texts)):
-                    if found is None:
-                        rows.append([doc, 0, 0, 0, 0, ""])
-                        links.append(np.empty(0, dtype=np.int64))
-                    else:
-                        a, b = found
-                        group_a, group_b, left, right = aligned(both.sizes[0][a], both.sizes[1][b])
-                        digest = hashlib.sha256(spelled(found, (group_a, group_b), both.digits)).hexdigest()
-                        rows.append([doc, len(a), len(b), int(group_a[-1]) + 1, len(left), digest])
-                        links.append(a[left] << 32 | b[right])
-                    held += len(text)
-                    if held >= BLOCK_BYTES:
-                        yield flush()
-                        rows, links, held, block = [], [], 0, block + 1
+            for at, end, data, _ in slices(batch.column(1)):
+                part = batch.slice(at, end - at)
+                made, found = _rows(both, part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
+                rows += made
+                links += found
+                held += len(data)
+                if held >= BLOCK_BYTES:
+                    yield flush()
+                    rows, links, held, block = [], [], 0, block + 1
         if rows:
             yield flush()
 
@@ -184,12 +219,13 @@ def _counted(key: tuple, docs: pa.Table, totals: pa.Table) -> pa.Table:
     """A block's documents with what their links' pairs count; totals are the block's pairs, whose order is that of its table."""
     order = np.argsort(totals.column("pair").to_numpy())
     total = totals.column("total").to_numpy()[order]
-    best = totals.column("best").to_numpy()[order]
+    best = (total == totals.column("best").to_numpy()[order]).astype(np.int64)
+    kind = np.uint16 if len(total) <= 1 << 16 else np.uint32
     n_best, sums = [], []
     for links in docs.column("links"):
-        at = np.frombuffer(links.as_py(), dtype=np.uint32)
+        at = np.frombuffer(links.as_py(), dtype=kind)
         sums.append(int(total[at].sum()))
-        n_best.append(int((total[at] == best[at]).sum()))
+        n_best.append(int(best[at].sum()))
     return docs.select(_DOC[:-1]).append_column("n_best", pa.array(n_best, pa.int64())).append_column("count_sum", pa.array(sums, pa.int64())).append_column("groups_sha256", docs.column("groups_sha256"))
 
 
