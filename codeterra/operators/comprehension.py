@@ -6,11 +6,13 @@ its citations name lines that exist; where nothing is kept, or a call fails, the
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeterra.functions import paths, texts
@@ -27,25 +29,91 @@ class FatalError(Exception):
     """A call that no other call would survive, such as a refused key: it ends the job."""
 
 
-def replies(prompts: DataFrame, ask: Ask) -> DataFrame:
-    """prompts(id, prompt) -> (id, reply, error): each prompt is asked once; a failed call leaves its reason. Null prompts are not asked."""
+class BusyError(Exception):
+    """A call that may succeed later: the service is busy, out of order or out of reach. retry_after: the seconds it asks to wait, if it does."""
+
+    def __init__(self, reason: str, retry_after: float | None = None):
+        super().__init__(reason)
+        self.retry_after = retry_after
+
+
+# Calls at once, tries after the first, seconds before the second try (doubled each time), the longest wait that a service may ask for.
+AT_ONCE, RETRIES, FIRST_WAIT, LONGEST_WAIT = 4, 3, 1.0, 30.0
+
+
+def error_of(status: int, reason: str, retry_after: float | None = None) -> Exception:
+    """The error for an HTTP status: 429 and 5xx are tried again, a refused key (401, 403) ends the job, others fail the call."""
+    if status == 429 or status >= 500:
+        return BusyError(reason, retry_after)
+    return FatalError(reason) if status in (401, 403) else RuntimeError(reason)
+
+
+def tried(ask: Ask, prompt: str, retries: int = RETRIES, first_wait: float = FIRST_WAIT, sleep: Callable[[float], None] = time.sleep) -> str:
+    """ask(prompt), again after a wait when it is busy."""
+    for attempt in range(retries + 1):
+        try:
+            return ask(prompt)
+        except BusyError as busy:
+            if attempt == retries:
+                raise
+            asked = busy.retry_after
+            sleep(min(asked, LONGEST_WAIT) if asked and asked > 0 else first_wait * 2**attempt)
+    raise AssertionError("retries is negative")
+
+
+def replies(prompts: DataFrame, ask: Ask, at_once: int = AT_ONCE, retries: int = RETRIES, first_wait: float = FIRST_WAIT, kept: str | None = None, wave: int = 64) -> DataFrame:
+    """prompts(id, prompt) -> (id, reply, error): each distinct prompt is asked once, at most at_once of them at a time; a failed call leaves its reason. Null prompts are not asked.
+
+    With kept, a folder for this model, replies are stored there by the prompt's hash in waves of `wave` prompts, and prompts
+    that it has are not asked: a job that is run again asks only what is missing, a lost task only its wave. Failed calls are not kept.
+    """
+    spark = prompts.sparkSession
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            said, why = [], []
-            for prompt in pdf["prompt"]:
+            for hash_, prompt in zip(pdf["hash"], pdf["prompt"]):
+                said = why = None
                 try:
-                    said.append(ask(prompt) if prompt is not None else None)
-                    why.append(None)
+                    said = tried(ask, prompt, retries, first_wait)
                 except FatalError:
                     raise
                 except Exception as e:  # noqa: BLE001  (whatever a model's client raises)
-                    said.append(None)
-                    why.append(str(e))
-            yield pd.DataFrame({"id": pdf["id"], "reply": said, "error": why})
-
-    kind = prompts.schema["id"].dataType.simpleString()
-    return checkpointed(prompts.select("id", "prompt").mapInPandas(run, f"id {kind}, reply string, error string"))
+                    why = str(e)
+                yield pd.DataFrame({"hash": [hash_], "reply": [said], "error": [why]}).astype(object)
+
+    def asked(rows: DataFrame) -> DataFrame:
+        return checkpointed(rows.repartition(at_once).mapInPandas(run, "hash string, reply string, error string"))
+
+    hashed = prompts.select("id", "prompt", F.sha2("prompt", 256).alias("hash"))
+    todo = checkpointed(hashed.where("prompt is not null").select("hash", "prompt").dropDuplicates(["hash"]))
+    if kept is None:
+        said = asked(todo)
+    else:
+        known = _kept(spark, kept)
+        left = todo if known is None else checkpointed(todo.join(known, "hash", "left_anti"))
+        waves = -(-left.count() // wave)
+        said = None
+        for k in range(waves):
+            part = asked(left.where(F.pmod(F.xxhash64("hash"), F.lit(waves)) == k))
+            part.where("reply is not null").select("hash", "reply").write.mode("append").parquet(kept)
+            failed = part.where("reply is null")
+            said = failed if said is None else said.union(failed)
+        known = _kept(spark, kept)
+        if known is not None:
+            known = known.join(todo, "hash", "left_semi").select("hash", "reply", F.lit(None).cast("string").alias("error"))
+            said = known if said is None else said.union(known)
+    if said is None:
+        return hashed.select("id", F.lit(None).cast("string").alias("reply"), F.lit(None).cast("string").alias("error"))
+    return checkpointed(hashed.join(said, "hash", "left").select("id", "reply", "error"))
+
+
+def _kept(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("hash string, reply string").parquet(folder).dropDuplicates(["hash"])
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _told(answers: DataFrame, plain: DataFrame, key: str, facts: DataFrame, default_path: Column | None, most: int = 4) -> DataFrame:

@@ -1,7 +1,7 @@
 """Dependency graph operators on edges(src, dst): degrees, selections, cycles, reach, and reading order.
 
 The iterative ones deal connected components of at most KERNEL edges to tasks, each solved there at any depth. A larger
-component is solved by joins until nothing changes, with a reliable checkpoint in each round, and is never gathered.
+component is cut into blocks (see blocks.py) and is never gathered.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeterra.operators import blocks
 from codeterra.operators.components import components
 from codeterra.session import checkpointed
 
@@ -186,8 +187,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, blast) of nodes with dependents: how many others depend on it, directly or not."""
-    beyond = lambda rest: closure(rest).where("root <> node").groupBy(F.col("root").alias("node")).agg(F.count("*").alias("blast"))
-    return _by_component(edges, _blast_rows, f"node {_kind(edges)}, blast long", beyond, most)
+    return _by_component(edges, _blast_rows, f"node {_kind(edges)}, blast long", _large_blast, most)
 
 
 def capped(blast: Column, most: int = 2000) -> Column:
@@ -207,46 +207,35 @@ def cycle_list(found: DataFrame, most: int = 50) -> DataFrame:
     return found.join(F.broadcast(sizes), "cycle").groupBy("cycle", "size").agg(F.array_sort(F.collect_list("node")).alias("nodes"))  # `most` rows
 
 
+def _with_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges(src, dst) as edges(a, b) of longs, and (id, node)."""
+    number = (lambda c: F.col(c).cast("long")) if _kind(edges) in ("bigint", "int", "smallint", "tinyint") else F.xxhash64
+    named = edges.where("src <> dst").select(number("src").alias("a"), number("dst").alias("b"), "src", "dst")
+    pairs = F.array(F.struct(F.col("a").alias("id"), F.col("src").alias("node")), F.struct(F.col("b").alias("id"), F.col("dst").alias("node")))
+    ids = named.select(F.explode(pairs).alias("x")).select("x.*").distinct()
+    return checkpointed(named.select("a", "b").distinct()), checkpointed(ids)
+
+
 def _large_cycles(edges: DataFrame) -> DataFrame:
-    """cycles() by joins.
-
-    Nodes without an edge in and one out within what is left are trimmed. Each remaining node takes the smallest node that
-    reaches it as its colour; a colour's own node and all of that colour that reach it back are one component, and the
-    search goes on with the rest.
-    """
-    left = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    found = None
-    while True:
-        before = -1
-        while (size := left.count()) != before:
-            before = size
-            left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            left = checkpointed(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
-        if before == 0:
-            break
-        colour = checkpointed(nodes(left).select("node", F.col("node").alias("colour")))
-        while True:
-            low = left.join(colour, left.src == colour.node).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
-            now = checkpointed(colour.join(low, "node", "left").select("node", F.least("colour", F.coalesce("low", "colour")).alias("colour"), (F.coalesce("low", "colour") < F.col("colour")).alias("changed")))
-            colour = now.select("node", "colour")
-            if now.where("changed").isEmpty():
-                break
-        same = left.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst").where("colour = other")
-        same = checkpointed(same.select("src", "dst", "colour"))
-        back = fresh = checkpointed(colour.where("node = colour").select("node", "colour"))
-        while not fresh.isEmpty():
-            more = fresh.join(same.withColumnRenamed("dst", "node"), ["node", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            fresh = checkpointed(more.join(back, ["node", "colour"], "left_anti"))
-            back = back.union(fresh)
-        done = checkpointed(back.select("node", F.col("colour").alias("cycle")))
-        found = done if found is None else found.union(done)
-        gone = done.select("node")
-        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-        left = checkpointed(left.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if found is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
-    large = found.groupBy("cycle").count().where("count > 1").select("cycle")
-    return found.join(large, "cycle", "left_semi").select("node", "cycle")
+    """cycles() in blocks."""
+    pairs, ids = _with_ids(edges)
+    found = blocks.strong(pairs, strong_components).withColumnRenamed("node", "id").join(ids, "id")
+    first = found.groupBy("name").agg(F.min("node").alias("cycle"))
+    return found.join(first, "name").select("node", "cycle")
+
+
+def _large_blast(edges: DataFrame) -> DataFrame:
+    """blast_radius() in blocks, over the graph with each strong component as one node of its size."""
+    pairs, ids = _with_ids(edges)
+    names = checkpointed(blocks.strong(pairs, strong_components))
+    sizes = checkpointed(names.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("size")))
+    short = checkpointed(blocks._renamed(pairs, names))
+    counts = sizes.select("node", F.col("size").alias("value"))
+    if not short.isEmpty():
+        some = checkpointed(blocks.reach(short, sizes))
+        counts = some.union(counts.join(some.select("node"), "node", "left_anti"))
+    of = ids.join(names.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("name", "id").alias("name"))
+    return of.join(counts.withColumnRenamed("node", "name"), "name").where("value > 1").select("node", (F.col("value") - 1).alias("blast"))
 
 
 def reading_levels(edges: DataFrame, most: int = KERNEL) -> DataFrame:
@@ -257,21 +246,11 @@ def reading_levels(edges: DataFrame, most: int = KERNEL) -> DataFrame:
 
 
 def _large_levels(edges: DataFrame) -> DataFrame:
-    """Levels by joins, a layer a round; null for nodes in or above cycles."""
-    left = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    waiting = checkpointed(nodes(left))
-    out, level = None, 0
-    while True:
-        ready = checkpointed(waiting.join(left.select(F.col("src").alias("node")), "node", "left_anti"))
-        if ready.isEmpty():
-            break
-        now = ready.withColumn("level", F.lit(level))
-        out = now if out is None else out.union(now)
-        waiting = checkpointed(waiting.join(ready, "node", "left_anti"))
-        left = checkpointed(left.join(ready.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        level += 1
-    rest = waiting.withColumn("level", F.lit(None).cast("long"))
-    return rest if out is None else out.select("node", F.col("level").cast("long").alias("level")).union(rest)
+    """Levels in blocks; null for nodes in or above cycles."""
+    pairs, ids = _with_ids(edges)
+    upward = blocks.reversed_edges(pairs)
+    found = blocks.levels(upward, blocks.blocks(upward)).withColumnRenamed("node", "id")
+    return found.join(ids, "id").select("node", F.when(F.col("value") >= 0, F.col("value")).alias("level"))
 
 
 def order_of(levels: DataFrame) -> DataFrame:

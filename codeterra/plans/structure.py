@@ -332,3 +332,21 @@ def git_log(s, d):
     items = t.table(s, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     files = items.select(repo.alias("repo"), (F.col("o_orderkey") * 100 + 2 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"))
     return git.parse_log(heads.union(heads.select("repo", F.col("seq") + 1, F.lit(""))).union(files)).drop("ts")
+
+
+@query(None)
+def order_cycles(s, d):
+    """Cycles of the graph of parts that follow each other in orders, nearly all of which are one component."""
+    return graph.cycles(t.edges(s, d))
+
+
+@query(None)
+def order_levels(s, d):
+    """The same graph's edges from a part to one of a smaller key: levels without a cycle, in one component."""
+    return graph.reading_levels(t.edges(s, d).where("src > dst"))
+
+
+@query(None)
+def order_blast(s, d):
+    """How many parts lead to each, by edges to smaller keys."""
+    return graph.blast_radius(t.edges(s, d).where("src > dst"))

@@ -1,13 +1,17 @@
 """Results kept as Parquet tables by analysis, and what writes do to them.
 
-Tables of one analysis (files, edges, symbols, findings, file_externals) are replaced by dynamic partition overwrite; the
-analysis' own row in `analyses` is written last and marks the rest as whole. Job rows are logs, of which a reader takes the
+Tables of one analysis (files, edges, symbols, findings, file_externals) are written under a new version each time. The
+analysis' own row in `analyses` is written last and names the version of each of its tables, so readers see all of the former
+state or all of the new one, and a write that ends halfway is never seen. Former versions stay until prune(), for readers that
+still have them. Job rows are logs, of which a reader takes the
 last value of each column that is not null. Keyed rows (repos, summaries, messages, reading paths) are appended with a version,
 and readers take the latest of each key; `compact` drops what is outdated.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -53,36 +57,66 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, table: str) -> DataFrame | None:
-        """A table; None before its first write."""
+    def _scan(self, table: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.root}/{table}")
+            rows = self.spark.read.parquet(f"{self.root}/{table}")
+            # a letter before the id, or Spark takes ids of digits for numbers
+            return rows.withColumn("analysis_id", F.substring("analysis", 2, 1 << 30)).drop("analysis") if "analysis" in rows.columns else rows
         except AnalysisException as e:
             if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
+    def read(self, table: str) -> DataFrame | None:
+        """A table, as far as analyses name its rows; None before its first write."""
+        rows = self._scan(table)
+        if rows is None or table not in (*RESULT_TABLES, "analyses"):
+            return rows
+        if table == "analyses":
+            return latest(rows, ("analysis_id",)).drop("version", "versions")
+        heads = self._scan("analyses")
+        if heads is None:
+            return None
+        named = latest(heads, ("analysis_id",)).select("analysis_id", F.col("versions")[table].alias("version"))
+        return rows.join(named, ["analysis_id", "version"], "left_semi").drop("version")
+
     def of(self, table: str, analysis_id: str) -> DataFrame | None:
-        """One analysis' rows: its partition alone is read."""
-        rows = self.read(table)
-        return rows if rows is None else rows.where(F.col("analysis_id") == analysis_id)
+        """One analysis' rows, as they are now and stay for this reader: the partition of their version alone is read."""
+        rows = self._scan(table)
+        if rows is None or table == "analyses":
+            return rows and self.read(table).where(F.col("analysis_id") == analysis_id)
+        version = self._versions(analysis_id).get(table, "")
+        return rows.where((F.col("analysis_id") == analysis_id) & (F.col("version") == version)).drop("version")
+
+    def _versions(self, analysis_id: str) -> dict[str, str]:
+        heads = self._scan("analyses")
+        row = heads and heads.where(F.col("analysis_id") == analysis_id).orderBy(F.desc("version")).select("versions").first()
+        return dict(row["versions"]) if row else {}
 
     def replace_analysis(self, analysis_id: str, tables: dict[str, DataFrame], header: DataFrame) -> None:
-        """Puts the tables in place of the analysis' former ones, then its header row."""
+        """Puts the tables in place of the analysis' former ones, all at once: by its header row. Tables that are not given stay."""
+        version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        versions = self._versions(analysis_id)
         for name in RESULT_TABLES:
             if name in tables:
-                self._replace(name, tables[name], analysis_id)
-        self._replace("analyses", header.withColumn("schema_version", F.lit(SCHEMA_VERSION)), analysis_id)
-
-    def _replace(self, name: str, rows: DataFrame, analysis_id: str) -> None:
-        rows = rows.drop("analysis_id").withColumn("analysis_id", F.lit(analysis_id))
-        path = f"{self.root}/{name}"
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
-        if rows.isEmpty():  # an overwrite without rows touches no partition
-            old = self.of(name, analysis_id)
-            if old is not None and not old.isEmpty():
-                gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/analysis_id={analysis_id}")
-                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+                rows = tables[name].drop("analysis_id", "version").withColumns({"analysis": F.lit(f"a{analysis_id}"), "version": F.lit(version)})
+                rows.write.mode("append").partitionBy("analysis", "version").parquet(f"{self.root}/{name}")
+                versions[name] = version
+        named = F.create_map(*[F.lit(x) for pair in versions.items() for x in pair]) if versions else F.create_map().cast("map<string,string>")
+        self.append("analyses", header.withColumns({"schema_version": F.lit(SCHEMA_VERSION), "analysis_id": F.lit(analysis_id), "version": F.lit(version), "versions": named}))
+
+    def prune(self, analysis_id: str) -> None:
+        """Deletes what the analysis' header no longer names; for when no reader has it any more and no writer is at work."""
+        versions = self._versions(analysis_id)
+        for name in RESULT_TABLES:
+            if self._scan(name) is not None:
+                rows = self.spark.read.parquet(f"{self.root}/{name}").where((F.col("analysis") == f"a{analysis_id}") & (F.col("version") != versions.get(name, "")))
+                self._delete([r["file_path"] for r in rows.select("_metadata.file_path").distinct().collect()])  # one analysis' files
+
+    def _delete(self, files: list[str]) -> None:
+        for name in files:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
 
     def append(self, table: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{table}")
@@ -96,12 +130,22 @@ class Store:
         return None if rows is None else latest(rows, KEYS[table])
 
     def compact(self, table: str) -> None:
-        """Rewrites a keyed table with its current rows only, beside the old one, which is then let go."""
-        rows = self.current(table)
-        if rows is not None:
-            made = f"{self.root}/{table}-compact"
-            rows.write.mode("overwrite").parquet(made)
-            self.spark.read.parquet(made).write.mode("overwrite").parquet(f"{self.root}/{table}")
+        """Adds the current rows of a keyed table, or of the job log, as new files and lets go of the files they were in.
+
+        Rows appended meanwhile are in other files and stay. Until the old files are gone, readers find some rows twice, which their
+        version makes one; ended halfway, that is what remains.
+        """
+        rows = self._scan(table)
+        if rows is None:
+            return
+        before = rows.inputFiles()
+        rows = self.spark.read.schema(rows.schema).parquet(*before)
+        if table == "jobs":
+            made = merged_log(rows, ("job",)).join(rows.groupBy("job").agg(F.max("version").alias("version")), "job").select(*rows.columns)
+        else:
+            made = latest(rows, KEYS[table]).select(*rows.columns)
+        made.write.mode("append").parquet(f"{self.root}/{table}")
+        self._delete(before)
 
     def upsert_repo(self, host: str, owner: str, name: str, version: int) -> str:
         """The repository's id: that of its first upsert, the same whoever asks."""

@@ -47,11 +47,17 @@ def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFram
     return requests.groupBy("key").applyInPandasWithState(fold, schema, "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _with_clear(requests: DataFrame) -> DataFrame:
+    clear = F.coalesce(F.col("clear"), F.lit(False)) if "clear" in requests.columns else F.lit(False)
+    return requests.select("key", "id", "ts", clear.alias("clear"))
+
+
 def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """The same over a table, (key, id, ts, allowed, retry_after).
 
     Rows go by key, in order of time, through tasks that hold no more than one key's log of at most limit times, so a hot key's
-    rows are streamed and never gathered. Rows without a key are one key's, those without a time are left out.
+    rows are streamed and never gathered. Rows without a key are one key's, those without a time are left out. A row
+    whose column clear, if there is one, is true empties the key's log and is not returned.
     """
     window = seconds * 1_000_000
     schema = requests.select("key", "id", "ts").schema.add("allowed", "boolean").add("retry_after", "long")
@@ -60,15 +66,16 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
         last, log = object(), []
         for batch in batches:
             allowed, waits = [], []
-            for key, when in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()):
+            for key, when, clear in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist(), batch.column(3).to_pylist()):
                 if key != last:
                     last, log = key, []
-                ok, log, wait = decide(log, when, limit, window)
+                ok, log, wait = (None, [], None) if clear else decide(log, when, limit, window)
                 allowed.append(ok)
                 waits.append(wait)
-            yield pa.record_batch([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(waits, pa.int64())], names=[*batch.schema.names, "allowed", "retry_after"])
+            made = pa.record_batch([*batch.columns[:3], pa.array(allowed, pa.bool_()), pa.array(waits, pa.int64())], names=[*batch.schema.names[:3], "allowed", "retry_after"])
+            yield made.filter(made.column(3).is_valid())
 
-    return requests.select("key", "id", "ts").where("ts is not null").repartition("key").sortWithinPartitions("key", "ts", "id").mapInArrow(fold, schema)
+    return _with_clear(requests).where("ts is not null").repartition("key").sortWithinPartitions("key", "ts", "id").mapInArrow(fold, schema)
 
 
 def sessions(requests: DataFrame, gap_seconds: int) -> DataFrame:
