@@ -174,17 +174,6 @@ def _kind(edges: DataFrame) -> str:
     return edges.schema["src"].dataType.simpleString()
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(root, node): node reaches root by one edge or more; semi-naive, each round joins what the last one found."""
-    known = fresh = checkpointed(edges.select(F.col("dst").alias("root"), F.col("src").alias("node")).distinct())
-    step = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
-    while not fresh.isEmpty():
-        found = fresh.join(step, "node").select("root", F.col("next").alias("node")).distinct()
-        fresh = checkpointed(found.join(known, ["root", "node"], "left_anti"))
-        known = known.union(fresh)
-    return known
-
-
 def blast_radius(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, blast) of nodes with dependents: how many others depend on it, directly or not."""
     return _by_component(edges, _blast_rows, f"node {_kind(edges)}, blast long", _large_blast, most)

@@ -9,7 +9,7 @@ from codeterra.operators import blocks, graph
 from tests.conftest import frame
 
 
-def rambling(seed, n=240):
+def rambling(seed, n=140):
     """A long path with short ways around, trees on it, and cycles, by names in no order."""
     rng = random.Random(seed)
     name = list(range(n))
@@ -41,7 +41,7 @@ def test_strong_components(spark, told, merged):
     edges, pairs = told
     want = graph._cycle_rows(pd.DataFrame(edges, columns=["src", "dst"]))
     groups = {}
-    for r in blocks.strong(pairs, graph.strong_components, 150, merged).collect():
+    for r in blocks.strong(pairs, graph.strong_components, 200, merged).collect():
         groups.setdefault(r["name"], set()).add(r["node"])
     assert sorted(map(sorted, groups.values())) == sorted(sorted(x) for _, x in want.groupby("cycle")["node"])
 
@@ -50,12 +50,12 @@ def test_levels_and_reach(spark, told):
     edges, pairs = told
     pdf = pd.DataFrame(edges, columns=["src", "dst"])
     upward = blocks.reversed_edges(pairs)
-    got = {r["node"]: r["value"] for r in blocks.levels(upward, blocks.blocks(upward, 150)).collect()}
+    got = {r["node"]: r["value"] for r in blocks.levels(upward, blocks.blocks(upward, 200)).collect()}
     assert got == {n: -1 if pd.isna(v) else int(v) for n, v in zip(*graph._level_rows(pdf[pdf.src != pdf.dst])[["node", "level"]].to_numpy(dtype=object).T)}
     down = frame(spark, [(a, b) for a, b in edges if a < b], "a long, b long")
     pdf = pd.DataFrame([e for e in edges if e[0] < e[1]], columns=["src", "dst"])
     sizes = frame(spark, [], "node long, size long")
-    got = {r["node"]: r["value"] - 1 for r in blocks.reach(down, sizes, 150, 64).collect() if r["value"] > 1}
+    got = {r["node"]: r["value"] - 1 for r in blocks.reach(down, sizes, 200, 64).collect() if r["value"] > 1}
     assert got == dict(graph._blast_rows(pdf).itertuples(index=False))
 
 
