@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeterra.functions import texts
+from codeterra.operators.trigrams import TrigramIndex
 
 LEAST = 0.1
 
@@ -25,6 +26,12 @@ def scored(rows: DataFrame, by: str, question: str, n: int, kind: str) -> DataFr
     return found.where(F.col("score") > LEAST).orderBy(F.desc("score"), "path", "line", "text").limit(n)
 
 
+def indexed(index: TrigramIndex, question: str, n: int, kind: str, owner: object = None) -> DataFrame:
+    """What scored() finds in the rows that the index was built of, read from the lists of the question's trigrams."""
+    found = index.search(question if question.strip() else "", n, LEAST, ["path", "line", "text"], owner)
+    return found.select(F.lit(kind).alias("kind"), "row.path", F.col("row.line").cast("long").alias("line"), "row.text", "score")
+
+
 def evidence(parts: list[DataFrame], n: int = 20) -> DataFrame:
     """The best n of several searches."""
     every = parts[0]

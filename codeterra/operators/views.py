@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeterra.operators import graph, search
+from codeterra.operators import graph, search, trigrams
 from codeterra.operators.grounding import CLAIMS, points_of
 
 
@@ -103,18 +103,50 @@ def digest(rows: DataFrame) -> DataFrame:
     return rows.select("headline", F.coalesce("detail.purpose", "points", none).alias("purpose"), *rest, "model")
 
 
+def _named(symbols: DataFrame) -> DataFrame:
+    return symbols.select("path", "line", F.concat_ws(" ", "kind", "name").alias("text"), "name")
+
+
+def _paths(files: DataFrame) -> DataFrame:
+    return files.select("path", F.lit(1).alias("line"), F.col("path").alias("text"))
+
+
+def _points(summaries: DataFrame, *more: str) -> DataFrame:
+    return points_of(summaries.where(F.col("scope").isin("file", "module")).select(F.col("key").alias("path"), "points", *more))
+
+
+def _best(parts: list[DataFrame], most: int) -> DataFrame:
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.orderBy(F.desc("score"), "kind", "path", "line").limit(most)
+
+
 def evidence(files: DataFrame, symbols: DataFrame, summaries: DataFrame | None, user_id, question: str, most: int = 20) -> DataFrame:
     """(kind, path, line, text, score) of the best matches among symbols, paths and this user's summary points.
 
     Nothing is found for a blank question, nor summaries without a user; other users' summaries are never read.
     """
     question = question.strip()
-    named = symbols.select("path", "line", F.concat_ws(" ", "kind", "name").alias("text"), "name")
-    parts = [search.scored(named, "name", question, 20, "symbol"), search.scored(files.select("path", F.lit(1).alias("line"), F.col("path").alias("text")), "text", question, 15, "file")]
+    parts = [search.scored(_named(symbols), "name", question, 20, "symbol"), search.scored(_paths(files), "text", question, 15, "file")]
     if summaries is not None and user_id is not None:
-        own = summaries.where((F.col("user_id") == user_id) & F.col("scope").isin("file", "module")).select(F.col("key").alias("path"), "points")
-        parts.append(search.scored(points_of(own), "text", question, 15, "point").where("line is not null"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.orderBy(F.desc("score"), "kind", "path", "line").limit(most)
+        own = _points(summaries.where(F.col("user_id") == user_id))
+        parts.append(search.scored(own, "text", question, 15, "point").where("line is not null"))
+    return _best(parts, most)
+
+
+def index_evidence(files: DataFrame, symbols: DataFrame, summaries: DataFrame | None, root: str) -> None:
+    """Stores below root, a new folder, what indexed_evidence() searches; summary points by their user."""
+    trigrams.build(_named(symbols), "name", f"{root}/symbols")
+    trigrams.build(_paths(files), "text", f"{root}/files")
+    if summaries is not None:
+        trigrams.build(_points(summaries, "user_id"), "text", f"{root}/points", owner="user_id")
+
+
+def indexed_evidence(spark: SparkSession, root: str, user_id, question: str, most: int = 20, points: bool = True) -> DataFrame:
+    """What evidence() finds, from the index below root; points is false where it was built without summaries."""
+    question, at = question.strip(), lambda name: trigrams.TrigramIndex(spark, f"{root}/{name}")
+    parts = [search.indexed(at("symbols"), question, 20, "symbol"), search.indexed(at("files"), question, 15, "file")]
+    if points and user_id is not None:
+        parts.append(search.indexed(at("points"), question, 15, "point", user_id).where("line is not null"))
+    return _best(parts, most)

@@ -14,6 +14,7 @@ from codeterra.plans import tables as t
 from codeterra.plans.oracles import EDGES, FILES
 from codeterra.plans.sources import SOURCES_SQL, sources
 from codeterra.plans.structure import FOUND, _lines, query
+from codeterra.session import checkpointed, drop_folder, shared_folder
 from codeterra.sources import git
 from codeterra.streaming import limits
 
@@ -286,13 +287,30 @@ def _scored(kind: str, rows: str, by: str, question: str, n: int) -> str:
     return f"SELECT * FROM (SELECT '{kind}' AS kind, path, line, text, {score} AS score FROM ({rows})) WHERE score > 0.1 ORDER BY score DESC, path, line, text LIMIT {n}"
 
 
-@query(f"""WITH {_SUMMARIES}, a AS ({_scored("symbol", "SELECT p_brand AS path, CAST(p_partkey AS BIGINT) AS line, 'function ' || p_name AS text, p_name AS by_ FROM part", "by_", "blue supplier ring", 20)}), b AS ({_scored("file", "SELECT s_name AS path, CAST(1 AS BIGINT) AS line, s_name AS text FROM supplier", "text", "blue supplier ring", 15)}),
+_EVIDENCE = f"""WITH {_SUMMARIES}, a AS ({_scored("symbol", "SELECT p_brand AS path, CAST(p_partkey AS BIGINT) AS line, 'function ' || p_name AS text, p_name AS by_ FROM part", "by_", "blue supplier ring", 20)}), b AS ({_scored("file", "SELECT s_name AS path, CAST(1 AS BIGINT) AS line, s_name AS text FROM supplier", "text", "blue supplier ring", 15)}),
 c AS ({_scored("point", "SELECT key AS path, CAST(key AS BIGINT) + 1 AS line, text FROM sm WHERE user_id = 4 AND scope <> 'repo'", "text", "blue supplier ring", 15)})
-SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY score DESC, kind, path, line LIMIT 20""")
-def owned_evidence(s, d):
+SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY score DESC, kind, path, line LIMIT 20"""
+
+
+def _sought(s, d):
     symbols = t.table(s, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("line"), F.lit("function").alias("kind"), F.col("p_name").alias("name"))
     files = t.table(s, d, "supplier").select(F.col("s_name").alias("path"))
-    return views.evidence(files, symbols, _summaries(s, d), 4, " blue supplier ring ")
+    return files, symbols, _summaries(s, d)
+
+
+@query(_EVIDENCE)
+def owned_evidence(s, d):
+    return views.evidence(*_sought(s, d), 4, " blue supplier ring ")
+
+
+@query(_EVIDENCE)
+def indexed_evidence(s, d):
+    """The same from an index that is built of the tables first, and deleted once the 20 rows are there."""
+    root = shared_folder(s)
+    views.index_evidence(*_sought(s, d), root)
+    found = checkpointed(views.indexed_evidence(s, root, 4, " blue supplier ring "))
+    drop_folder(s, root)
+    return found
 
 
 @query(f"""WITH {FILES}, m AS (SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'Not read: binary' ELSE coalesce(language, 'unknown') || ' file of ' || loc || ' lines' || CASE WHEN doc_id % 4 = 0 THEN ', 1 declared' ELSE '' END END AS headline,
