@@ -10,6 +10,7 @@ and readers take the latest of each key; `compact` drops what is outdated.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -18,10 +19,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeterra.session import drop_folder, shared_folder
+
 RESULT_TABLES = ("files", "edges", "symbols", "findings", "file_externals")
 SCHEMA_VERSION = 1
 #: Job states that are final.
 ENDED = ("done", "failed")
+#: Files of the job log that a tail reads at a time.
+STEPS = 1000
 
 KEYS: dict[str, tuple[str, ...]] = {
     "repos": ("host", "owner", "name"),
@@ -178,6 +183,45 @@ class Store:
         run = steps.writeStream.foreachBatch(lambda rows, _: handle(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
 
+    def tail(self, job: str, handle: Callable[[dict[str, object]], None], seconds: float | None = None, trigger: str = "1 second") -> bool | None:
+        """Hands on the job's state as it stands, then each later step when it is written, in order of version; ends by itself once the job has.
+
+        True where the job ended, False where `seconds` passed before, None for a job that nobody knows. Steps hold what was
+        given, null else. Whoever lost a tail calls it again and starts from the state of then. A log that is compacted meanwhile
+        may give several steps as one, never one twice. The driver holds one trigger's steps of this job and the versions handed on.
+        """
+        now = self.read("jobs")
+        mine = now and now.where(F.col("job") == job)
+        state = mine and merged_log(mine, ("job",)).join(mine.groupBy("job").agg(F.max("version").alias("version")), "job").first()
+        if not state:
+            return None
+        handle(state.asDict())
+        if state["status"] in ENDED:
+            return True
+        handed, ended = {state["version"]}, threading.Event()
+
+        def batch(rows: DataFrame, _: int) -> None:
+            for step in sorted(rows.collect(), key=lambda r: r["version"]):  # one job's steps of one trigger
+                if step["version"] not in handed and not ended.is_set():
+                    handed.add(step["version"])
+                    handle(step.asDict())
+                    if step["status"] in ENDED:
+                        ended.set()
+
+        log = self.spark.readStream.schema(now.schema).option("maxFilesPerTrigger", STEPS).option("ignoreMissingFiles", "true").parquet(f"{self.root}/jobs")
+        later = log.where((F.col("job") == job) & (F.col("version") > state["version"]))
+        folder = shared_folder(self.spark)
+        run = later.writeStream.foreachBatch(batch).option("checkpointLocation", folder).trigger(processingTime=trigger).start()
+        until = None if seconds is None else time.monotonic() + seconds
+        try:
+            while not ended.is_set() and (until is None or time.monotonic() < until):
+                if run.awaitTermination(0.2):
+                    break
+        finally:
+            run.stop()
+            drop_folder(self.spark, folder)
+        return ended.is_set()
+
 
 def cached(analyses: DataFrame, host: str, owner: str, name: str, schema_version: int = SCHEMA_VERSION) -> DataFrame:
     """The latest finished analysis of a repository under this schema, or no row."""

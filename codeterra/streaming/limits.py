@@ -25,7 +25,8 @@ def decide(log: list[int], now: int, limit: int, window: int) -> tuple[bool, lis
 def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """A stream of requests(key, id, ts) -> (key, id, ts, allowed, retry_after); state is at most limit times per key, dropped when the window has passed.
 
-    A key's rows of one trigger are decided in order of time, so they are held at once: the source's trigger limits bound them.
+    A row whose column clear, if there is one, is true empties its key's log and is not returned. Rows without a time are left out. A key's rows of one trigger are decided in order of time, so they are held at once: the source's trigger limits bound them.
+    Logs end by the clock, so such a query runs on until it is stopped, with the trigger availableNow too.
     """
     window = seconds * 1_000_000
 
@@ -36,15 +37,19 @@ def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFram
         log = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
         out = []
-        for when in pdf["ts"].astype("datetime64[us]").astype("int64"):
-            allowed, log, wait = decide(log, when, limit, window)
+        for when, clear in zip(pdf["ts"].astype("datetime64[us]").astype("int64"), pdf["clear"]):
+            allowed, log, wait = (None, [], 0) if clear else decide(log, when, limit, window)
             out.append((allowed, wait))
-        yield pdf[["key", "id", "ts"]].assign(allowed=[a for a, _ in out], retry_after=[w for _, w in out])
-        state.update((log,))
-        state.setTimeoutDuration(seconds * 1000)
+        made = pdf[["key", "id", "ts"]].assign(allowed=[a for a, _ in out], retry_after=[w for _, w in out])
+        yield made[~pdf["clear"].astype(bool)].astype({"allowed": bool})
+        if log:
+            state.update((log,))
+            state.setTimeoutDuration(seconds * 1000)
+        elif state.exists:
+            state.remove()
 
     schema = requests.select("key", "id", "ts").schema.add("allowed", "boolean").add("retry_after", "long")
-    return requests.groupBy("key").applyInPandasWithState(fold, schema, "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _with_clear(requests).where("ts is not null").groupBy("key").applyInPandasWithState(fold, schema, "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _with_clear(requests: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """One local session for all tests."""
 
+import time
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,13 @@ def spark(tmp_path_factory):
 
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
+
+
+def run_until(run, done, seconds=90):
+    """Stops a streaming query that would not end by itself once done() is true."""
+    end = time.time() + seconds
+    while not done() and time.time() < end and run.isActive:
+        time.sleep(0.3)
+    failed = run.exception()
+    run.stop()
+    assert failed is None, failed

@@ -9,7 +9,7 @@ from codeterra.functions import paths, texts
 from codeterra.operators import graph, inventory, resolve, security
 from codeterra.sources import git
 from codeterra.streaming import limits
-from tests.conftest import frame
+from tests.conftest import frame, run_until
 
 
 def one(spark, column):
@@ -134,6 +134,6 @@ def test_rate_limit_does_not_record_denials(spark, tmp_path):
     assert {(r["key"], r["id"], r["allowed"], r["retry_after"]) for r in limits.rate_limit(rows, 2, 60).collect()} == want
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = limits.rate_limit_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 2, 60)
-    run = stream.writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    run.awaitTermination(120)
+    run = stream.writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").start()
+    run_until(run, lambda: spark.table("decided").count() == len(want))
     assert {(r["key"], r["id"], r["allowed"], r["retry_after"]) for r in spark.table("decided").collect()} == want

@@ -1,6 +1,8 @@
 """What stays true when writers, readers, models and limits meet: replaced analyses, compacted logs, calls that are tried again."""
 
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from codeterra import store
 from codeterra.operators import comprehension
 from codeterra.streaming import limits
-from tests.conftest import frame
+from tests.conftest import frame, run_until
 
 
 @pytest.fixture
@@ -117,3 +119,41 @@ def test_a_cleared_log_counts_anew(spark):
     rows = frame(spark, events, "key string, id int, s int, clear boolean").select("key", "id", F.timestamp_seconds("s").alias("ts"), "clear")
     want = {(1, True), (2, True), (3, False), (5, True), (7, True)}
     assert {(r["id"], r["allowed"]) for r in limits.rate_limit(rows, 2, 5).collect()} == want
+
+
+def test_a_tail_ends_with_its_job(spark, kept):
+    kept.progress("j", 1, status="running", percent=5)
+    kept.progress("j", 2, stage="parse", percent=20)
+    kept.progress("other", 1, status="done", percent=100)
+    seen = []
+    going = threading.Thread(target=lambda: seen.append(kept.tail("j", lambda step: seen.append((step["version"], step["status"], step["percent"])), 90)))
+    going.start()
+    while not seen:  # the state as it stands
+        time.sleep(0.1)
+    kept.progress("other", 2, status="failed")
+    kept.progress("j", 4, percent=60)
+    kept.compact("jobs")  # the log's files change below the tail
+    kept.progress("j", 5, percent=80)
+    kept.finish("j", 6)
+    going.join(100)
+    assert seen[0] == (2, "running", 20) and seen[-2:] == [(6, "done", 100), True]
+    versions = [x[0] for x in seen[:-1]]
+    assert versions == sorted(set(versions)) and {4, 5, 6} <= set(versions)
+    # whoever comes later gets the end alone, whoever lost a tail the state of then; nobody waits for a job that isn't there
+    late = []
+    assert kept.tail("j", lambda step: late.append((step["version"], step["status"]))) is True and late == [(6, "done")]
+    kept.progress("slow", 1, status="running")
+    assert kept.tail("slow", lambda step: None, 3) is False and kept.tail("nobody", lambda step: None) is None
+
+
+def test_a_streams_log_is_cleared(spark, tmp_path):
+    at = [(k, f"2024-01-01 00:00:{k:02d}", k == 3) for k in range(6)]
+    rows = frame(spark, at, "id long, at string, clear boolean").select(F.lit("k").alias("key"), "id", F.to_timestamp("at").alias("ts"), "clear")
+    decided = lambda df: sorted((r["id"], r["allowed"], r["retry_after"]) for r in df.collect())
+    for n, part in enumerate((rows.where("id < 3"), rows.where("id >= 3"))):  # the log is kept, then cleared, over two batches
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = limits.rate_limit_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 1, 60)
+        run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").start()
+        run_until(run, lambda: any(p["numInputRows"] for p in run.recentProgress))
+    got = decided(spark.read.parquet(f"{tmp_path}/out"))
+    assert got == decided(limits.rate_limit(rows, 1, 60)) and [x[:2] for x in got] == [(0, True), (1, False), (2, False), (4, True), (5, False)]
