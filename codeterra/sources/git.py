@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import subprocess
 import tempfile
 from collections.abc import Iterator
@@ -14,10 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeterra.functions.regexes import portable
-from codeterra.operators.inventory import MAX_BYTES, SKIPPED_FILES, SKIPPED_FOLDERS
+from codeterra.operators.inventory import MAX_BYTES
+from codeterra.session import checkpointed
+from codeterra.sources.folder import FolderSource
 
 MAX_FILES = 50_000
-_LEFT_OUT = re.compile(SKIPPED_FILES)
+#: Bytes of files that a task reads, about.
+TASK_BYTES = 64 << 20
 _MARK = "\x01"
 
 # Hosts that may be cloned from, and what a part of a name may hold.
@@ -126,26 +128,25 @@ def clone(url: str, parent: str, depth: int = 200, checkout: str | None = None,
     return Clone(folder, head(), head("--abbrev-ref"))
 
 
-def _listed(root: str, most: int) -> Iterator[tuple[str, int]]:
-    found = 0
-    for folder, folders, files in os.walk(root):
-        folders[:] = sorted(f for f in folders if f not in SKIPPED_FOLDERS and not os.path.islink(os.path.join(folder, f)))
-        for name in sorted(files):
-            full = os.path.join(folder, name)
-            if os.path.islink(full) or not os.path.isfile(full) or _LEFT_OUT.search(name):
-                continue
-            if found == most:
-                return
-            found += 1
-            yield os.path.relpath(full, root), os.path.getsize(full)
+def listed(spark: SparkSession, root: str, most: int = MAX_FILES) -> DataFrame:
+    """(path, bytes) of the first `most` files below root, a folder's own files before those of its folders, each by name."""
+    spark.dataSource.register(FolderSource)
+    names = checkpointed(spark.read.format("repository_folder").load(root))
+    if names.count() <= most:
+        return names
+    # a folder's mark comes after a file's, so arrays of marked names are in that order
+    steps = F.split("path", "/")
+    place = F.transform(steps, lambda x, k: F.concat(F.when(k == F.size(steps) - 1, "0").otherwise("1"), x))
+    return names.orderBy(place).limit(most)
 
 
 def tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_files: int = MAX_FILES) -> DataFrame:
     """(path, bytes, content binary) of files below root, which executors must see; dotfiles and empty files included, links, generated folders, lock files and minified ones left out.
 
-    Names and sizes, max_files at most, are listed on the driver; tasks read the files, but none of more than max_bytes.
+    Tasks list names and sizes, of which max_files at most are taken, and read the files, but none of more than max_bytes.
     """
-    names = list(_listed(root, max_files))
+    names = listed(spark, root, max_files)
+    size = names.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.when(F.col("bytes") <= max_bytes, F.col("bytes"))), F.lit(0)).alias("bytes")).first()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +161,7 @@ def tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, max_files:
                         blobs.append(f.read())
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(blobs, pa.binary())], names=["path", "bytes", "content"])
 
-    listed = spark.createDataFrame(names, "path string, bytes long")
-    return listed.repartition(max(1, len(names) // 512)).mapInArrow(read, "path string, bytes long, content binary")
+    return names.repartition(max(1, size["files"] // 512, size["bytes"] // TASK_BYTES)).mapInArrow(read, "path string, bytes long, content binary")
 
 
 def go_module(files: DataFrame) -> str | None:
