@@ -74,7 +74,7 @@ SELECT doc_id, list_reduce(list_filter(string_split(messy, '/'), lambda x: x NOT
     "unresolved_count": f"WITH {_IMPORTS} SELECT count(*) FILTER (outcome = 'unresolved') AS unresolved FROM resolved",
     "incremental_reuse": f"WITH {FILES}, {_PREVIOUS} SELECT path, hash FROM files f WHERE EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.hash = f.hash)",
     "incremental_changed": f"WITH {FILES}, {_PREVIOUS} SELECT path, hash FROM files f WHERE NOT EXISTS (SELECT 1 FROM previous p WHERE p.path = f.path AND p.hash = f.hash)",
-    "merged_edges": f"WITH {EDGES} SELECT src, dst, 'import' AS kind, CAST(CASE WHEN src % 3 <> 0 THEN dst % 50 ELSE dst % 70 + 1 END AS INT) AS line, CASE WHEN src % 3 <> 0 THEN 0 ELSE 1 END AS old FROM edges WHERE src % 3 <> 0 OR src % 2 = 0",
+    "merged_edges": f"WITH {EDGES} SELECT src, dst, 'import' AS kind, CAST(CASE WHEN src % 3 <> 0 THEN dst % 50 ELSE dst % 70 + 1 END AS INT) AS line, CASE WHEN src % 3 <> 0 THEN 0 ELSE 1 END AS old FROM edges",
     "merged_externals": "SELECT o_orderpriority AS specifier, count(*) AS count FROM orders GROUP BY 1",
     "upsert_latest": "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "trigram_topk": "SELECT * FROM " + _search("part", "part", "p_partkey", "p_name", "blue ring bolt", 20),

@@ -179,9 +179,10 @@ def grounded_claims(s, d):
     return grounding.keep_grounded(found, files, "id").select("id", _claims_text(F.col("claims")).alias("claims"))
 
 
-@query("SELECT conv_id AS id, CASE WHEN count(*) FILTER (turn % 2 = 0) > 0 THEN string_agg(role, ' ' ORDER BY turn) FILTER (turn % 2 = 0) ELSE 'no grounded answer' END AS answer FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS id, CASE WHEN count(*) FILTER (role <> 'user') > 0 THEN string_agg(text, ' ' ORDER BY turn, text) FILTER (role <> 'user') ELSE 'no grounded answer' END AS answer FROM conversations GROUP BY 1")
 def short_answers(s, d):
-    one = F.when(F.col("turn") % 2 == 0, F.struct("turn", F.col("role").alias("text")))
+    """What others than the user say in each conversation, as one answer."""
+    one = F.when(F.col("role") != "user", F.struct("turn", "text"))
     rows = t.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("claims"))
     return rows.select(F.col("conv_id").alias("id"), reading.short_answer(F.col("claims")).alias("answer"))
 
@@ -412,11 +413,11 @@ def comprehension_modules(s, d):
     return _comprehension(s, d).modules.select("module", "files", "headline", "source")
 
 
-@query("SELECT conv_id AS id, string_agg(role || ':' || turn || ' t' || turn, '|' ORDER BY turn) AS first FROM conversations WHERE turn = 0 GROUP BY 1")
+@query("SELECT conv_id || '-' || turn AS id, min(role) || ':' || turn || ' t' || turn AS first FROM conversations GROUP BY conv_id, turn")
 def question_answers(s, d):
-    """Questions on the first turn of each conversation; the model repeats the first piece of evidence."""
+    """A question on each turn of each conversation; the model repeats the first piece of evidence."""
     shown = F.struct(F.col("turn").alias("line"), F.col("role").alias("path"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("text"))
-    rows = t.table(s, d, "conversations").where("turn = 0").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(shown)).alias("evidence"))
+    rows = t.table(s, d, "conversations").groupBy(F.concat_ws("-", "conv_id", "turn").alias("id")).agg(F.array_sort(F.collect_list(shown)).alias("evidence"))
     rows = rows.withColumn("question", F.lit("why")).withColumn("history", F.array().cast("array<struct<question:string,answer:string>>"))
     files = s.createDataFrame([("src/m1/f1.py", 9)], "path string, loc int")
     found = comprehension.answer(rows, files, _echo)
