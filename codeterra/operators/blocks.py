@@ -271,7 +271,7 @@ def _local_components(components: Callable[[list[list[int]]], list[list[int]]]):
                 region = Region(row["nodes"], row["guests"], row["sources"], row["targets"])
                 found = [c for c in components(region.following()) if len(c) > 1]
                 of = np.array([x for c in found for x in c], dtype=np.int64)
-                name = np.array([min(c) for c in found for _ in c], dtype=np.int64)
+                name = np.repeat(np.array([min(c) for c in found], dtype=np.int64), [len(c) for c in found])
                 yield pa.record_batch([pa.array(region.nodes[of]), pa.array(region.nodes[name])], names=["node", "name"])
 
     return run

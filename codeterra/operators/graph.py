@@ -6,6 +6,8 @@ component is cut into blocks (see blocks.py) and is never gathered.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +18,13 @@ from codeterra.operators.components import components
 from codeterra.session import checkpointed
 
 #: Edges of the largest component that one task solves.
-KERNEL = 100_000
-#: Nodes whose reach is counted at a time.
-BITS = 1 << 13
+KERNEL = 1_000_000
+#: Edges of small components that are dealt to one task.
+GROUP = 100_000
+#: Bits of reach that a task holds at a time: 64 MB.
+BITS = 1 << 29
+#: Nodes times edges of a component whose reach one task counts; of larger ones each task counts a part.
+REACH = 10**11
 
 
 def first_edges(edges: DataFrame) -> DataFrame:
@@ -64,16 +70,26 @@ def _short(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("src", "dst").distinct()
 
 
-def _by_component(edges: DataFrame, kernel, schema: str, beyond, most: int) -> DataFrame:
-    """kernel over connected components of at most `most` edges, several to a task; beyond(edges) for the larger ones, by joins."""
+def _by_component(edges: DataFrame, kernel, schema: str, beyond, most: int, reach: int | None = None) -> DataFrame:
+    """kernel over connected components of at most `most` edges, several to a task; beyond(edges) for the larger ones, by joins.
+
+    With reach, a component of more nodes times edges than that is given to several tasks, each with its number and theirs.
+    """
     edges = checkpointed(_short(edges).select("*", F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v")))
     low = components(edges.select("u", "v"))
     edges = edges.join(low.withColumnRenamed("node", "u"), "u", "left").select("src", "dst", F.coalesce("low", "u").alias("low"))
     sizes = edges.groupBy("low").agg(F.count("*").alias("n"))
+    if reach:
+        nodes_in = low.groupBy("low").agg(F.count("*").alias("nodes"))
+        sizes = sizes.join(nodes_in, "low", "left").withColumn("parts", F.floor(F.coalesce("nodes", "n") * F.col("n") / reach) + 1).drop("nodes")
     edges = checkpointed(edges.join(sizes, "low"))
     small, large = edges.where(F.col("n") <= most), edges.where(F.col("n") > most)
-    groups = max(1, -(-small.count() // most))
-    out = small.select(F.pmod(F.xxhash64("low"), F.lit(groups)).alias("group"), "src", "dst").groupBy("group").applyInPandas(kernel, schema)
+    if reach:
+        small = small.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    groups = max(1, -(-small.count() // GROUP))
+    keys = ["low", "part", "parts"] if reach else ["low"]
+    dealt = small.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"), *keys, "src", "dst")
+    out = dealt.groupBy("group").applyInPandas(kernel, schema)
     return out if large.isEmpty() else out.union(beyond(large.select("src", "dst")))
 
 
@@ -117,40 +133,71 @@ def strong_components(out: list[list[int]]) -> list[list[int]]:
                 if path:
                     low[path[-1][0]] = min(low[path[-1][0]], low[node])
                 if low[node] == order[node]:
-                    at = stack.index(node) if stack[-1] != node else len(stack) - 1
-                    found.append(stack[at:])
-                    for x in stack[at:]:
-                        held[x] = False
-                    del stack[at:]
+                    component = []
+                    while not component or component[-1] != node:
+                        component.append(stack.pop())
+                        held[component[-1]] = False
+                    found.append(component)
     return found
 
 
 def _cycle_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes, out, _ = _numbered(pdf)
-    rows = [(nodes[x], nodes[min(c)]) for c in strong_components(out) if len(c) > 1 for x in c]
-    return pd.DataFrame({"node": [r[0] for r in rows], "cycle": [r[1] for r in rows]}).astype(pdf["src"].dtype)
+    found = [c for c in strong_components(out) if len(c) > 1]
+    of = np.array([x for c in found for x in c], dtype=np.int64)
+    first = np.repeat(np.array([min(c) for c in found], dtype=np.int64), [len(c) for c in found])
+    return pd.DataFrame({"node": nodes[of], "cycle": nodes[first]})
 
 
 def _blast_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Reach by rows of bits over the condensed graph, so many nodes at a time."""
+    found = _part_of_reach(pdf.assign(low=0), 0, 1)
+    return found.assign(blast=found["blast"] - 1)[found["blast"] > 1]
+
+
+def _reach_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    made = [_part_of_reach(rows, *key) for key, rows in pdf.groupby(["part", "parts"], sort=False)]
+    return pd.concat(made, ignore_index=True)
+
+
+def _part_of_reach(pdf: pd.DataFrame, part: int, parts: int) -> pd.DataFrame:
+    """edges(src, dst) with their connected component low -> (node, blast): how many nodes of one part of its component lead to each, itself included.
+
+    Over the condensed graph, as integers with a bit for each of as many nodes as BITS allows at a time.
+    """
     nodes, out, into = _numbered(pdf)
-    comps = strong_components(into)  # a component comes after all components of its dependents
-    comp_of = np.empty(len(nodes), dtype=np.int64)
+    low = np.empty(len(nodes), dtype=np.int64)
+    for c in ("src", "dst"):
+        low[np.searchsorted(nodes, pdf[c].to_numpy())] = pdf["low"].to_numpy()
+    # dependents come before what they use, and connected components one after the other
+    comps = strong_components(into)
+    comps = [comps[k] for k in np.argsort(low[[c[0] for c in comps]], kind="stable").tolist()]
+    place = np.empty(len(nodes), dtype=np.int64)
     for k, c in enumerate(comps):
-        comp_of[c] = k
-    below = [sorted({int(comp_of[y]) for x in c for y in into[x]} - {k}) for k, c in enumerate(comps)]
-    blast = np.zeros(len(comps), dtype=np.int64)
-    for at in range(0, len(nodes), BITS):
-        bits = np.zeros((len(comps), BITS // 8), dtype=np.uint8)
-        here = np.arange(at, min(at + BITS, len(nodes)))
-        np.bitwise_or.at(bits, (comp_of[here], (here - at) >> 3), (1 << ((here - at) & 7)).astype(np.uint8))
-        for k, under in enumerate(below):
-            for b in under:
-                bits[k] |= bits[b]
-        blast += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-    n = blast[comp_of] - 1  # without the node itself
-    some = np.flatnonzero(n > 0)
-    return pd.DataFrame({"node": nodes[some], "blast": n[some]})
+        place[c] = k
+    comp_of = place.tolist()
+    below = [sorted({comp_of[y] for x in c for y in into[x]} - {k}) for k, c in enumerate(comps)]
+    ends = np.cumsum([len(c) for c in comps]).tolist()  # nodes are numbered in this order
+    cuts = np.flatnonzero(np.diff(low[[c[0] for c in comps]])) + 1
+    blast = [0] * len(comps)
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(comps)]):
+        first = ends[begin] - len(comps[begin])
+        many = ends[end - 1] - first
+        width = max(64, BITS // (end - begin))
+        for at in range(first + many * part // parts, first + many * (part + 1) // parts, width):
+            stop = min(at + width, first + many * (part + 1) // parts)
+            start = bisect_right(ends, at)
+            bits = [0] * (end - start)
+            for k in range(start, end):
+                left, right = max(ends[k] - len(comps[k]), at) - at, min(ends[k], stop) - at
+                found = (1 << right) - (1 << left) if left < right else 0
+                for b in below[k]:
+                    if b >= start:
+                        found |= bits[b - start]
+                if found:
+                    bits[k - start] = found
+                    blast[k] += found.bit_count()
+    n = np.array(blast, dtype=np.int64)[place]
+    return pd.DataFrame({"node": nodes, "blast": n})
 
 
 def _level_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +223,8 @@ def _kind(edges: DataFrame) -> str:
 
 def blast_radius(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, blast) of nodes with dependents: how many others depend on it, directly or not."""
-    return _by_component(edges, _blast_rows, f"node {_kind(edges)}, blast long", _large_blast, most)
+    counted = _by_component(edges, _reach_rows, f"node {_kind(edges)}, blast long", lambda large: _large_blast(large).withColumn("blast", F.col("blast") + 1), most, REACH)
+    return counted.groupBy("node").agg((F.sum("blast") - 1).alias("blast")).where("blast > 0")  # without the node itself
 
 
 def capped(blast: Column, most: int = 2000) -> Column:

@@ -101,3 +101,38 @@ def test_order_graphs_by_brute_force(spark):
         level[b] = level.get(b, 0)
         level[a] = max(level.get(a, 0), level[b] + 1)
     assert {r["node"]: r["level"] for r in structure.order_levels(spark, path).collect()} == level
+
+
+def test_a_wide_component_is_solved_in_one_task(spark, monkeypatch):
+    """Of 450,000 edges between 20,000 parts, all in one component, nothing goes to the blocks, and work is no square of it."""
+    from codeterra.plans import structure
+
+    def never(*_):
+        raise AssertionError("a component of fewer than a million edges")
+
+    for name in ("_large_cycles", "_large_levels", "_large_blast"):
+        monkeypatch.setattr(graph, name, never)
+    for run in (structure.order_cycles, structure.order_levels, structure.order_blast):
+        assert run(spark, "/root/testdata/sf0.1").count() > 18_000
+
+
+def test_one_cycle_takes_no_square_of_its_nodes(monkeypatch):
+    """The smallest node of a component is looked for once, not once for each of its nodes."""
+    calls = []
+    monkeypatch.setattr(graph, "min", lambda *x: calls.append(x) or min(*x), raising=False)
+    got = graph._cycle_rows(pd.DataFrame({"src": range(500), "dst": [(k + 1) % 500 for k in range(500)]}))
+    assert len(got) == 500 and set(got["cycle"]) == {0} and sum(isinstance(x[0], list) for x in calls) == 1
+    assert graph._cycle_rows(pd.DataFrame({"src": ["a"], "dst": ["b"]})).empty
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 29])
+def test_reach_in_parts(spark, monkeypatch, bits):
+    """A component whose reach several tasks count, a few nodes at a time."""
+    edges = rambling(7)
+    want = dict(graph._blast_rows(pd.DataFrame(edges, columns=["src", "dst"])).itertuples(index=False))
+    pdf = pd.DataFrame([e for e in edges if e[0] != e[1]], columns=["src", "dst"]).assign(low=5)
+    monkeypatch.setattr(graph, "BITS", bits)
+    parts = pd.concat([graph._part_of_reach(pdf, k, 3) for k in range(3)]).groupby("node")["blast"].sum() - 1
+    assert {n: b for n, b in parts.items() if b} == want
+    monkeypatch.setattr(graph, "REACH", 5_000)
+    assert {r["node"]: r["blast"] for r in graph.blast_radius(frame(spark, edges, "src long, dst long")).collect()} == want
