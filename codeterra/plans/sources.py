@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeterra.plans import tables
+
 #: Language, extension and text of a file; {k} is its number, {n} that of the next file of its language, {g} the next one's folder.
 TEMPLATES = (
     ("typescript", ".ts", "import { a } from '../m{g}/f{n}'\nimport type B from './none{k}' // import 'no'\nexport * from \"@/m{g}/f{n}\"\nimport 'side'\nexport class Main{k} {\nexport const run = async (x) => 1\ninterface I{k} {\nexport type T = string\nconst v = eval(x{k})\nconst lazy = import('pkg{k}')"),
@@ -41,7 +43,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = pick(2)
     for mark, value in (("{k}", k), ("{n}", k + N), ("{g}", (k + N) % FOLDERS)):
         text = F.replace(text, F.lit(mark), value.cast("string"))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = tables.spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
     return part.select(k.alias("k"), F.concat(folder, F.lit("/f"), k.cast("string"), inner, pick(1)).alias("path"), pick(0).alias("language"), text.alias("text"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeterra.operators import syntax
+from codeterra.plans import tables as t
 from codeterra.plans.sources import quoted
 from codeterra.plans.structure import query
 
@@ -63,7 +64,7 @@ def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(SPECIMENS) + 1).cast("int"))
     before = F.repeat(pick([_COMMENTS.get(s[0], "// import './no'\n") for s in SPECIMENS]), (k % _LATER).cast("int"))
     text = F.concat(before, F.replace(pick([s[2] for s in SPECIMENS]), F.lit("{k}"), k.cast("string")))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = t.spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), "p_partkey")
     return part.select(F.concat(F.lit("f"), k.cast("string")).alias("path"), pick([s[0] for s in SPECIMENS]).alias("language"), text.alias("text"))
 
 
@@ -75,12 +76,12 @@ _HELD = f"""held AS (
 
 @query(f"WITH {_HELD} SELECT path, language, line, name AS specifier, kind FROM held WHERE what = 'import'")
 def syntax_imports(s, d):
-    return syntax.imports(syntax.read(specimens(s, d)))
+    return syntax.imports(t.settled(syntax.read(specimens(s, d))))
 
 
 @query(f"WITH {_HELD} SELECT path, line, name, kind FROM held WHERE what = 'symbol'")
 def syntax_symbols(s, d):
-    return syntax.symbols(syntax.read(specimens(s, d)))
+    return syntax.symbols(t.settled(syntax.read(specimens(s, d))))
 
 
 _ENGINES = ", ".join(f"({i}, {quoted(s[1])})" for i, s in enumerate(SPECIMENS))

@@ -46,6 +46,11 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return down.union(over).union(back).where("src <> dst").distinct()
 
 
+def spread(df: DataFrame, key: str, rows: int = 4096) -> DataFrame:
+    """df in tasks of about so many rows, for rows that become much larger than the file, whose size alone decides else."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once, for plans that use it twice."""
     return checkpointed(df)
