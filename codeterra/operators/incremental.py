@@ -23,8 +23,8 @@ def merged_edges(fresh: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def live_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges whose two ends are still files."""
-    known = files.select("path").distinct()
+    """Edges whose two ends are still files. Files are looked up by hash, so that edges, which may be far more, are not sorted."""
+    known = files.select("path").distinct().hint("shuffle_hash")
     kept = edges.join(known.withColumnRenamed("path", "src"), "src", "left_semi")
     return kept.join(known.withColumnRenamed("path", "dst"), "dst", "left_semi").select(*edges.columns)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeterra.functions import paths
 from codeterra.functions.regexes import portable
 from codeterra.operators import graph, incremental
+from codeterra.session import checkpointed
 
 # Extensions tried by language, in order.
 TRIED = {
@@ -28,6 +29,8 @@ TRIED = {
 EXACT, EXTENSION, INDEX, PACKAGE, MODULE = 1.0, 0.9, 0.85, 0.85, 0.8
 GO_PACKAGE, INCLUDE = 0.9, 0.5
 ALIASES = (("", 0.3), ("src/", 0.3), ("app/", 0.35))
+#: Pairs of an importer and a file of its package that a task makes, about, and the most such tasks.
+PAIRS, MOST_TASKS = 1_000_000, 10_000
 
 
 def _tries(language: Column) -> Column:
@@ -65,40 +68,72 @@ def _last(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
-    """imports(path, language, specifier, line, kind), files(path) -> imports' columns, target, confidence, outcome.
-
-    An import that starts with go_module and `/` is a row for each .go file of that folder. One of kind `include` that no
-    other rule takes is the only file of its base name.
-
-    Specifiers are trimmed; blank ones are skipped. outcome is resolved, unresolved (starts with `.` or `/`), or external; a resolved import of the file itself is `self`.
-    Each import meets only its own candidates, by an equi-join on the path.
-    """
+def _found(imports: DataFrame, files: DataFrame, go_module: str | None) -> DataFrame:
+    """Imports' columns, target, confidence, outcome, package: a row for each import. One of a Go package has its folder as package and no target yet."""
     keys = ["path", "specifier", "language"]
     blanks = portable(r"^\s+|\s+$")
     imports = imports.withColumn("specifier", F.regexp_replace("specifier", blanks, "")).where("specifier <> ''")
     asked = imports.select(*keys).distinct()
     every = F.flatten(F.transform(bases(F.col("path"), F.col("specifier"), F.col("language")), lambda b: F.transform(_tries(F.col("language")), lambda t: F.struct(F.concat(b["base"], t["suffix"]).alias("target"), (t["confidence"] - b["less"]).alias("confidence")))))
     tried = asked.select(*keys, F.posexplode(every).alias("ordinal", "x")).select(*keys, "ordinal", "x.target", "x.confidence")
-    hits = tried.join(files.select(F.col("path").alias("target")).distinct(), "target")
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct("target", "confidence"), "ordinal").alias("hit"))
     known = files.select(F.col("path").alias("target")).distinct()
+    hits = tried.join(known.hint("shuffle_hash"), "target")  # the tries, many to an import, are not sorted
+    best = hits.groupBy(*keys).agg(F.min_by(F.struct("target", "confidence"), "ordinal").alias("hit"))
     other = (F.col("specifier") != "") & (F.coalesce("language", F.lit("")) != "python") & ~F.col("specifier").rlike(r"^(\.\.?|[@~])/")
+    joined = imports.join(best, keys, "left").withColumn("package", F.lit(None).cast("string"))
+    # rows that a join has nothing for are joined by their own paths: nulls would all meet in one task
+    apart = F.concat(F.lit("//"), "path")
     if go_module:
-        in_module = other & F.col("specifier").startswith(f"{go_module}/")
-        packages = asked.where(in_module).withColumn("folder", paths.normalize(F.substring("specifier", len(go_module) + 2, 1 << 30)))
-        sources = known.where(F.col("target").endswith(".go")).withColumn("folder", paths.directory_of(F.col("target")))
-        best = best.union(packages.join(sources, "folder").select(*keys, F.struct("target", F.lit(GO_PACKAGE).alias("confidence")).alias("hit")))
-        other &= ~in_module
-    joined = imports.join(best, keys, "left")
+        in_module = other & F.col("specifier").startswith(f"{go_module}/") & F.col("language").isNotNull()
+        folders = _go_files(known).select(F.col("folder").alias("asked"), F.col("folder").alias("package")).distinct()
+        asked_folder = F.when(in_module, paths.normalize(F.substring("specifier", len(go_module) + 2, 1 << 30))).otherwise(apart)
+        joined = joined.drop("package").withColumn("asked", asked_folder).join(folders, "asked", "left").withColumn("package", F.when(in_module, F.col("package"))).drop("asked")
+        other &= ~F.col("specifier").startswith(f"{go_module}/")
     if "kind" in imports.columns:
         # only base names that a single file has
         single = known.groupBy(_last(F.col("target")).alias("base")).agg(F.count("*").alias("n"), F.min("target").alias("target")).where("n = 1")
         single = single.select("base", F.struct("target", F.lit(INCLUDE).alias("confidence")).alias("included"))
-        base = F.when(other & (F.col("kind") == "include"), _last(F.col("specifier")))
-        joined = joined.withColumn("base", base).join(single, "base", "left").withColumn("hit", F.coalesce("hit", "included"))
-    outcome = F.when(F.col("hit.target") == F.col("path"), "self").when(F.col("hit").isNotNull(), "resolved").when(F.col("specifier").rlike("^[./]"), "unresolved").otherwise("external")
-    return joined.select(*imports.columns, F.col("hit.target").alias("target"), F.round("hit.confidence", 2).alias("confidence"), outcome.alias("outcome"))
+        included = other & (F.col("kind") == "include")
+        joined = joined.withColumn("base", F.when(included, _last(F.col("specifier"))).otherwise(apart)).join(single, "base", "left").withColumn("hit", F.coalesce("hit", F.when(included, F.col("included"))))
+    outcome = F.when(F.col("hit.target") == F.col("path"), "self").when(F.col("hit").isNotNull() | F.col("package").isNotNull(), "resolved").when(F.col("specifier").rlike("^[./]"), "unresolved").otherwise("external")
+    return joined.select(*imports.columns, F.col("hit.target").alias("target"), F.round("hit.confidence", 2).alias("confidence"), outcome.alias("outcome"), "package")
+
+
+def _go_files(known: DataFrame) -> DataFrame:
+    return known.where(F.col("target").endswith(".go")).withColumn("folder", paths.directory_of(F.col("target")))
+
+
+def _packages(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """rows(package, ...) with target, once for each Go file of the folder.
+
+    That is as many rows as importers times files of each folder. A folder of many is dealt to as many tasks as it has PAIRS,
+    and what comes out of that join is not moved.
+    """
+    sources = _go_files(files.select(F.col("path").alias("target")).distinct()).withColumnRenamed("folder", "package")
+    sizes = rows.groupBy("package").agg(F.count("*").alias("n")).join(sources.groupBy("package").agg(F.count("*").alias("m")), "package")
+    sizes = checkpointed(sizes.select("package", (F.col("n") * F.col("m")).alias("pairs"), (F.floor(F.col("n") * F.col("m") / PAIRS) + 1).alias("tasks")))
+    tasks = min(MOST_TASKS, 1 + (sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS)
+    dealt = rows.join(sizes, "package").withColumn("task", F.pmod(F.xxhash64(*rows.columns), "tasks")).drop("tasks", "pairs")
+    copied = sources.join(sizes, "package").select("package", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
+    keys = ["package", "task"]
+    return dealt.repartition(tasks, *keys).join(copied.repartition(tasks, *keys).hint("merge"), keys).drop("task")
+
+
+def resolve(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
+    """imports(path, language, specifier, line, kind), files(path) -> imports' columns, target, confidence, outcome.
+
+    An import that starts with go_module and `/` is a row for each .go file of that folder. One of kind `include` that no
+    other rule takes is the only file of its base name.
+
+    Specifiers are trimmed; blank ones are skipped. outcome is resolved, unresolved (starts with `.` or `/`), or external; a resolved import of the file itself is `self`.
+    Each import meets only its own candidates, by an equi-join on the path.
+    """
+    found = _found(imports, files, go_module)
+    if not go_module:
+        return found.drop("package")
+    found = checkpointed(found)
+    whole = _packages(found.where("package is not null").drop("target"), files).withColumns({"confidence": F.lit(GO_PACKAGE), "outcome": F.when(F.col("target") == F.col("path"), "self").otherwise("resolved")})
+    return found.where("package is null").drop("package").unionByName(whole.drop("package"))
 
 
 @dataclass
@@ -115,9 +150,13 @@ def build_graph(imports: DataFrame, files: DataFrame, go_module: str | None = No
     Edges have no self loops, and of those with one (src, dst, kind) the first. Reused edges and externals(path, specifier,
     count) stay as far as their files exist, after all fresh ones.
     """
-    resolved = resolve(imports, files, go_module)
-    fresh = graph.first_edges(resolved.where("outcome = 'resolved'").select(F.col("path").alias("src"), F.col("target").alias("dst"), "kind", "line", "confidence"))
+    resolved = _found(imports, files, go_module)
+    if go_module:
+        resolved = checkpointed(resolved)
+    fresh = graph.first_edges(resolved.where("outcome = 'resolved' and package is null").select(F.col("path").alias("src"), F.col("target").alias("dst"), "kind", "line", "confidence"))
     counts = external_by_file(resolved)
+    if go_module:
+        fresh = _with_packages(fresh, resolved.where("package is not null"), files)
     if reused_edges is not None:
         fresh = incremental.merged_edges(fresh, incremental.live_edges(reused_edges, files)).drop("old")
     if reused_externals is not None:
@@ -126,6 +165,18 @@ def build_graph(imports: DataFrame, files: DataFrame, go_module: str | None = No
     return Graph(fresh, external, counts, resolved.agg(F.count(F.when(F.col("outcome") == "unresolved", 1)).alias("unresolved")))
 
 
+def _with_packages(single: DataFrame, resolved: DataFrame, files: DataFrame) -> DataFrame:
+    """First edges and those of whole Go packages; of two with one (src, dst, kind) that of the lower line. Settled before files take the place of folders."""
+    keys = ["src", "kind", "package"]
+    every = resolved.groupBy(F.col("path").alias("src"), "kind", "package").agg(F.min("line").alias("first"))
+    folder = F.when(F.col("dst").endswith(".go"), paths.directory_of(F.col("dst"))).otherwise(F.concat(F.lit("//"), "dst"))
+    both = single.withColumn("package", folder).join(every, keys, "left").where("first is null or line <= first")
+    taken = both.where("first is not null").groupBy(*keys).agg(F.collect_list("dst").alias("taken"))  # imports of one file
+    whole = _packages(every.join(taken, keys, "left"), files).withColumnRenamed("target", "dst")
+    whole = whole.where("src <> dst and (taken is null or not array_contains(taken, dst))")
+    return both.select(*single.columns).unionByName(whole.select("src", "dst", "kind", F.col("first").alias("line"), F.lit(GO_PACKAGE).alias("confidence")))
+
+
 def external_by_file(resolved: DataFrame) -> DataFrame:
     return resolved.where("outcome = 'external'").groupBy("path", "specifier").agg(F.count("*").alias("count"))
 
