@@ -21,6 +21,8 @@ MAX_FILES = 50_000
 #: Bytes of files that a task reads, about.
 TASK_BYTES = 64 << 20
 _MARK = "\x01"
+#: Numbers of lines of a log that one task reads in order.
+RUN = 1 << 18
 
 # Hosts that may be cloned from, and what a part of a name may hold.
 HOSTS = ("github.com", "gitlab.com", "bitbucket.org")
@@ -173,11 +175,19 @@ def go_module(files: DataFrame) -> str | None:
 def parse_log(lines: DataFrame) -> DataFrame:
     """lines(repo, seq, text) of git's log -> (repo, sha, author, ts, path, ordinal), the latest commit being ordinal 1.
 
-    A head line is the mark, then commit, author and date with marks between; the paths below it are its own.
+    A head line is the mark, then commit, author and date with marks between; the paths below it are its own. A repository's
+    lines are read in runs of RUN numbers, each by one task.
     """
-    order = Window.partitionBy("repo").orderBy("seq")
     head = F.when(F.col("text").startswith(_MARK), F.split(F.substring("text", 2, 1 << 30), _MARK))
-    rows = lines.withColumn("is_head", head.isNotNull()).withColumn("head", F.last(head, ignorenulls=True).over(order)).withColumn("ordinal", F.count(head).over(order))
+    rows = lines.withColumn("head", head).withColumn("is_head", F.col("head").isNotNull()).withColumn("run", F.floor(F.col("seq") / RUN))
+    # what is before a run: a row for each, not one for each line
+    runs = Window.partitionBy("repo").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("repo", "run").agg(F.count("head").alias("heads"), F.max_by("head", F.when(F.col("is_head"), F.col("seq"))).alias("last"))
+    ahead = sums.select(F.col("repo").alias("of"), F.col("run").alias("at"), F.coalesce(F.sum("heads").over(runs), F.lit(0)).alias("ahead"), F.last("last", ignorenulls=True).over(runs).alias("before"))
+    order = Window.partitionBy("repo", "run").orderBy("seq")
+    rows = rows.withColumn("own", F.last("head", ignorenulls=True).over(order)).withColumn("count", F.count("head").over(order))
+    rows = rows.join(ahead, F.col("repo").eqNullSafe(F.col("of")) & F.col("run").eqNullSafe(F.col("at")))
+    rows = rows.withColumn("head", F.coalesce("own", "before")).withColumn("ordinal", F.col("count") + F.col("ahead"))
     rows = rows.where(~F.col("is_head") & (F.trim("text") != "") & F.col("head").isNotNull())
     return rows.select("repo", F.col("head")[0].alias("sha"), F.col("head")[1].alias("author"), F.to_timestamp(F.col("head")[2]).alias("ts"), F.trim("text").alias("path"), "ordinal")
 
