@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from codeterra.functions import texts
 
+#: Rows of a file of the index, whose trigrams one task takes.
+ROWS = 1 << 16
 #: Winners that are looked up by their ids; more (ties) are joined.
 LOOKED_UP = 1000
 #: Values of one IN that Parquet tests one by one (spark.sql.parquet.pushdown.inFilterThreshold).
@@ -30,7 +32,7 @@ def build(rows: DataFrame, by: str, root: str, owner: str | None = None) -> Trig
     most rows is spread over many files and one owner's rows lie together.
     """
     spark = rows.sparkSession
-    rows.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).write.parquet(f"{root}/rows")
+    rows.repartition(max(1, -(-rows.count() // ROWS))).select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")).write.parquet(f"{root}/rows")
     kept = spark.read.parquet(f"{root}/rows")
     owned = F.col("row")[owner].cast("string") if owner else F.lit(None).cast("string")
     split = kept.select("id", owned.alias("owner"), texts.trigrams(F.col("row")[by].cast("string")).alias("grams"))

@@ -1,6 +1,6 @@
 """How much work and room the operators take as their input grows."""
 
-from codeterra.operators import resolve
+from codeterra.operators import resolve, trigrams
 from codeterra.plans import sources, specimens, structure  # noqa: F401
 from codeterra.sources import git
 from tests.conftest import frame
@@ -39,3 +39,11 @@ def test_a_log_is_read_in_runs(spark, monkeypatch):
     got = git.parse_log(frame(spark, [(r, k, t) for r in ("one", None) for k, t in enumerate(text)], "repo string, seq long, text string")).drop("ts").collect()
     own = [("a", "ann", p, 1) for p in "xyzu"] + [("b", "bob", "x", 2), ("d", "di", "w", 4)]
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((r, *x)) for r in ("one", None) for x in own)
+
+
+def test_an_index_is_built_by_many_tasks_of_one_small_file(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(trigrams, "ROWS", 100)
+    rows = spark.range(1000).selectExpr("id as k", "concat('name ', id) as name").coalesce(1)
+    found = trigrams.build(rows, "name", f"file://{tmp_path}/index")
+    assert found.rows.count() == 1000 and len(found.rows.inputFiles()) == 10
+    assert found.search("name 77", 1, 0.5, ["k"]).first()["row"]["k"] == 77
