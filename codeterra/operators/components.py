@@ -1,8 +1,8 @@
-"""Connected components of a link table by local contraction and alternating large-star and small-star steps.
+"""Connected components of a link table by rounds of contraction, until one task holds the links that are left.
 
-Each round first contracts the links that a task holds to stars, in bounded memory, and then, as long as one task does not
-hold them all, exchanges minima: a minimum by node (combined before the shuffle) and a join. The number of rounds grows
-with the logarithm of the longest path. Rows never outnumber the links by more than the two directions.
+In a round each node joins the first of its neighbours and itself in an order that is drawn anew each time; links between those
+that were joined go. So links halve, about, from round to round at any length of path, and all rounds together cost about as much as
+the first two. Then the names are handed back from round to round. Rows never outnumber the links by more than the two directions.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeterra.session import checkpointed as cut
+from codeterra.session import forget, written
 
-#: Links that a task contracts at a time; a table of no more is done after one contraction.
+#: Links that one task contracts at last.
 EDGES = 200_000
 
 
@@ -39,34 +39,22 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[low[other]]
 
 
-def _contract(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            if sum(len(u) for u, _ in held) >= most:
-                yield pa.record_batch([pa.array(x) for x in _stars(*map(np.concatenate, zip(*held)))], names=["u", "v"])
-                held = []
-        if held:
-            yield pa.record_batch([pa.array(x) for x in _stars(*map(np.concatenate, zip(*held)))], names=["u", "v"])
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if held:
+        yield pa.record_batch([pa.array(x) for x in _stars(*map(np.concatenate, zip(*held)))], names=["u", "v"])
 
-    return run
 
-
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("key"), F.least("u", "low").alias("low"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, to): each node with the first of its neighbours and itself, in the order of this turn."""
+    place = lambda c: F.xxhash64(c, F.lit(turn))
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minimum(both), both.u == F.col("key")).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    first = both.groupBy(F.col("u").alias("node")).agg(F.min_by("v", place("v")).alias("v"))
+    return first.select("node", F.when(place("v") < place("node"), F.col("v")).otherwise(F.col("node")).alias("to"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _minimum(down)
-    rest = down.join(low, down.u == low.key).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return rest.union(low.select(F.col("key").alias("u"), F.col("low").alias("v")))
+def _once(edges: DataFrame) -> DataFrame:
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def components(links: DataFrame, most: int = EDGES) -> DataFrame:
@@ -74,16 +62,19 @@ def components(links: DataFrame, most: int = EDGES) -> DataFrame:
 
     Nodes without links are not returned; links with a null end are ignored; no links give no rows.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == state or now["n"] == 0:
-            break
-        state = now
-        parts = -(-now["n"] // most)
-        edges = edges.coalesce(parts).mapInArrow(_contract(2 * most), "u long, v long")
-        if parts == 1:
-            break
-        edges = cut(_small_star(_large_star(edges).where("u <> v").distinct().coalesce(parts)).where("u <> v").distinct())
-    return cut(edges.union(edges.select("v", "v").distinct()).toDF("node", "low").distinct())
+    edges, steps = written(_once(links)), []
+    while edges.count() > most:
+        steps.append(written(_joined(edges, len(steps))))
+        to = lambda c: steps[-1].select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        old, edges = edges, written(_once(edges.join(to("u"), "u").join(to("v"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v"))))
+        forget(old)
+    stars = edges.coalesce(1).mapInArrow(_contract, "u long, v long")  # at most `most` rows
+    found = written(stars.union(stars.select("v", "v").distinct()).toDF("node", "low"))
+    forget(edges)
+    if not steps:
+        return found
+    for step in reversed(steps):
+        old, found = found, written(step.join(found.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("low", "to").alias("low")))
+        forget(old, step)
+    first = found.groupBy("low").agg(F.min("node").alias("first"))
+    return written(found.join(first, "low").select("node", F.col("first").alias("low")))

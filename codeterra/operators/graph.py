@@ -70,22 +70,28 @@ def _short(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("src", "dst").distinct()
 
 
-def _by_component(edges: DataFrame, kernel, schema: str, beyond, most: int, reach: int | None = None) -> DataFrame:
-    """kernel over connected components of at most `most` edges, several to a task; beyond(edges) for the larger ones, by joins.
+def split(edges: DataFrame) -> DataFrame:
+    """edges(src, dst), each once and without loops, with low, by which their connected component is known, and its numbers of edges and nodes, n and nodes.
 
-    With reach, a component of more nodes times edges than that is given to several tasks, each with its number and theirs.
+    cycles(), blast_radius() and reading_levels() take this for the edges, so that what runs several of them looks for components once.
     """
     edges = checkpointed(_short(edges).select("*", F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v")))
     low = components(edges.select("u", "v"))
     edges = edges.join(low.withColumnRenamed("node", "u"), "u", "left").select("src", "dst", F.coalesce("low", "u").alias("low"))
-    sizes = edges.groupBy("low").agg(F.count("*").alias("n"))
-    if reach:
-        nodes_in = low.groupBy("low").agg(F.count("*").alias("nodes"))
-        sizes = sizes.join(nodes_in, "low", "left").withColumn("parts", F.floor(F.coalesce("nodes", "n") * F.col("n") / reach) + 1).drop("nodes")
-    edges = checkpointed(edges.join(sizes, "low"))
+    nodes_in = low.groupBy("low").agg(F.count("*").alias("nodes"))
+    sizes = edges.groupBy("low").agg(F.count("*").alias("n")).join(nodes_in, "low", "left")
+    return checkpointed(edges.join(sizes.select("low", "n", F.coalesce("nodes", "n").alias("nodes")), "low"))
+
+
+def _by_component(edges: DataFrame, kernel, schema: str, beyond, most: int, reach: int | None = None) -> DataFrame:
+    """kernel over connected components of at most `most` edges, several to a task; beyond(edges) for the larger ones, by joins.
+
+    With reach, a component of more nodes times edges than that is given to several tasks, each with its number and theirs.
+    """
+    edges = edges if {"low", "n", "nodes"} <= set(edges.columns) else split(edges)
     small, large = edges.where(F.col("n") <= most), edges.where(F.col("n") > most)
     if reach:
-        small = small.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        small = small.withColumn("parts", F.floor(F.col("nodes") * F.col("n") / reach) + 1).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     groups = max(1, -(-small.count() // GROUP))
     keys = ["low", "part", "parts"] if reach else ["low"]
     dealt = small.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"), *keys, "src", "dst")

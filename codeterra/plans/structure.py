@@ -207,7 +207,7 @@ def topo_order(s, d):
 
 
 def _reading_facts(s, d):
-    links = t.links(s, d)
+    links = graph.split(t.links(s, d))
     facts = graph.reading_levels(links).join(graph.dependents(links), "node", "left").join(graph.dependencies(links), "node", "left").join(graph.blast_radius(links), "node", "left")
     churn = history.churn(t.commits(s, d)).select(F.col("path").alias("node"), F.col("commits").alias("churn"))
     return facts.join(churn, "node", "left").fillna(0).withColumn("entry", F.col("node") % 10 == 0)
