@@ -84,7 +84,7 @@ def replies(prompts: DataFrame, ask: Ask, at_once: int = AT_ONCE, retries: int =
     def asked(rows: DataFrame) -> DataFrame:
         return checkpointed(rows.repartition(at_once).mapInPandas(run, "hash string, reply string, error string"))
 
-    hashed = prompts.select("id", "prompt", F.sha2("prompt", 256).alias("hash"))
+    hashed = checkpointed(prompts.select("id", "prompt", F.sha2("prompt", 256).alias("hash")))  # made once
     todo = checkpointed(hashed.where("prompt is not null").select("hash", "prompt").dropDuplicates(["hash"]))
     if kept is None:
         said = asked(todo)
@@ -144,10 +144,13 @@ def comprehend(files: DataFrame, contents: DataFrame, symbols: DataFrame, edges:
 
     A model sees the files that most depend on, then the largest folders, then the whole; `name` heads the last prompt.
     """
+    files, symbols = checkpointed(files), checkpointed(symbols)  # read for each kind of claim
     plain = checkpointed(reading.describe(files, symbols))
-    shown = reading.model_files(files.where(F.col("bytes") <= LARGEST), most_files).select("path", "language").join(contents, "path")
-    side = lambda at, other, into: edges.groupBy(F.col(at).alias("path")).agg(F.array_sort(F.collect_set(other)).alias(into))
-    declared = symbols.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "name", "kind"))), lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["line"].alias("line"))).alias("symbols"))
+    chosen = checkpointed(reading.model_files(files.where(F.col("bytes") <= LARGEST), most_files).select("path", "language"))
+    of_chosen = lambda rows: rows.join(F.broadcast(chosen.select("path")), "path", "left_semi")  # noqa: E731  (`most_files` rows)
+    shown = chosen.join(of_chosen(contents), "path")
+    side = lambda at, other, into: of_chosen(edges.select(F.col(at).alias("path"), other)).groupBy("path").agg(F.array_sort(F.collect_set(other)).alias(into))
+    declared = of_chosen(symbols).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "name", "kind"))), lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["line"].alias("line"))).alias("symbols"))
     for more in (declared, side("dst", "src", "used_by"), side("src", "dst", "uses")):
         shown = shown.join(more, "path", "left")
     none, nobody = F.array().cast("array<struct<name:string,kind:string,line:bigint>>"), F.array().cast("array<string>")

@@ -40,3 +40,29 @@ def test_reading_steps_look_for_components_once(spark, monkeypatch):
     calls, real = [], graph.components
     monkeypatch.setattr(graph, "components", lambda links: calls.append(1) or real(links))
     assert structure.reading_steps(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
+def test_comprehension_makes_its_inputs_once(spark):
+    """Files and symbols are computed for one pass, not one for each kind of claim, and prompts once."""
+    from codeterra.operators import comprehension
+
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("files", "symbols", "prompts")}
+
+    def counted(name, value):
+        acc = seen[name]
+
+        @F.udf("string")
+        def run(x):
+            acc.add(1)
+            return x
+
+        return run.asNondeterministic()(value)
+
+    files = frame(spark, [("src/a.py", "python", 10, 2, 1, None), ("src/b.py", "python", 10, 2, 0, None)], "path string, language string, bytes long, loc int, dependents long, skip_reason string")
+    symbols = frame(spark, [("src/a.py", 1, "f", "function")], "path string, line long, name string, kind string")
+    contents = frame(spark, [("src/a.py", "x"), ("src/b.py", "y")], "path string, text string")
+    found = comprehension.comprehend(files.withColumn("language", counted("files", F.col("language"))), contents, symbols.withColumn("name", counted("symbols", F.col("name"))), frame(spark, [], "src string, dst string"), "o/n", lambda prompt: "none")
+    assert found.modules.count() == 1 and found.files.count() == 2 and found.repo.count() == 1
+    said = comprehension.replies(frame(spark, [("a", "p"), ("b", "p")], "id string, prompt string").withColumn("prompt", counted("prompts", F.col("prompt"))), lambda prompt: "r")
+    assert {tuple(r) for r in said.collect()} == {("a", "r", None), ("b", "r", None)}
+    assert {name: acc.value for name, acc in seen.items()} == {"files": 2, "symbols": 1, "prompts": 2}
