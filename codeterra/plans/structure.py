@@ -239,7 +239,7 @@ p AS (SELECT CAST(floor(least(100 * dead / parsed, 25) + 0.5) AS BIGINT) AS dead
 q AS (SELECT *, greatest(100 - dead_penalty - cycle_penalty - coupling_penalty - security_penalty, 0) AS score FROM p)
 SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM q""")
 def health_score(s, d):
-    links = t.links(s, d)
+    links = graph.split(t.links(s, d))  # each once and without loops, as they are
     one = graph.nodes(links).agg(F.count("*").alias("parsed"))
     dead = graph.dead(graph.nodes(links), links, F.col("node") % 10 == 0).agg(F.count("*").alias("dead"))
     loops = graph.cycles(links).agg(F.count("*").alias("in_cycles"))

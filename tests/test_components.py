@@ -42,6 +42,22 @@ def test_reading_steps_look_for_components_once(spark, monkeypatch):
     assert structure.reading_steps(spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
 
 
+def test_health_score_makes_its_links_once(spark, monkeypatch):
+    """Nodes, dead ones, cycles and the number of links read one copy; before, each made the links anew."""
+    from codeterra.plans import structure, tables
+
+    made, links = spark.sparkContext.accumulator(0), tables.links(spark, "/root/testdata/sf0.001").collect()
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+
+    want = structure.health_score(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(tables, "links", lambda s, d: frame(s, links, "src long, dst long").withColumn("src", counted.asNondeterministic()("src")))
+    assert structure.health_score(spark, "/root/testdata/sf0.001").collect() == want and made.value == len(links)
+
+
 def test_comprehension_makes_its_inputs_once(spark):
     """Files and symbols are computed for one pass, not one for each kind of claim, and prompts once."""
     from codeterra.operators import comprehension
