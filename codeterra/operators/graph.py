@@ -1,7 +1,7 @@
 """Dependency graph operators on edges(src, dst): degrees, selections, cycles, reach, and reading order.
 
-The iterative ones deal connected components of at most KERNEL edges to tasks, each solved there at any depth. A larger
-component is cut into blocks (see blocks.py) and is never gathered.
+The iterative ones deal connected components of at most KERNEL edges to tasks, each solved there at any depth. One of at most
+PACKED edges is solved as arrays (see packed.py). A larger one is cut into blocks (see blocks.py) and is never gathered.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeterra.operators import blocks
+from codeterra.operators import blocks, packed
 from codeterra.operators.components import components
-from codeterra.session import checkpointed
+from codeterra.session import checkpointed, forget, written
 
-#: Edges of the largest component that one task solves.
+#: Edges of the largest component that one task solves as lists.
 KERNEL = 1_000_000
+#: Edges of the largest component that one task solves as arrays: 1.2 GB at most, 12 bytes an edge.
+PACKED = 100_000_000
 #: Edges of small components that are dealt to one task.
 GROUP = 100_000
 #: Bits of reach that a task holds at a time: 64 MB.
@@ -77,25 +79,31 @@ def split(edges: DataFrame) -> DataFrame:
     """
     edges = checkpointed(_short(edges).select("*", F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v")))
     low = components(edges.select("u", "v"))
-    edges = edges.join(low.withColumnRenamed("node", "u"), "u", "left").select("src", "dst", F.coalesce("low", "u").alias("low"))
-    nodes_in = low.groupBy("low").agg(F.count("*").alias("nodes"))
-    sizes = edges.groupBy("low").agg(F.count("*").alias("n")).join(nodes_in, "low", "left")
-    return checkpointed(edges.join(sizes.select("low", "n", F.coalesce("nodes", "n").alias("nodes")), "low"))
+    own = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("own"))
+    # sizes meet nodes and not edges, which would all go to one task by the name of a component that is nearly all
+    of = written(low.join(own, "node", "full").select("node", F.coalesce("low", "node").alias("low"), "own"))
+    sizes = of.groupBy("low").agg(F.sum("own").alias("n"), F.count("*").alias("nodes"))
+    facts = of.join(sizes, "low").select(F.col("node").alias("u"), "low", "n", "nodes")
+    made = checkpointed(edges.join(facts, "u").select("src", "dst", "low", "n", "nodes"))
+    forget(of)
+    return made
 
 
-def _by_component(edges: DataFrame, kernel, schema: str, beyond, most: int, reach: int | None = None) -> DataFrame:
-    """kernel over connected components of at most `most` edges, several to a task; beyond(edges) for the larger ones, by joins.
+def _by_component(edges: DataFrame, kernel, schema: str, wide, beyond, most: int, reach: int | None = None) -> DataFrame:
+    """kernel over connected components of at most `most` edges, several to a task; wide(edges) for larger ones of at most PACKED, beyond(edges) for the rest.
 
     With reach, a component of more nodes times edges than that is given to several tasks, each with its number and theirs.
     """
     edges = edges if {"low", "n", "nodes"} <= set(edges.columns) else split(edges)
-    small, large = edges.where(F.col("n") <= most), edges.where(F.col("n") > most)
+    small, large = edges.where(F.col("n") <= most), edges.where(F.col("n") > max(most, PACKED))
+    middle = edges.where((F.col("n") > most) & (F.col("n") <= PACKED))
     if reach:
         small = small.withColumn("parts", F.floor(F.col("nodes") * F.col("n") / reach) + 1).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     groups = max(1, -(-small.count() // GROUP))
     keys = ["low", "part", "parts"] if reach else ["low"]
     dealt = small.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"), *keys, "src", "dst")
     out = dealt.groupBy("group").applyInPandas(kernel, schema)
+    out = out if middle.isEmpty() else out.union(wide(middle.select("src", "dst", "low")))
     return out if large.isEmpty() else out.union(beyond(large.select("src", "dst")))
 
 
@@ -229,7 +237,7 @@ def _kind(edges: DataFrame) -> str:
 
 def blast_radius(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, blast) of nodes with dependents: how many others depend on it, directly or not."""
-    counted = _by_component(edges, _reach_rows, f"node {_kind(edges)}, blast long", lambda large: _large_blast(large).withColumn("blast", F.col("blast") + 1), most, REACH)
+    counted = _by_component(edges, _reach_rows, f"node {_kind(edges)}, blast long", packed.reach, lambda large: _large_blast(large).withColumn("blast", F.col("blast") + 1), most, REACH)
     return counted.groupBy("node").agg((F.sum("blast") - 1).alias("blast")).where("blast > 0")  # without the node itself
 
 
@@ -241,7 +249,7 @@ def capped(blast: Column, most: int = 2000) -> Column:
 def cycles(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, cycle) of strongly connected components of two nodes or more; cycle is the smallest node."""
     kind = _kind(edges)
-    return _by_component(edges, _cycle_rows, f"node {kind}, cycle {kind}", _large_cycles, most)
+    return _by_component(edges, _cycle_rows, f"node {kind}, cycle {kind}", packed.cycles, _large_cycles, most)
 
 
 def cycle_list(found: DataFrame, most: int = 50) -> DataFrame:
@@ -283,7 +291,7 @@ def _large_blast(edges: DataFrame) -> DataFrame:
 
 def reading_levels(edges: DataFrame, most: int = KERNEL) -> DataFrame:
     """(node, level): dependencies first, a node's level is one above its highest dependency's; nodes in or above cycles get the level after the last."""
-    levels = checkpointed(_by_component(edges, _level_rows, f"node {_kind(edges)}, level long", _large_levels, most))
+    levels = checkpointed(_by_component(edges, _level_rows, f"node {_kind(edges)}, level long", packed.levels, _large_levels, most))
     last = levels.agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).alias("last"))
     return levels.join(F.broadcast(last)).select("node", F.coalesce("level", "last").cast("int").alias("level"))  # one row
 
