@@ -19,7 +19,7 @@ from codeterra.session import checkpointed, forget, written
 
 #: Edges of the largest component that one task solves as lists.
 KERNEL = 1_000_000
-#: Edges of the largest component that one task solves as arrays: 1.2 GB at most, 12 bytes an edge.
+#: Edges of the largest component that one task solves as arrays: 1.2 GB, 12 bytes an edge (more for a moment when reach is planned over cycles).
 PACKED = 100_000_000
 #: Edges of small components that are dealt to one task.
 GROUP = 100_000
